@@ -303,3 +303,76 @@ def load(spark, path: str) -> ExpertModel:
 
 def is_finite(x) -> bool:
     return x is not None and not (isinstance(x, float) and (math.isnan(x) or math.isinf(x)))
+
+
+# ---------------------------------------------------------- completion
+def complete_rows(model: ExpertModel, x: DataFrame, fixed: dict[str, Column], seed, key: str,
+                  attempt: int = 0, tables: DrawTables | None = None, temperature: float = 1.0) -> DataFrame:
+    """Fill the null cells of ``fixed`` (text per column) in the model's order;
+    given cells are kept and serve as context for later columns.  Every row
+    is drawn (a broadcast lookup) and the given value wins, so the plan stays
+    one linear chain."""
+    tables = tables or draw_tables(model, temperature)
+    o = model.orders[0]
+    x = x.select(key, *[fixed[c].alias(f"_g_{c}") for c in model.cols])
+    for j, c in enumerate(o):
+        get = {cc: F.col(cc) for cc in o[:j]}
+        levels = {L: _ctx(model, o, j, L, get) for L in range(0, min(j, 2) + 1)}
+        u = uniform(seed, F.lit(f"draw:{attempt}:0:{c}"), F.col(key))
+        x = draw_column(x, tables, 0, c, levels, u, "_d")
+        x = x.withColumn(c, F.coalesce(F.col(f"_g_{c}"), F.col("_d"))).drop("_d")
+    return x.select(key, *model.cols)
+
+
+def sample_from_prompts(model: ExpertModel, prompts: DataFrame, seed, key: str = "sid", text: str = "text",
+                        temperature: float = 1.0) -> DataFrame:
+    """GEN-7: "Sex is female, Age is 26" → a completed row.  The prompt is
+    parsed leniently; placeholder and None mean "to be generated"."""
+    from sentable.functions.parse import PLACEHOLDER, lenient_fields
+    f = lenient_fields(F.col(text), model.cols)
+    fixed = {c: F.when(v != F.lit(PLACEHOLDER), v) for c, v in f.items()}
+    return complete_rows(model, prompts, fixed, seed, key, temperature=temperature)
+
+
+@dataclass
+class ImputeResult:
+    rows: DataFrame
+    dropped: int
+    attempts: int
+
+
+def impute(model: ExpertModel, df: DataFrame, seed, key: str = "row_key", max_retries: int = 15,
+           temperature: float = 1.0) -> ImputeResult:
+    """GEN-8: fill every null conditioned on the row's known values.
+
+    Numeric columns come back as doubles; a cell that is still not a number
+    (e.g. 'nan' drawn from training nulls) makes the row incomplete and it is
+    retried with the attempt number in the hash tag, re-drawing only the
+    missing cells.  Each attempt works on the remaining rows only (written
+    to the checkpoint folder); rows still incomplete after ``max_retries``
+    are dropped and counted, as the source warns and drops them."""
+    from sentable.operators.prep import same_columns, to_numeric
+    same_columns(df.drop(key), model.cols)
+    tables = draw_tables(model, temperature)
+    num = [c for c in model.cols if c in model.numeric]
+    fixed = {c: format_value(F.col(c), df.schema[c].dataType, None) for c in model.cols}
+    cur = df.select(key, *[fixed[c].alias(c) for c in model.cols])
+    done, attempts = [], 0
+    for attempt in range(max_retries):
+        attempts += 1
+        x = complete_rows(model, cur, {c: F.col(c) for c in model.cols}, seed, key, attempt, tables)
+        typed = x.select(key, *[to_numeric(F.col(c)).alias(c) if c in num else F.col(c) for c in model.cols])
+        typed = typed.checkpoint(eager=True)
+        ok = F.lit(True)
+        for c in model.cols:
+            ok = ok & F.col(c).isNotNull() & (~F.isnan(F.col(c)) if c in num else F.lit(True))
+        done.append(typed.filter(ok))
+        cur = typed.filter(~ok).select(key, *[F.when(~F.isnan(F.col(c)), format_value(F.col(c), typed.schema[c].dataType, None))
+                                              .alias(c) if c in num else F.col(c) for c in model.cols])
+        if cur.isEmpty():
+            break
+    dropped = cur.count()
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return ImputeResult(out, dropped, attempts)

@@ -80,3 +80,21 @@ def _raw_roundtrip(spark, sf):
     write_raw_samples(lines.filter(half), path, mode="append")
     write_raw_samples(lines.filter(~half), path, mode="append")
     return parse_strict(read_raw_samples(spark, path), B.cols)
+
+
+@query("stream_parse", "SELECT * EXCLUDE (row_key) FROM ("
+       + __import__("sentable.plans.q_text", fromlist=["x"])._sql_in_domain(
+           strict_select(__import__("sentable.plans.q_text", fromlist=["x"])._CLEAN_B, B.cols, ["row_key"]), "B", B.ords)
+       + ")")
+def _stream_parse(spark, sf):
+    """STR-1: lines arrive as two appended batches; the stream parses and
+    validates them (stream-static semi-joins) into a Parquet sink."""
+    from sentable.streaming.parse_stream import run_available
+    src = scratch_path(spark, "stream-src")
+    real = load(spark, sf, "B")
+    lines = noisy_lines(real, "B")
+    half = uniform(11, "batch", F.col("row_key")) < 0.5
+    write_raw_samples(lines.filter(half), src, mode="append")
+    write_raw_samples(lines.filter(~half), src, mode="append")
+    return run_available(spark, src, real, B.cols, B.ords, scratch_path(spark, "stream-sink"),
+                         scratch_path(spark, "stream-ckpt"))

@@ -210,3 +210,96 @@ def synthesize(spark, sf_dir: str, write_to: str | None = None):
 
 
 query("synthesize", _sql_synth())(synthesize)
+
+
+# ------------------------------------------------------ prompts, imputation
+C = FIXTURES["C"]
+
+
+def _fit_c(spark, sf, nulls):
+    return X.fit(load(spark, sf, "C", nulls=nulls, key=False), C.cols, cond=C.labs[0], bins=BINS)
+
+
+def _sql_prompts():
+    from sentable.plans.q_dist import _PROBE_C  # noqa: F401  (same key set)
+    from sentable.plans.sqlmodel import GRP_CTE, complete_sql
+    from sentable.plans.sqlparse import lenient_select
+    from sentable.plans.workloads import sql_lenient_text
+    parsed = lenient_select(sql_lenient_text("C", sql_load("C", nulls=True)), C.cols, ["row_key"])
+    given = ", ".join(f"CASE WHEN {c} <> 'placeholder' THEN {c} END AS g_{c}" for c in C.cols)
+    src = f"SELECT row_key AS sid, {given} FROM ({parsed})"
+    ctes = model_ctes(sql_load("C"), C.cols, C.kinds, [C.cols], BINS)
+    return f"WITH {ctes}, {GRP_CTE} {complete_sql(src, C.cols, C.kinds, BINS, SEED)}"
+
+
+@query("sample_prompts", _sql_prompts())
+def _sample_prompts(spark, sf):
+    """GEN-7: partial rows written as prompts ("c_nationkey is 5, c_mktsegment
+    is None") are parsed and completed by the experts fitted on the table."""
+    from sentable.plans.workloads import lenient_text
+    prompts = lenient_text(load(spark, sf, "C", nulls=True), "C").withColumnRenamed("row_key", "sid")
+    return X.sample_from_prompts(_fit_c(spark, sf, False), prompts, SEED)
+
+
+IMPUTE_RETRIES = 15
+
+
+def _sql_impute():
+    from sentable.plans.q_prep import sql_to_numeric
+    from sentable.plans.sqlmodel import GRP_CTE, complete_sql
+    from sentable.plans.fixtures import sql_fmt
+    src_c = sql_load("C", nulls=True)
+    ctes = [model_ctes(src_c, C.cols, C.kinds, [C.cols], BINS), GRP_CTE]
+    num = [c for c in C.cols if C.kinds[c] in ("int", "double")]
+    first = ", ".join(f"{sql_fmt(c, C.kinds[c])} AS g_{c}" for c in C.cols)
+    ctes.append(f"r0 AS (SELECT row_key, {first} FROM ({src_c}))")
+    outs = []
+    for a in range(IMPUTE_RETRIES):
+        comp = complete_sql(f"SELECT * FROM r{a}", C.cols, C.kinds, BINS, SEED, attempt=a, key="row_key")
+        typed = ", ".join(f"{sql_to_numeric(c)} AS {c}" if c in num else c for c in C.cols)
+        ctes.append(f"t{a} AS (SELECT row_key, {typed} FROM ({comp}))")
+        ok = " AND ".join(f"{c} IS NOT NULL" + (f" AND NOT isnan({c})" if c in num else "") for c in C.cols)
+        outs.append(f"SELECT * FROM t{a} WHERE {ok}")
+        nxt = ", ".join(f"CASE WHEN NOT isnan({c}) THEN CAST({c} AS VARCHAR) END AS g_{c}" if c in num else f"{c} AS g_{c}"
+                        for c in C.cols)
+        ctes.append(f"r{a + 1} AS (SELECT row_key, {nxt} FROM t{a} WHERE NOT ({ok}))")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(outs)
+
+
+@query("impute", _sql_impute())
+def _impute(spark, sf):
+    """GEN-8 + JN-6: the nulls of ``customer`` (10% injected) are filled by
+    experts fitted on the same table; drawn 'nan' cells are retried."""
+    r = X.impute(_fit_c(spark, sf, True), load(spark, sf, "C", nulls=True), SEED, max_retries=IMPUTE_RETRIES)
+    return r.rows
+
+
+A = FIXTURES["A"]
+ENC = A.ords + A.labs
+
+
+def _sql_encoded_sample():
+    from sentable.plans.q_prep import _FIT_A, _sql_encoded_a, sql_to_numeric
+    kinds = dict(A.kinds, p_brand="int", p_type="int")
+    enc_src = _sql_encoded_a()
+    ctes = model_ctes(enc_src, A.cols, kinds, [A.cols], BINS)
+    keys = f"SELECT row_key AS sid FROM ({sql_load('A')})"
+    chain = f"SELECT sid, {', '.join(A.cols)} FROM {chain_sql(keys, A.cols, 0, kinds, BINS, SEED)}"
+    j = " ".join(f"JOIN (SELECT value AS v_{c}, CAST(id AS DOUBLE) AS id_{c} FROM enc WHERE \"column\" = '{c}') "
+                 f"ON {sql_to_numeric(c)} = id_{c}" for c in ENC)
+    return (f"WITH enc AS ({_FIT_A}), {ctes} SELECT sid, v_p_brand AS p_brand, p_size, p_retailprice, v_p_type AS p_type "
+            f"FROM ({chain}) {j}")
+
+
+@query("sample_encoded", _sql_encoded_sample())
+def _sample_encoded(spark, sf):
+    """GEN-12: classification — ords and labels are label-encoded before the
+    fit (ids are numbers to the model) and decoded after sampling; draws
+    that are not a valid id are dropped by the decoder."""
+    from sentable.operators.encode import decode_labels, encode_labels, fit_labels
+    df = load(spark, sf, "A")
+    enc = fit_labels(df.drop("row_key"), ENC)
+    coded = encode_labels(df, enc, ENC)
+    m = X.fit(coded.drop("row_key"), A.cols, cond=A.labs[0], bins=BINS)
+    gen = X.sample(m, df.select(F.col("row_key").alias("sid")), SEED)
+    return decode_labels(gen, enc, ENC)

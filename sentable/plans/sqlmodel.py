@@ -116,3 +116,29 @@ def eval_sql(val: str, cols, kinds, order, bins, key="row_key") -> str:
     per = f"SELECT col, avg(nll) AS loss FROM ({sc}) GROUP BY col"
     return (f"SELECT col AS \"column\", round(loss, 6) AS loss FROM ({per}) UNION ALL "
             f"SELECT '__mean__' AS \"column\", round(avg(loss), 6) AS loss FROM ({per})")
+
+
+def complete_sql(src: str, order, kinds, bins, seed, attempt=0, key="sid") -> str:
+    """Back-off completion: ``src`` has ``key`` and g_<col> (given text or
+    NULL); every column is drawn at the highest level whose context exists
+    and the given value wins.  Needs CTEs e, iv and grp."""
+    cur = f"(SELECT * FROM ({src}))"
+    for j, c in enumerate(order):
+        levels = list(range(0, min(j, 2) + 1))
+        ks = {L: level_ctx(order, j, L, lambda cc: f"s.{cc}", kinds, bins) for L in levels}
+        u = sql_u(seed, f"'draw:{attempt}:0:{c}'", f"s.{key}")
+        joins = " ".join(f"LEFT JOIN grp g{L} ON g{L}.order_id = 0 AND g{L}.col = '{c}' AND g{L}.level = {L} "
+                         f"AND g{L}.ctx = {ks[L]}" for L in levels)
+        hi_first = sorted(levels, reverse=True)
+        lvl = "CASE " + " ".join(f"WHEN g{L}.total IS NOT NULL THEN {L}" for L in hi_first) + " END"
+        ctx = "CASE " + " ".join(f"WHEN g{L}.total IS NOT NULL THEN {ks[L]}" for L in hi_first) + " END"
+        tot = "CASE " + " ".join(f"WHEN g{L}.total IS NOT NULL THEN g{L}.total" for L in hi_first) + " END"
+        inner = f"(SELECT s.*, {lvl} AS _lvl, {ctx} AS _ctx, {tot} AS _tot, {u} AS _u FROM {cur} s CROSS JOIN e {joins})"
+        r = "floor(i._u * i._tot)"
+        cur = (f"(SELECT i.* EXCLUDE (_lvl, _ctx, _tot, _u), coalesce(i.g_{c}, iv.value) AS {c} FROM {inner} i "
+               f"LEFT JOIN iv ON iv.order_id = 0 AND iv.col = '{c}' AND iv.level = i._lvl AND iv.ctx = i._ctx "
+               f"AND iv.lo <= {r} AND {r} < iv.hi)")
+    return f"SELECT {key}, {', '.join(order)} FROM {cur}"
+
+
+GRP_CTE = "grp AS (SELECT order_id, col, level, ctx, max(total) AS total FROM iv GROUP BY ALL)"
