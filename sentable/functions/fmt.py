@@ -24,29 +24,45 @@ def is_numeric_type(dt) -> bool:
     return isinstance(dt, INTEGRAL + FRACTIONAL + (T.DecimalType,))
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it several times in ``body`` (a one-element
+    ``transform``), so a big expression is not copied into every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _exponent_form(s: Column) -> Column:
+    """Java ``d.dddE±n`` → Python layout (only reached for rare magnitudes)."""
+    def body(p):
+        digits, e, sign = p["d"], p["e"], p["sign"]
+        nd = F.length(digits)
+        sci = F.concat(sign, F.substring(digits, 1, 1),
+                       F.when(nd > 1, F.concat(F.lit("."), F.substring(digits, 2, 1 << 20))).otherwise(F.lit("")),
+                       F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
+                       F.lpad(F.abs(e).cast("string"), 2, "0"))
+        big = F.when(nd <= e + 1, F.concat(sign, F.rpad(digits, e + 1, "0"), F.lit(".0"))) \
+               .otherwise(F.concat(sign, F.substring(digits, 1, e + 1), F.lit("."), F.substring(digits, e + 2, 1 << 20)))
+        small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        return F.when((e >= 16) | (e < -4), sci).when(e >= 0, big).otherwise(small)
+
+    def parts(t):
+        mant = F.substring_index(t, "E", 1)
+        d = F.regexp_replace(F.regexp_replace(mant, r"[-.]", ""), r"0+$", "")
+        return F.struct(F.when(d == "", F.lit("0")).otherwise(d).alias("d"),
+                        F.substring_index(t, "E", -1).cast("int").alias("e"),
+                        F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit("")).alias("sign"))
+    return let(let(s, parts), body)
+
+
 def py_double_str(x: Column) -> Column:
-    s = x.cast("string")
-    mant = F.substring_index(s, "E", 1)
-    e = F.substring_index(s, "E", -1).cast("int")
-    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    digits = F.regexp_replace(F.regexp_replace(mant, r"[-.]", ""), r"0+$", "")
-    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
-    nd = F.length(digits)
-    sci = F.concat(sign, F.substring(digits, 1, 1),
-                   F.when(nd > 1, F.concat(F.lit("."), F.substring(digits, 2, 1 << 20))).otherwise(F.lit("")),
-                   F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
-                   F.lpad(F.abs(e).cast("string"), 2, "0"))
-    big = F.when(nd <= e + 1, F.concat(sign, F.rpad(digits, e + 1, "0"), F.lit(".0"))) \
-           .otherwise(F.concat(sign, F.substring(digits, 1, e + 1), F.lit("."), F.substring(digits, e + 2, 1 << 20)))
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    expo = (F.when((e >= 16) | (e < -4), sci)
-            .when(e >= 0, big)
-            .otherwise(small))
+    """Python ``str(float)``.  Java and Python agree on the digits and, for
+    1e-3 <= |x| < 1e7, on the layout too: that common case is a plain cast
+    (code-generated); only other magnitudes go through the rewrite."""
+    ax = F.abs(x)
     return (F.when(F.isnan(x), F.lit("nan"))
             .when(x == float("inf"), F.lit("inf"))
             .when(x == float("-inf"), F.lit("-inf"))
-            .when(F.instr(s, "E") > 0, expo)
-            .otherwise(s))
+            .when((x == 0) | ((ax >= 1e-3) & (ax < 1e7)), x.cast("string"))
+            .otherwise(_exponent_form(x.cast("string"))))
 
 
 def format_value(c: Column, dtype, null_text: str | None = None, as_double: bool = False) -> Column:

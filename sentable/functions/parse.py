@@ -11,7 +11,7 @@ text "None" becomes null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentable.functions.text import EOC
@@ -39,11 +39,43 @@ def _named_with_value(c: str):
 
 
 def strict_fields(line: Column, cols: list[str], terminated: bool = False) -> dict[str, Column]:
-    """Per column: the value of its first well-formed sentence, or null."""
+    """Per column: the value of its first well-formed sentence, or null.
+    (Expression form; DataFrames should use ``with_strict_fields``, which
+    computes the split once.)"""
     valid = _valid_pieces(line, cols, terminated)
     return {c: F.get(F.get(F.filter(valid, _first_word_is(c)), 0), 2) for c in cols}
 
 
+def sentence_pattern(c: str, terminated: bool = False) -> str:
+    """Regex for the first well-formed sentence of column ``c``: it starts the
+    line or follows an <EOC>, is exactly "c w2 w3" with single spaces (words
+    may be empty, none crosses an <EOC>) and ends at the next <EOC> (or, unless
+    ``terminated``, at the end of the line).  Group 2 is the value.  Because
+    "<EOC>" cannot overlap itself, these boundaries are exactly those of
+    splitting on <EOC>."""
+    word = r"((?:[^ <]|<(?!EOC>))*)"
+    end = r"(?=<EOC>)" if terminated else r"(?=<EOC>|\z)"
+    return r"(?:^|<EOC>)\Q" + c + r"\E " + word + " " + word + end
+
+
+def with_strict_fields(df: DataFrame, line: str, cols: list[str], keep: list[str], terminated: bool = False) -> DataFrame:
+    """keep + parsed columns + ``_complete``.  One code-generated regex
+    search per column (first match wins; malformed sentences never match)."""
+    f = df.select(*keep, *[F.get(F.regexp_extract_all(F.col(line), F.lit(sentence_pattern(c, terminated)), 2), 0).alias(c)
+                           for c in cols])
+    return f.select("*", complete({c: F.col(c) for c in cols}).alias("_complete"))
+
+
+def with_lenient_fields(df: DataFrame, text: str, cols: list[str], keep: list[str], none_to_null: bool = True) -> DataFrame:
+    feats = F.transform(F.split(F.col(text), ",", -1), lambda f: F.split(F.btrim(f, F.lit(WHITESPACE)), " is ", -1))
+    v = df.select(*keep, feats.alias("_ft"))
+    out = []
+    for c in cols:
+        val = F.coalesce(F.get(F.get(F.filter(F.col("_ft"), _named_with_value(c)), 0), 1), F.lit(PLACEHOLDER))
+        out.append((F.nullif(val, F.lit("None")) if none_to_null else val).alias(c))
+    return v.select(*keep, *out)
+
+
 def complete(fields: dict[str, Column]) -> Column:
     """FLT-4: all columns were found."""
     out = F.lit(True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentable.functions.parse import complete, lenient_fields, strict_fields
+from sentable.functions.parse import with_lenient_fields, with_strict_fields
 from sentable.functions.text import clean_text, fix_question_mark, strip_bos
 from sentable.operators.domain import domain_flags, domains, in_domain, parse_report
 
@@ -20,8 +20,7 @@ def parse_strict(df: DataFrame, cols: list[str], line: str = "line", terminated:
     """TXT-13 / TXT-14: one projection; rows with a missing column are dropped
     (or, with ``keep_failed``, kept as all-null rows as the demo parser does)."""
     keep = keep if keep is not None else [c for c in df.columns if c != line]
-    f = strict_fields(F.col(line), cols, terminated)
-    out = df.select(*keep, *[v.alias(c) for c, v in f.items()], complete(f).alias("_complete"))
+    out = with_strict_fields(df, line, cols, keep, terminated)
     if keep_failed:
         return out.select(*keep, *[F.when(F.col("_complete"), F.col(c)).alias(c) for c in cols])
     return out.filter("_complete").drop("_complete")
@@ -30,8 +29,7 @@ def parse_strict(df: DataFrame, cols: list[str], line: str = "line", terminated:
 def parse_lenient(df: DataFrame, cols: list[str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """TXT-15 + PRJ-10: every line yields a row."""
     keep = keep if keep is not None else [c for c in df.columns if c != text]
-    f = lenient_fields(F.col(text), cols)
-    return df.select(*keep, *[v.alias(c) for c, v in f.items()])
+    return with_lenient_fields(df, text, cols, keep)
 
 
 def parse_flags(raw: DataFrame, real: DataFrame, cols: list[str], check: list[str], line: str = "line",
@@ -39,8 +37,7 @@ def parse_flags(raw: DataFrame, real: DataFrame, cols: list[str], check: list[st
     """Strict parse with the complete flag and per-column domain flags kept."""
     src = clean_lines(raw, line) if clean else raw
     keep = [c for c in src.columns if c != line]
-    f = strict_fields(F.col(line), cols)
-    parsed = src.select(*keep, *[v.alias(c) for c, v in f.items()], complete(f).alias("_complete"))
+    parsed = with_strict_fields(src, line, cols, keep)
     return domain_flags(parsed, domains(real, check, fill), check)
 
 

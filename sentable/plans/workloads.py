@@ -24,14 +24,15 @@ NOISE_SEED = 11
 
 def noisy_lines(df: DataFrame, alias: str) -> DataFrame:
     fx = FIXTURES[alias]
-    base = row_text(df, fx.cols, bos=False, null_text="nan", upcast=upcast(alias))
-    u = uniform(NOISE_SEED, "noise", F.col("row_key"))
+    staged = df.select("row_key", row_text(df, fx.cols, bos=False, null_text="nan", upcast=upcast(alias)).alias("_b"),
+                       uniform(NOISE_SEED, "noise", F.col("row_key")).alias("_u"))
+    base, u = F.col("_b"), F.col("_u")
     line = (F.when(u < 0.1, base.substr(F.lit(1), F.length(base) - 5))
             .when(u < 0.2, F.concat(F.lit("<BOS>"), base))
             .when(u < 0.3, F.lower(base))
             .when(u < 0.35, F.replace(base, F.lit(" is "), F.lit(" is  ")))
             .otherwise(base))
-    return df.select("row_key", line.alias("line"))
+    return staged.select("row_key", line.alias("line"))
 
 
 def sql_sentences(alias: str, sep: str = "") -> str:
