@@ -157,9 +157,14 @@ class DrawTables:
 
 def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows: int = 2_000_000,
                 checkpoint: bool = True) -> DrawTables:
-    """Interval tables for the draw, computed once, written to the checkpoint
-    folder (cuts lineage, survives executor loss), broadcast if checked small."""
+    """Interval tables for the draw.  The intervals are computed once and
+    written to the checkpoint folder (cuts lineage, survives executor loss);
+    groups and block entries are cheap projections of that table.  Entries
+    are at most twice the intervals (ceil(total/E)-sized blocks), so one
+    bounded count of the intervals decides both broadcasts."""
     iv = intervals(weighted(model.counts, temperature), GROUP)
+    if checkpoint:
+        iv = iv.checkpoint(eager=True)
     groups = iv.groupBy(*GROUP).agg(F.max("total").alias("_t"), F.count(F.lit(1)).alias("_e"))
     groups = groups.withColumn("_blk", F.greatest(F.lit(1), F.ceil(F.col("_t") / F.col("_e"))).cast("long")).drop("_e")
     entries = (iv.join(groups.select(*GROUP, "_blk"), GROUP)
@@ -167,10 +172,11 @@ def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows
                                                       F.floor((F.col("hi") - 1) / F.col("_blk")).cast("long"))))
                .select(*GROUP, "_k", "lo", "hi", F.col("value").alias("_val")))
     if checkpoint:
+        # every column's draw reads these two tables: materialise them once
         groups, entries = groups.checkpoint(eager=True), entries.checkpoint(eager=True)
-    bg = groups.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    be = entries.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows
-    return DrawTables(groups, entries, bg, be)
+    n_iv = iv.limit(max_broadcast_rows + 1).count()
+    small = 2 * n_iv <= max_broadcast_rows
+    return DrawTables(groups, entries, n_iv <= max_broadcast_rows, small)
 
 
 def _side(df: DataFrame, b: bool) -> DataFrame:

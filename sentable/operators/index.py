@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 def with_exact_index(df: DataFrame, order_hash: Column, idx: str = "idx", digits: int = 4,
                      chunk: int = 1 << 20, with_count: str | None = None) -> DataFrame:
     cols = df.columns
+    bucket = F.conv(F.substring(F.col("_h"), 1, digits), 16, 10).cast("int")
     g = (df.withColumn("_h", order_hash)
            .groupBy("_h", *cols).agg(F.count(F.lit(1)).alias("_m"))
-           .withColumn("_b", F.conv(F.substring("_h", 1, digits), 16, 10).cast("int")))
+           .withColumn("_b", bucket))
     within = Window.partitionBy("_b").orderBy("_h", *cols).rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("_s", F.sum("_m").over(within) - F.col("_m"))
-    offs = g.groupBy("_b").agg(F.sum("_m").alias("_bm"))
+    # Bucket sizes straight from the input (only the hash inputs are read; the
+    # partial aggregate leaves at most 16**digits rows per task).
+    offs = df.select(order_hash.alias("_h")).select(bucket.alias("_b")).groupBy("_b") \
+             .agg(F.count(F.lit(1)).alias("_bm"))
     # <= 16**digits rows: one small task, then broadcast.
     w_all = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     offs = offs.select("_b", (F.sum("_bm").over(w_all) - F.col("_bm")).alias("_o"),

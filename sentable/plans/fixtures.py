@@ -55,8 +55,14 @@ NULL_SEED = 7
 NULL_RATE = 0.1
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, cols: list[str] | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.select(*cols) if cols else df
+
+
+def _needed(fx: Fixture) -> list[str]:
+    keys = [fx.key] if fx.key else [c for c, _ in fx.key_parts]
+    return list(dict.fromkeys(keys + fx.cols))
 
 
 def _key_expr(fx: Fixture):
@@ -70,8 +76,9 @@ def _key_expr(fx: Fixture):
 
 def load(spark: SparkSession, sf_dir: str, alias: str, nulls: bool = False, key: bool = True) -> DataFrame:
     """Fixture rows: ``row_key`` (string) then the contract's columns."""
+    from sentable.sources.io import spread
     fx = FIXTURES[alias]
-    src = table(spark, sf_dir, fx.table)
+    src = spread(table(spark, sf_dir, fx.table, _needed(fx)))
     df = src.select((_key_expr(fx).alias("row_key")), *fx.cols)
     if nulls:
         df = df.select("row_key", *[F.when(uniform(NULL_SEED, F.lit("null:" + c), F.col("row_key")) < NULL_RATE,

@@ -21,6 +21,16 @@ NA_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
+    """Spread a scan that yields fewer tasks than the cluster has cores (a
+    small or single-row-group file) with a round-robin repartition.  A large
+    input already has enough splits, so this is a no-op at scale."""
+    sc = df.sparkSession.sparkContext
+    want = min_tasks or sc.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(want) if n < want else df
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sentable-{what}-{uuid.uuid4().hex[:12]}"
