@@ -53,7 +53,7 @@ def sentence_pattern(c: str, terminated: bool = False) -> str:
     ``terminated``, at the end of the line).  Group 2 is the value.  Because
     "<EOC>" cannot overlap itself, these boundaries are exactly those of
     splitting on <EOC>."""
-    word = r"((?:[^ <]|<(?!EOC>))*)"
+    word = r"([^ <]*(?:<(?!EOC>)[^ <]*)*)"      # unrolled: a '<' only if not <EOC>
     end = r"(?=<EOC>)" if terminated else r"(?=<EOC>|\z)"
     return r"(?:^|<EOC>)\Q" + c + r"\E " + word + " " + word + end
 

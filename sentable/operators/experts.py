@@ -150,33 +150,31 @@ def weighted(counts: DataFrame, temperature: float) -> DataFrame:
 @dataclass
 class DrawTables:
     groups: DataFrame     # GROUP + _t (total), _blk
-    entries: DataFrame    # GROUP + _k, lo, hi, _val
-    broadcast_groups: bool
-    broadcast_entries: bool
-
-
-def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows: int = 2_000_000,
-                checkpoint: bool = True) -> DrawTables:
-    """Interval tables for the draw.  The intervals are computed once and
-    written to the checkpoint folder (cuts lineage, survives executor loss);
-    groups and block entries are cheap projections of that table.  Entries
-    are at most twice the intervals (ceil(total/E)-sized blocks), so one
-    bounded count of the intervals decides both broadcasts."""
-    iv = intervals(weighted(model.counts, temperature), GROUP)
-    if checkpoint:
-        iv = iv.checkpoint(eager=True)
+    entries: DataFrame    # GROUP + _k, lo, hi, _val   (Parquet, partitioned by col)
+    broadcast_groups: dict[str, bool]
+    broadcast_entries: dict[str, bool]
+
+
+def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows: int = 100_000) -> DrawTables:
+    """Interval tables for the draw, written once as Parquet to the shared
+    checkpoint folder (a reliable lineage cut).  Entries are partitioned by
+    column, so each column's draw reads only its own directory.  Whether a
+    column's side is broadcast is decided from exact per-column row counts
+    (one small aggregate); larger sides use a shuffle join."""
+    from sentable.sources.io import materialize
+    iv = materialize(intervals(weighted(model.counts, temperature), GROUP), "intervals", ["col"])
     groups = iv.groupBy(*GROUP).agg(F.max("total").alias("_t"), F.count(F.lit(1)).alias("_e"))
-    groups = groups.withColumn("_blk", F.greatest(F.lit(1), F.ceil(F.col("_t") / F.col("_e"))).cast("long")).drop("_e")
+    groups = materialize(groups.withColumn("_blk", F.greatest(F.lit(1), F.ceil(F.col("_t") / F.col("_e"))).cast("long"))
+                         .drop("_e"), "groups", ["col"])
     entries = (iv.join(groups.select(*GROUP, "_blk"), GROUP)
                .withColumn("_k", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_blk")).cast("long"),
                                                       F.floor((F.col("hi") - 1) / F.col("_blk")).cast("long"))))
                .select(*GROUP, "_k", "lo", "hi", F.col("value").alias("_val")))
-    if checkpoint:
-        # every column's draw reads these two tables: materialise them once
-        groups, entries = groups.checkpoint(eager=True), entries.checkpoint(eager=True)
-    n_iv = iv.limit(max_broadcast_rows + 1).count()
-    small = 2 * n_iv <= max_broadcast_rows
-    return DrawTables(groups, entries, n_iv <= max_broadcast_rows, small)
+    entries = materialize(entries, "entries", ["col"])
+    ne = {r["col"]: r["count"] for r in entries.groupBy("col").count().collect()}
+    ng = {r["col"]: r["count"] for r in groups.groupBy("col").count().collect()}
+    return DrawTables(groups, entries, {c: ng.get(c, 0) <= max_broadcast_rows for c in model.cols},
+                      {c: ne.get(c, 0) <= max_broadcast_rows for c in model.cols})
 
 
 def _side(df: DataFrame, b: bool) -> DataFrame:
@@ -196,7 +194,7 @@ def draw_column(x: DataFrame, tables: DrawTables, oid: int | Column, col: str, c
     for L in levels:
         gl = g.filter(F.col("level") == L).select(F.col("order_id").alias("_oid"), F.col("ctx").alias(f"_c{L}"),
                                                   F.col("_t").alias(f"_t{L}"), F.col("_blk").alias(f"_b{L}"))
-        x = x.withColumn(f"_c{L}", ctx_by_level[L]).join(_side(gl, tables.broadcast_groups), ["_oid", f"_c{L}"], "left")
+        x = x.withColumn(f"_c{L}", ctx_by_level[L]).join(_side(gl, tables.broadcast_groups[col]), ["_oid", f"_c{L}"], "left")
     for L in reversed(levels):   # lowest first so higher levels win
         hit = F.col(f"_t{L}").isNotNull()
         chosen_t = F.when(hit, F.col(f"_t{L}")).otherwise(chosen_t)
@@ -209,7 +207,7 @@ def draw_column(x: DataFrame, tables: DrawTables, oid: int | Column, col: str, c
          .withColumn("_k", F.floor(F.col("_r") / F.col("_blk")).cast("long"))
     e = tables.entries.filter(F.col("col") == col).select(
         F.col("order_id").alias("_oid"), F.col("level").alias("_lvl"), F.col("ctx").alias("_ctx"), "_k", "lo", "hi", "_val")
-    m = x.join(_side(e, tables.broadcast_entries), ["_oid", "_lvl", "_ctx", "_k"], "left") \
+    m = x.join(_side(e, tables.broadcast_entries[col]), ["_oid", "_lvl", "_ctx", "_k"], "left") \
          .filter(F.col("lo").isNull() | ((F.col("lo") <= F.col("_r")) & (F.col("_r") < F.col("hi"))))
     return m.withColumnRenamed("_val", out).drop("_oid", "_lvl", "_ctx", "_k", "lo", "hi", "_r", "_t", "_blk")
 
@@ -238,7 +236,8 @@ def sample(model: ExpertModel, keys: DataFrame, seed, key: str = "sid", temperat
             u = uniform(seed, F.lit(f"draw:{attempt}:{oid}:{c}"), F.col(key))
             x = draw_column(x, tables, oid, c, levels, u, c)
             if checkpoint_every and (j + 1) % checkpoint_every == 0 and j + 1 < len(o):
-                x = x.checkpoint(eager=True)
+                from sentable.sources.io import materialize
+                x = materialize(x, "sample-part")
         parts.append(x.select(*[cc for cc in keys.columns], *model.cols))
     out = parts[0]
     for p in parts[1:]:
@@ -358,6 +357,7 @@ def impute(model: ExpertModel, df: DataFrame, seed, key: str = "row_key", max_re
     to the checkpoint folder); rows still incomplete after ``max_retries``
     are dropped and counted, as the source warns and drops them."""
     from sentable.operators.prep import same_columns, to_numeric
+    from sentable.sources.io import materialize
     same_columns(df.drop(key), model.cols)
     tables = draw_tables(model, temperature)
     num = [c for c in model.cols if c in model.numeric]
@@ -368,7 +368,7 @@ def impute(model: ExpertModel, df: DataFrame, seed, key: str = "row_key", max_re
         attempts += 1
         x = complete_rows(model, cur, {c: F.col(c) for c in model.cols}, seed, key, attempt, tables)
         typed = x.select(key, *[to_numeric(F.col(c)).alias(c) if c in num else F.col(c) for c in model.cols])
-        typed = typed.checkpoint(eager=True)
+        typed = materialize(typed, f"impute-{attempt}")
         ok = F.lit(True)
         for c in model.cols:
             ok = ok & F.col(c).isNotNull() & (~F.isnan(F.col(c)) if c in num else F.lit(True))

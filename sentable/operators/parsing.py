@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentable.functions.parse import with_lenient_fields, with_strict_fields
+from sentable.functions.rows import keep_if
 from sentable.functions.text import clean_text, fix_question_mark, strip_bos
 from sentable.operators.domain import domain_flags, domains, in_domain, parse_report
 
@@ -23,7 +24,7 @@ def parse_strict(df: DataFrame, cols: list[str], line: str = "line", terminated:
     out = with_strict_fields(df, line, cols, keep, terminated)
     if keep_failed:
         return out.select(*keep, *[F.when(F.col("_complete"), F.col(c)).alias(c) for c in cols])
-    return out.filter("_complete").drop("_complete")
+    return keep_if(out, "_complete").drop("_complete")
 
 
 def parse_lenient(df: DataFrame, cols: list[str], text: str = "text", keep: list[str] | None = None) -> DataFrame:

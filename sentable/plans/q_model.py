@@ -198,7 +198,8 @@ def synthesize(spark, sf_dir: str, write_to: str | None = None):
     s = split(real, SEED, F.col("row_key"))
     # the training split feeds the edges, the counts and the sample keys:
     # written once to the checkpoint folder instead of re-deriving the index
-    train = fill_na(s.filter("split = 'train'").select("row_key", *B.cols)).checkpoint(eager=True)
+    from sentable.sources.io import materialize
+    train = materialize(fill_na(s.filter("split = 'train'").select("row_key", *B.cols)), "train")
     model = X.fit(train.drop("row_key"), B.cols, cond=COND, bins=BINS)
     gen = X.sample(model, train.select(F.col("row_key").alias("sid")), SEED)
     lines = X.sampled_lines(gen, model)

@@ -36,6 +36,18 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sentable-{what}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: a reliable lineage cut (survives executor loss) that, unlike an RDD
+    checkpoint, keeps column pruning and partition/filter pushdown."""
+    path = scratch_path(df.sparkSession, what)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def version_name(creation_time: str) -> str:
     """The dated folder name: whitespace runs become dots; ':' (not allowed in
     HDFS/S3 paths) becomes '-'."""
