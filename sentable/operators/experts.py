@@ -184,32 +184,35 @@ def _side(df: DataFrame, b: bool) -> DataFrame:
 def draw_column(x: DataFrame, tables: DrawTables, oid: int | Column, col: str, ctx_by_level: dict[int, Column],
                 u: Column, out: str) -> DataFrame:
     """Draw ``col`` for every row of ``x`` at the highest level whose context
-    was seen in training (back-off), then one interval join."""
+    was seen in training (back-off: one left lookup per level on the small
+    group table), then one block join for the interval.  Few DataFrame
+    operations per column keep plan analysis cheap on long chains."""
     levels = sorted(ctx_by_level, reverse=True)
     oidc = oid if isinstance(oid, Column) else F.lit(oid).cast("long")
-    x = x.withColumn("_oid", oidc)
+    base = x.columns
+    x = x.select("*", oidc.alias("_oid"), u.alias("_u"), *[ctx_by_level[L].alias(f"_c{L}") for L in levels])
     g = tables.groups.filter(F.col("col") == col)
-    chosen_t, chosen_b, chosen_l, chosen_c = F.lit(None).cast("long"), F.lit(None).cast("long"), \
-        F.lit(None).cast("long"), F.lit(None).cast("string")
     for L in levels:
         gl = g.filter(F.col("level") == L).select(F.col("order_id").alias("_oid"), F.col("ctx").alias(f"_c{L}"),
                                                   F.col("_t").alias(f"_t{L}"), F.col("_blk").alias(f"_b{L}"))
-        x = x.withColumn(f"_c{L}", ctx_by_level[L]).join(_side(gl, tables.broadcast_groups[col]), ["_oid", f"_c{L}"], "left")
-    for L in reversed(levels):   # lowest first so higher levels win
-        hit = F.col(f"_t{L}").isNotNull()
-        chosen_t = F.when(hit, F.col(f"_t{L}")).otherwise(chosen_t)
-        chosen_b = F.when(hit, F.col(f"_b{L}")).otherwise(chosen_b)
-        chosen_l = F.when(hit, F.lit(L).cast("long")).otherwise(chosen_l)
-        chosen_c = F.when(hit, F.col(f"_c{L}")).otherwise(chosen_c)
-    x = x.select(*[c for c in x.columns if not c.startswith(("_c", "_t", "_b"))] ,
-                 chosen_t.alias("_t"), chosen_b.alias("_blk"), chosen_l.alias("_lvl"), chosen_c.alias("_ctx"))
-    x = x.withColumn("_r", F.floor(u * F.col("_t")).cast("long")) \
-         .withColumn("_k", F.floor(F.col("_r") / F.col("_blk")).cast("long"))
+        x = x.join(_side(gl, tables.broadcast_groups[col]), ["_oid", f"_c{L}"], "left")
+
+    def pick(prefix, fallback):
+        e = fallback
+        for L in sorted(levels):          # lowest first, so higher levels win
+            e = F.when(F.col(f"_t{L}").isNotNull(), F.col(f"{prefix}{L}") if prefix else F.lit(L).cast("long")).otherwise(e)
+        return e
+    t = pick("_t", F.lit(None).cast("long"))
+    blk = pick("_b", F.lit(None).cast("long"))
+    r = F.floor(F.col("_u") * t).cast("long")
+    x = x.select(*base, "_oid", pick("", F.lit(None).cast("long")).alias("_lvl"),
+                 pick("_c", F.lit(None).cast("string")).alias("_ctx"), r.alias("_r"),
+                 F.floor(r / blk).cast("long").alias("_k"))
     e = tables.entries.filter(F.col("col") == col).select(
         F.col("order_id").alias("_oid"), F.col("level").alias("_lvl"), F.col("ctx").alias("_ctx"), "_k", "lo", "hi", "_val")
-    m = x.join(_side(e, tables.broadcast_entries[col]), ["_oid", "_lvl", "_ctx", "_k"], "left") \
-         .filter(F.col("lo").isNull() | ((F.col("lo") <= F.col("_r")) & (F.col("_r") < F.col("hi"))))
-    return m.withColumnRenamed("_val", out).drop("_oid", "_lvl", "_ctx", "_k", "lo", "hi", "_r", "_t", "_blk")
+    m = x.join(_side(e, tables.broadcast_entries[col]), ["_oid", "_lvl", "_ctx", "_k"], "left")
+    m = m.filter(F.col("lo").isNull() | ((F.col("lo") <= F.col("_r")) & (F.col("_r") < F.col("hi"))))
+    return m.select(*base, F.col("_val").alias(out))
 
 
 def sample(model: ExpertModel, keys: DataFrame, seed, key: str = "sid", temperature: float = 1.0,
@@ -359,11 +362,22 @@ def impute(model: ExpertModel, df: DataFrame, seed, key: str = "row_key", max_re
     from sentable.operators.prep import same_columns, to_numeric
     from sentable.sources.io import materialize
     same_columns(df.drop(key), model.cols)
-    tables = draw_tables(model, temperature)
     num = [c for c in model.cols if c in model.numeric]
+    # A missing number ('nan', from training nulls) is never a useful draw:
+    # without it, a context that only ever saw nulls backs off to a lower
+    # level instead of failing every retry.
+    real_values = model.counts.filter(~(F.col("col").isin(num) & (F.col("value") == NAN_TEXT))) if num else model.counts
+    tables = draw_tables(ExpertModel(model.cols, model.orders, model.numeric, model.bins, real_values, model.cond),
+                         temperature)
     fixed = {c: format_value(F.col(c), df.schema[c].dataType, None) for c in model.cols}
-    cur = df.select(key, *[fixed[c].alias(c) for c in model.cols])
-    done, attempts = [], 0
+    complete0 = F.lit(True)
+    for c in model.cols:
+        complete0 = complete0 & F.col(c).isNotNull() & (~F.isnan(F.col(c)) if c in num else F.lit(True))
+    # complete rows pass through (numbers as doubles); only the others are drawn
+    done = [df.filter(complete0).select(key, *[F.col(c).cast("double").alias(c) if c in num else fixed[c].alias(c)
+                                                for c in model.cols])]
+    cur = df.filter(~complete0).select(key, *[fixed[c].alias(c) for c in model.cols])
+    attempts = 0
     for attempt in range(max_retries):
         attempts += 1
         x = complete_rows(model, cur, {c: F.col(c) for c in model.cols}, seed, key, attempt, tables)

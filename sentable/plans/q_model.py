@@ -252,11 +252,13 @@ def _sql_impute():
     from sentable.plans.sqlmodel import GRP_CTE, complete_sql
     from sentable.plans.fixtures import sql_fmt
     src_c = sql_load("C", nulls=True)
-    ctes = [model_ctes(src_c, C.cols, C.kinds, [C.cols], BINS), GRP_CTE]
+    ctes = [model_ctes(src_c, C.cols, C.kinds, [C.cols], BINS, drop_nan_numbers=True), GRP_CTE]
     num = [c for c in C.cols if C.kinds[c] in ("int", "double")]
     first = ", ".join(f"{sql_fmt(c, C.kinds[c])} AS g_{c}" for c in C.cols)
-    ctes.append(f"r0 AS (SELECT row_key, {first} FROM ({src_c}))")
-    outs = []
+    full = " AND ".join(f"{c} IS NOT NULL" for c in C.cols)
+    ctes.append(f"r0 AS (SELECT row_key, {first} FROM ({src_c}) WHERE NOT ({full}))")
+    typed0 = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in num else sql_fmt(c, C.kinds[c]) + f" AS {c}" for c in C.cols)
+    outs = [f"SELECT row_key, {typed0} FROM ({src_c}) WHERE {full}"]
     for a in range(IMPUTE_RETRIES):
         comp = complete_sql(f"SELECT * FROM r{a}", C.cols, C.kinds, BINS, SEED, attempt=a, key="row_key")
         typed = ", ".join(f"{sql_to_numeric(c)} AS {c}" if c in num else c for c in C.cols)

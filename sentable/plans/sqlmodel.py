@@ -86,8 +86,12 @@ def chain_sql(keys: str, order, oid, kinds, bins, seed, attempt=0, key="sid", gi
     return cur
 
 
-def model_ctes(src: str, cols, kinds, orders, bins, temperature=1.0, edge_src: str | None = None) -> str:
+def model_ctes(src: str, cols, kinds, orders, bins, temperature=1.0, edge_src: str | None = None,
+               drop_nan_numbers: bool = False) -> str:
     cnt = counts_sql(src, cols, kinds, orders, bins, edge_src)
+    if drop_nan_numbers:
+        num = ", ".join(f"'{c}'" for c in cols if kinds[c] in ("int", "double"))
+        cnt = f"SELECT * FROM ({cnt}) WHERE NOT (col IN ({num}) AND value = 'nan')"
     return (f"e AS ({edges_sql(edge_src or src, cols, kinds)}), cnt AS ({cnt}), "
             f"iv AS ({intervals_sql(weighted_sql('SELECT * FROM cnt', temperature))})")
 
