@@ -52,8 +52,10 @@ def build_vocab(texts: DataFrame, col: str = "text") -> DataFrame:
 def token_long(df: DataFrame, keys: list[str], text: Column, vocab: DataFrame,
                max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """(keys..., pos, piece, token) for every piece of ``text``."""
+    from sentable.sources.io import materialize
     x = df.select(*keys, F.posexplode(pieces(text)).alias("pos", "piece"))
-    v = small_side(vocab.select("piece", F.col("id").alias("token")), max_broadcast_rows)
+    # the vocabulary is a small model artefact: written once, then size-checked
+    v = small_side(materialize(vocab.select("piece", F.col("id").alias("token")), "vocab"), max_broadcast_rows)
     return x.join(v, "piece", "left").withColumn("token", F.coalesce("token", F.lit(UNK)).cast("long")) \
             .withColumn("pos", F.col("pos").cast("long"))
 
