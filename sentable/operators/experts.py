@@ -153,6 +153,7 @@ class DrawTables:
     entries: DataFrame    # GROUP + _k, lo, hi, _val   (Parquet, partitioned by col)
     broadcast_groups: dict[str, bool]
     broadcast_entries: dict[str, bool]
+    level0: dict = field(default_factory=dict)   # (order_id, col) -> (total, blk)
 
 
 def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows: int = 100_000) -> DrawTables:
@@ -173,8 +174,12 @@ def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows
     entries = materialize(entries, "entries", ["col"])
     ne = {r["col"]: r["count"] for r in entries.groupBy("col").count().collect()}
     ng = {r["col"]: r["count"] for r in groups.groupBy("col").count().collect()}
+    # level 0 has one group per (order, column): bounded by the column count,
+    # so its total and block size become literals instead of a join
+    lvl0 = {(r["order_id"], r["col"]): (r["_t"], r["_blk"])
+            for r in groups.filter(F.col("level") == 0).select("order_id", "col", "_t", "_blk").collect()}
     return DrawTables(groups, entries, {c: ng.get(c, 0) <= max_broadcast_rows for c in model.cols},
-                      {c: ne.get(c, 0) <= max_broadcast_rows for c in model.cols})
+                      {c: ne.get(c, 0) <= max_broadcast_rows for c in model.cols}, lvl0)
 
 
 def _side(df: DataFrame, b: bool) -> DataFrame:
@@ -193,6 +198,10 @@ def draw_column(x: DataFrame, tables: DrawTables, oid: int | Column, col: str, c
     x = x.select("*", oidc.alias("_oid"), u.alias("_u"), *[ctx_by_level[L].alias(f"_c{L}") for L in levels])
     g = tables.groups.filter(F.col("col") == col)
     for L in levels:
+        if L == 0 and isinstance(oid, int):
+            t0, b0 = tables.level0.get((oid, col), (None, None))
+            x = x.withColumns({"_t0": F.lit(t0).cast("long"), "_b0": F.lit(b0).cast("long")})
+            continue
         gl = g.filter(F.col("level") == L).select(F.col("order_id").alias("_oid"), F.col("ctx").alias(f"_c{L}"),
                                                   F.col("_t").alias(f"_t{L}"), F.col("_blk").alias(f"_b{L}"))
         x = x.join(_side(gl, tables.broadcast_groups[col]), ["_oid", f"_c{L}"], "left")

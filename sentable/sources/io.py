@@ -25,9 +25,12 @@ def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
     """Spread a scan that yields fewer tasks than the cluster has cores (a
     small or single-row-group file) with a round-robin repartition.  A large
     input already has enough splits, so this is a no-op at scale."""
-    sc = df.sparkSession.sparkContext
-    want = min_tasks or sc.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        sc = df.sparkSession.sparkContext
+        want = min_tasks or sc.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as it is
+        return df
     return df.repartition(want) if n < want else df
 
 
