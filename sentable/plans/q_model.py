@@ -138,10 +138,14 @@ def _split_part(name):
        + " " + eval_sql(_split_part("val"), B.cols, B.kinds, B.cols, BINS))
 def _eval_loss(spark, sf):
     """GEN-9: fit on train, loss on val (per column and mean)."""
+    from sentable.sources.io import write_metrics
     s = split(load(spark, sf, "B"), SEED, F.col("row_key"))
     train = s.filter("split = 'train'").select(*B.cols)
     val = s.filter("split = 'val'").select("row_key", *B.cols)
-    return X.evaluate(X.fit(train, B.cols, cond=COND, bins=BINS), val)
+    # SNK-5: the evaluation result is appended to a metrics table and read back
+    path = scratch_path(spark, "metrics")
+    write_metrics(X.evaluate(X.fit(train, B.cols, cond=COND, bins=BINS), val), path)
+    return spark.read.parquet(path)
 
 
 @query("merge_models", _COUNTS_B)
