@@ -170,7 +170,31 @@ def _model_roundtrip(spark, sf):
     return m.counts
 
 
-@query("select_best")
+CANDIDATES = [2, 5, 10, 20, 40, 80]
+
+
+def _sql_select_best():
+    from sentable.plans.sqlmodel import edges_sql
+    train, val = _split_part("train"), _split_part("val")
+    ctes = [f"e AS ({edges_sql(train, B.cols, B.kinds)})"]
+    means = []
+    for i, b in enumerate(CANDIDATES):
+        ctes.append(f"cnt{i} AS ({counts_sql(train, B.cols, B.kinds, [B.cols], b)})")
+        ev = eval_sql(val, B.cols, B.kinds, B.cols, b, cnt_name=f"cnt{i}")
+        means.append(f"SELECT {i}::BIGINT AS step, {b}::BIGINT AS bins, "
+                     f"(SELECT loss FROM ({ev}) WHERE \"column\" = '__mean__') AS loss")
+    ctes.append("m AS (" + " UNION ALL ".join(means) + ")")
+    ctes.append("f AS (SELECT *, loss < coalesce(min(loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING "
+                "AND 1 PRECEDING), 'inf'::DOUBLE) AS improved FROM m)")
+    ctes.append("g AS (SELECT *, step - max(CASE WHEN improved THEN step END) OVER (ORDER BY step ROWS UNBOUNDED "
+                "PRECEDING) AS bad FROM f)")
+    ctes.append("h AS (SELECT *, coalesce(max(bad) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 "
+                "PRECEDING), 0) AS prev_bad FROM g)")
+    return ("WITH " + ", ".join(ctes) + " SELECT step, bins, loss, step = (SELECT first(step ORDER BY loss, step) "
+            "FROM h WHERE prev_bad < 2) AS selected FROM h WHERE prev_bad < 2")
+
+
+@query("select_best", _sql_select_best())
 def _select_best(spark, sf):
     """GEN-10: candidate bin counts, stop after 2 non-improving evaluations,
     keep the best by validation loss (driver loop over a few candidates)."""
@@ -178,7 +202,7 @@ def _select_best(spark, sf):
     s = split(load(spark, sf, "B"), SEED, F.col("row_key"))
     train = s.filter("split = 'train'").select(*B.cols)
     val = s.filter("split = 'val'").select("row_key", *B.cols)
-    return select_best(train, val, B.cols, COND, [2, 5, 10, 20, 40, 80])
+    return select_best(train, val, B.cols, COND, CANDIDATES)
 
 
 def _sql_synth():

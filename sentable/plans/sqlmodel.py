@@ -96,18 +96,18 @@ def model_ctes(src: str, cols, kinds, orders, bins, temperature=1.0, edge_src: s
             f"iv AS ({intervals_sql(weighted_sql('SELECT * FROM cnt', temperature))})")
 
 
-def eval_sql(val: str, cols, kinds, order, bins, key="row_key") -> str:
+def eval_sql(val: str, cols, kinds, order, bins, key="row_key", cnt_name: str = "cnt", e_name: str = "e") -> str:
     """Per-column mean NLL with add-one smoothing and level back-off."""
     texts = ", ".join(f"{text_sql(c, kinds[c])} AS t_{c}" for c in cols)
-    vb = f"(SELECT v.*, e.* FROM (SELECT {key}, {texts} FROM ({val})) v, e)"
+    vb = f"(SELECT v.*, ee.* FROM (SELECT {key}, {texts} FROM ({val})) v, {e_name} ee)"
     parts = []
     for j, c in enumerate(order):
         cs = [level_ctx(order, j, L, lambda cc: f"t_{cc}", kinds, bins) if L <= min(j, 2) else "NULL::VARCHAR"
               for L in range(3)]
         parts.append(f"SELECT {key}, '{c}' AS col, t_{c} AS value, {cs[0]} AS c0, {cs[1]} AS c1, {cs[2]} AS c2 FROM {vb} e")
     cells = " UNION ALL ".join(parts)
-    tot = "SELECT col, level, ctx, sum(n) AS tot FROM cnt WHERE order_id = 0 GROUP BY ALL"
-    voc = "SELECT col, count(*) + 1 AS V FROM cnt WHERE order_id = 0 AND level = 0 GROUP BY col"
+    tot = f"SELECT col, level, ctx, sum(n) AS tot FROM {cnt_name} WHERE order_id = 0 GROUP BY ALL"
+    voc = f"SELECT col, count(*) + 1 AS V FROM {cnt_name} WHERE order_id = 0 AND level = 0 GROUP BY col"
     lv = (f"SELECT x.*, CASE WHEN t2.tot IS NOT NULL THEN 2 WHEN t1.tot IS NOT NULL THEN 1 ELSE 0 END AS level, "
           f"CASE WHEN t2.tot IS NOT NULL THEN c2 WHEN t1.tot IS NOT NULL THEN c1 ELSE '' END AS ctx, "
           f"coalesce(CASE WHEN t2.tot IS NOT NULL THEN t2.tot WHEN t1.tot IS NOT NULL THEN t1.tot ELSE t0.tot END, 0) AS tot "
@@ -115,7 +115,7 @@ def eval_sql(val: str, cols, kinds, order, bins, key="row_key") -> str:
           f"LEFT JOIN ({tot}) t1 ON t1.col = x.col AND t1.level = 1 AND t1.ctx = x.c1 "
           f"LEFT JOIN ({tot}) t2 ON t2.col = x.col AND t2.level = 2 AND t2.ctx = x.c2")
     sc = (f"SELECT l.col, -ln((coalesce(c.n, 0) + 1)::DOUBLE / (l.tot + v.V)::DOUBLE) AS nll FROM ({lv}) l "
-          f"LEFT JOIN (SELECT * FROM cnt WHERE order_id = 0) c ON c.col = l.col AND c.level = l.level AND c.ctx = l.ctx "
+          f"LEFT JOIN (SELECT * FROM {cnt_name} WHERE order_id = 0) c ON c.col = l.col AND c.level = l.level AND c.ctx = l.ctx "
           f"AND c.value = l.value JOIN ({voc}) v ON v.col = l.col")
     per = f"SELECT col, avg(nll) AS loss FROM ({sc}) GROUP BY col"
     return (f"SELECT col AS \"column\", round(loss, 6) AS loss FROM ({per}) UNION ALL "

@@ -3,7 +3,7 @@
 import __spark_entry__ as E
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas")
-NO_ORACLE = {"select_best"}
+NO_ORACLE = set()
 CHEAP = ["parse_samples", "split", "fit_experts", "tokenize_cells", "impute_prompt", "cumulative_weights",
          "encode_labels", "growing_prefix"]
 
