@@ -11,26 +11,16 @@ from pyspark.sql import functions as F
 
 from sentable.functions.fmt import formatted
 from sentable.operators.domain import long_form
+from sentable.operators.index import rank_within
 from sentable.operators.joins import small_side
 from sentable.operators.prep import to_numeric
 
-PREFIX = 3
 
 
 def dense_ids(vals: DataFrame, group: str = "column", value: str = "value", out: str = "id") -> DataFrame:
-    """WIN-1: number the distinct ``value`` of each ``group`` 0..n-1 in order.
-
-    Two levels, so no single task holds a whole group: values are split by
-    their first PREFIX characters (prefix order agrees with string order),
-    ranked inside (group, prefix), and shifted by the running size of the
-    smaller prefixes, computed on the small (group, prefix) count table."""
-    v = vals.withColumn("_p", F.substring(value, 1, PREFIX))
-    cnt = v.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    offs = cnt.select(group, "_p", (F.sum("_c").over(w) - F.col("_c")).alias("_o"))
-    rank = F.row_number().over(Window.partitionBy(group, "_p").orderBy(value))
-    return (v.withColumn("_r", rank).join(offs, [group, "_p"])
-             .select(*[c for c in vals.columns], (F.col("_o") + F.col("_r") - 1).cast("long").alias(out)))
+    """WIN-1: number the distinct ``value`` of each ``group`` 0..n-1 in order
+    (exact rank over order-preserving sampled buckets; see ``rank_within``)."""
+    return rank_within(vals, [group], value, out)
 
 
 def fit_labels(df: DataFrame, cols: list[str], fill: str = "?") -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def with_exact_index(df: DataFrame, order_hash: Column, idx: str = "idx", digits: int = 4,
@@ -46,3 +47,42 @@ def with_exact_index(df: DataFrame, order_hash: Column, idx: str = "idx", digits
     out = small.drop().unionByName(big.drop("_c"))
     extra = [F.col("_n").alias(with_count)] if with_count else []
     return out.select(*cols, (F.col("_start") + F.col("_j")).cast("long").alias(idx), *extra)
+
+
+def rank_within(df: DataFrame, group: list[str], key: str, out: str = "rank", sample: int = 4096,
+                buckets: int = 64) -> DataFrame:
+    """Exact 0-based rank of the distinct string ``key`` inside each group,
+    in string (code-point) order, without sending a group to one task.
+
+    Order-preserving buckets come from a hash-chosen sample of each group's
+    keys (at most ~``sample`` per group reach the driver, whose size is thus
+    bounded by groups x sample); each row finds its bucket among at most
+    ``buckets`` boundaries, rows are ranked inside (group, bucket), and
+    bucket sizes become offsets on a table of at most buckets+1 rows per
+    group.  Ranks are exact whatever the boundaries are; only balance
+    depends on the sample."""
+    spark = df.sparkSession
+    sizes = {tuple(r[g] for g in group): r["_n"] for r in df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).collect()}
+    u = F.conv(F.substring(F.md5(F.col(key)), 1, 12), 16, 10).cast("double") / float(16 ** 12)
+    rate = F.lit(1.0)
+    if sizes:
+        rates = spark.createDataFrame([(*k, min(1.0, sample / max(n, 1))) for k, n in sizes.items()],
+                                      [*group, "_rate"])
+        picked = df.join(F.broadcast(rates), group).filter(u < F.col("_rate"))
+    else:
+        picked = df.limit(0)
+    bounds = {}
+    for r in picked.groupBy(*group).agg(F.array_sort(F.collect_list(key)).alias("_s")).collect():
+        s = r["_s"]
+        step = max(1, len(s) // buckets)
+        bounds[tuple(r[g] for g in group)] = s[step::step][:buckets]
+    bt = spark.createDataFrame([(*k, v) for k, v in bounds.items()] or [tuple([None] * len(group)) + ([],)],
+                               df.select(*group).schema.add("_bounds", T.ArrayType(T.StringType())))
+    x = df.join(F.broadcast(bt), group, "left").withColumn(
+        "_bk", F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<string>")), lambda b: b <= F.col(key))))
+    cnt = x.groupBy(*group, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, 0)
+    offs = cnt.select(*group, "_bk", (F.sum("_c").over(w) - F.col("_c")).alias("_o"))
+    r = F.row_number().over(Window.partitionBy(*group, "_bk").orderBy(key))
+    return (x.withColumn("_r", r).join(offs, [*group, "_bk"])
+             .select(*df.columns, (F.col("_o") + F.col("_r") - 1).cast("long").alias(out)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentable.operators.index import rank_within
 from sentable.operators.joins import small_side
 
 # Piece pattern and reserved ids.
@@ -26,23 +27,15 @@ def pieces(text: Column) -> Column:
 def build_vocab(texts: DataFrame, col: str = "text") -> DataFrame:
     """TOK-1: (piece, n, id); ids by (count desc, piece) after the reserved ones.
 
-    Ranking without a global sort: pieces are grouped by count n; inside a
-    count they are ranked per (n, 2-character prefix) and shifted by the
-    prefix offsets within n (a window over at most #prefixes rows) and by the
-    offset of n (a window over the distinct counts, a small table)."""
+    Ranking without a global sort: (count desc, piece) is encoded as one
+    string key and ranked exactly over order-preserving sampled buckets
+    (``rank_within``), so no task holds the whole vocabulary."""
     p = texts.select(F.explode(pieces(F.col(col))).alias("piece"))
     counts = p.filter(~F.col("piece").isin(list(SPECIAL))).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    c = counts.withColumn("_p", F.substring("piece", 1, 2))
-    np_ = c.groupBy("n", "_p").agg(F.count(F.lit(1)).alias("_c"))
-    w_np = Window.partitionBy("n").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    np_ = np_.select("n", "_p", (F.sum("_c").over(w_np) - F.col("_c")).alias("_o1"))
-    n_ = c.groupBy("n").agg(F.count(F.lit(1)).alias("_c"))
-    w_n = Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    n_ = n_.select("n", (F.sum("_c").over(w_n) - F.col("_c")).alias("_o0"))
-    r = F.row_number().over(Window.partitionBy("n", "_p").orderBy("piece"))
-    ranked = c.withColumn("_r", r).join(np_, ["n", "_p"]).join(F.broadcast(n_), "n")
-    body = ranked.select("piece", F.col("n").cast("long").alias("n"),
-                         (F.col("_o0") + F.col("_o1") + F.col("_r") - 1 + FIRST_FREE).cast("long").alias("id"))
+    # order (n desc, piece) as one string key: fixed-width complement of n, then the piece
+    key = F.concat(F.lpad((F.lit(10 ** 18) - F.col("n")).cast("string"), 19, "0"), F.lit("\u0001"), F.col("piece"))
+    ranked = rank_within(counts.withColumn("_g", F.lit(0)).withColumn("_key", key), ["_g"], "_key", "_r")
+    body = ranked.select("piece", F.col("n").cast("long").alias("n"), (F.col("_r") + FIRST_FREE).cast("long").alias("id"))
     spark = texts.sparkSession
     special = spark.createDataFrame([("<PAD>", 0, PAD), ("<BOS>", 0, BOS_ID), ("<EOC>", 0, EOC_ID), ("<UNK>", 0, UNK)],
                                     "piece string, n long, id long")

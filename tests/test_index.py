@@ -31,3 +31,15 @@ def test_independent_of_partitioning(spark):
     a = {(r.k, r.idx) for r in with_exact_index(df.repartition(7), hash_hex(9, "t", F.col("k"))).collect()}
     b = {(r.k, r.idx) for r in with_exact_index(df.coalesce(1), hash_hex(9, "t", F.col("k"))).collect()}
     assert a == b
+
+
+def test_rank_within_shared_prefix_many_buckets(spark):
+    from sentable.operators.index import rank_within
+    rows = [("a", f"Customer#{i:06d}") for i in range(3000)] + [("b", f"x{i}") for i in range(500)] + [("c", "only")]
+    df = spark.createDataFrame(rows, "g string, k string")
+    got = {(r.g, r.k): r.rank for r in rank_within(df, ["g"], "k", sample=200, buckets=16).collect()}
+    want = {}
+    for g in ("a", "b", "c"):
+        for i, k in enumerate(sorted(k for gg, k in rows if gg == g)):
+            want[(g, k)] = i
+    assert got == want
