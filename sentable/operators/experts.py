@@ -288,7 +288,10 @@ def evaluate(model: ExpertModel, val: DataFrame, key: str = "row_key", oid: int
     vocab = cnt.filter(F.col("level") == 0).groupBy("col").agg((F.count(F.lit(1)) + 1).alias("V"))
     for L in range(3):
         t = tot.filter(F.col("level") == L).select("col", F.col("ctx").alias(f"c{L}"), F.col("tot").alias(f"t{L}"))
-        cells = cells.join(t, ["col", f"c{L}"], "left")
+        # level 0 has one row per column (every cell of a column shares its
+        # key): broadcast; deeper levels grow with the data and are left to
+        # the planner and AQE's skew handling
+        cells = cells.join(F.broadcast(t) if L == 0 else t, ["col", f"c{L}"], "left")
     lvl = F.when(F.col("t2").isNotNull(), 2).when(F.col("t1").isNotNull(), 1).otherwise(0).cast("long")
     cells = cells.withColumn("level", lvl) \
         .withColumn("ctx", F.when(F.col("level") == 2, F.col("c2")).when(F.col("level") == 1, F.col("c1")).otherwise(F.lit(""))) \
