@@ -30,7 +30,9 @@ def domain_flags(parsed: DataFrame, dom: DataFrame, cols: list[str], max_broadca
 
     Each per-column domain is a left join on (value); the domain side is
     broadcast only after its row count is checked, else a shuffle join."""
+    from sentable.sources.io import materialize
     out = parsed
+    dom = materialize(dom, "domains", ["column"])   # small: computed once, read per column
     for c in cols:
         d = dom.filter(F.col("column") == c).select(F.col("value").alias(f"_dv_{c}")).distinct()
         d = small_side(d, max_broadcast_rows).withColumn(f"_in_{c}", F.lit(True))
@@ -42,7 +44,9 @@ def domain_flags(parsed: DataFrame, dom: DataFrame, cols: list[str], max_broadca
 def in_domain(parsed: DataFrame, dom: DataFrame, cols: list[str], max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """JN-1: keep rows whose values occur in the real table, column by column
     (left-semi joins; the small per-column domain is broadcast when checked small)."""
+    from sentable.sources.io import materialize
     out = parsed
+    dom = materialize(dom, "domains", ["column"])   # small: computed once, read per column
     for c in cols:
         d = dom.filter(F.col("column") == c).select(F.col("value").alias(f"_dv_{c}")).distinct()
         d = small_side(d, max_broadcast_rows)

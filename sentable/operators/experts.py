@@ -173,11 +173,17 @@ def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows
                .select(*GROUP, "_k", "lo", "hi", F.col("value").alias("_val")))
     entries = materialize(entries, "entries", ["col"])
     ne = {r["col"]: r["count"] for r in entries.groupBy("col").count().collect()}
-    ng = {r["col"]: r["count"] for r in groups.groupBy("col").count().collect()}
-    # level 0 has one group per (order, column): bounded by the column count,
-    # so its total and block size become literals instead of a join
-    lvl0 = {(r["order_id"], r["col"]): (r["_t"], r["_blk"])
-            for r in groups.filter(F.col("level") == 0).select("order_id", "col", "_t", "_blk").collect()}
+    # one row per (order, column): group counts and the level-0 group, whose
+    # total and block size become literals instead of a join
+    per = groups.groupBy("order_id", "col").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("level") == 0, F.col("_t"))).alias("_t0"),
+        F.max(F.when(F.col("level") == 0, F.col("_blk"))).alias("_b0")).collect()
+    ng: dict[str, int] = {}
+    lvl0 = {}
+    for r in per:
+        ng[r["col"]] = ng.get(r["col"], 0) + r["_n"]
+        if r["_t0"] is not None:
+            lvl0[(r["order_id"], r["col"])] = (r["_t0"], r["_b0"])
     return DrawTables(groups, entries, {c: ng.get(c, 0) <= max_broadcast_rows for c in model.cols},
                       {c: ne.get(c, 0) <= max_broadcast_rows for c in model.cols}, lvl0)
 
