@@ -16,7 +16,6 @@ level whose context exists, backing off to lower levels otherwise.
 from __future__ import annotations
 
 import json
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 from sentable.functions.fmt import format_value, is_numeric_type
 from sentable.functions.hashing import uniform
 from sentable.operators.dist import intervals
-from sentable.operators.joins import small_side
 
 SEP = "\u0001"          # joins anchor and previous context values
 NAN_TEXT = "nan"        # text of a missing number (Plain-mode rows)
@@ -327,9 +325,6 @@ def load(spark, path: str) -> ExpertModel:
     return ExpertModel(cols, orders, num, bins, counts, cond, a)
 
 
-def is_finite(x) -> bool:
-    return x is not None and not (isinstance(x, float) and (math.isnan(x) or math.isinf(x)))
-
 
 # ---------------------------------------------------------- completion
 def complete_rows(model: ExpertModel, x: DataFrame, fixed: dict[str, Column], seed, key: str,
