@@ -7,7 +7,9 @@ column by column.  Here each column's expert is a count table:
 
 for a generation order c1..cm (c1 = anchor).  Contexts of column cj:
 level 0 = nothing, level 1 = the previous column, level 2 = (anchor,
-previous).  Numeric context values are binned on edges frozen at fit time;
+previous); level 3 = the next column, used only when completing a row whose
+anchor is missing but whose next cell is given.  Numeric context values are
+binned on edges frozen at fit time;
 drawn values are always real training strings.  Sampling walks the order and
 draws each column with an interval join (see ``dist.draw``) at the highest
 level whose context exists, backing off to lower levels otherwise.
@@ -30,6 +32,7 @@ NAN_TEXT = "nan"        # text of a missing number (Plain-mode rows)
 FILL_TEXT = "?"         # text of a missing category (after fill_na)
 SCALE = 1_000_000       # integer weight resolution for tempered draws
 GROUP = ["order_id", "col", "level", "ctx"]
+NEXT_LEVEL = 3          # context = the next column in order (used to complete the anchor)
 
 
 @dataclass
@@ -73,6 +76,8 @@ def ctx_value(model_numeric: dict, bins: int, c: str, text: Column) -> Column:
 def _ctx(model, order, j, level, get: dict[str, Column]) -> Column:
     if level == 0:
         return F.lit("")
+    if level == NEXT_LEVEL:
+        return ctx_value(model.numeric, model.bins, order[j + 1], get[order[j + 1]])
     prev = ctx_value(model.numeric, model.bins, order[j - 1], get[order[j - 1]])
     if level == 1:
         return prev
@@ -113,7 +118,8 @@ def fit(df: DataFrame, cols: list[str] | None = None, cond: str | None = None, b
     items = []
     for oid, o in enumerate(orders):
         for j, c in enumerate(o):
-            for level in range(0, min(j, 2) + 1):
+            levels = list(range(0, min(j, 2) + 1)) + ([NEXT_LEVEL] if j + 1 < len(o) else [])
+            for level in levels:
                 items.append(F.struct(F.lit(oid).cast("long").alias("order_id"), F.lit(c).alias("col"),
                                       F.lit(level).cast("long").alias("level"),
                                       _ctx(model, o, j, level, text).alias("ctx"), text[c].alias("value")))
@@ -339,6 +345,10 @@ def complete_rows(model: ExpertModel, x: DataFrame, fixed: dict[str, Column], se
     for j, c in enumerate(o):
         get = {cc: F.col(cc) for cc in o[:j]}
         levels = {L: _ctx(model, o, j, L, get) for L in range(0, min(j, 2) + 1)}
+        if j == 0 and len(o) > 1:
+            # the anchor has no earlier column: condition on the next cell when it is given
+            nxt = F.col(f"_g_{o[1]}")
+            levels[NEXT_LEVEL] = F.when(nxt.isNotNull(), _ctx(model, o, 0, NEXT_LEVEL, {o[1]: nxt}))
         u = uniform(seed, F.lit(f"draw:{attempt}:0:{c}"), F.col(key))
         x = draw_column(x, tables, 0, c, levels, u, "_d")
         x = x.withColumn(c, F.coalesce(F.col(f"_g_{c}"), F.col("_d"))).drop("_d")

@@ -20,9 +20,14 @@ def ctx_sql(c: str, t: str, kinds: dict, bins: int) -> str:
     return f"CAST(CAST({b} AS BIGINT) AS VARCHAR)"
 
 
+NEXT_LEVEL = 3
+
+
 def level_ctx(order, j, level, get, kinds, bins):
     if level == 0:
         return "''"
+    if level == NEXT_LEVEL:
+        return ctx_sql(order[j + 1], get(order[j + 1]), kinds, bins)
     prev = ctx_sql(order[j - 1], get(order[j - 1]), kinds, bins)
     if level == 1:
         return prev
@@ -42,7 +47,7 @@ def counts_sql(src: str, cols, kinds, orders, bins, edge_src: str | None = None)
     parts = []
     for oid, o in enumerate(orders):
         for j, c in enumerate(o):
-            for L in range(0, min(j, 2) + 1):
+            for L in list(range(0, min(j, 2) + 1)) + ([NEXT_LEVEL] if j + 1 < len(o) else []):
                 ctx = level_ctx(o, j, L, lambda cc: f"t_{cc}", kinds, bins)
                 parts.append(f"SELECT {oid}::BIGINT AS order_id, '{c}' AS col, {L}::BIGINT AS level, {ctx} AS ctx, "
                              f"t_{c} AS value, count(*)::BIGINT AS n FROM {base} GROUP BY ALL")
@@ -130,6 +135,10 @@ def complete_sql(src: str, order, kinds, bins, seed, attempt=0, key="sid") -> st
     for j, c in enumerate(order):
         levels = list(range(0, min(j, 2) + 1))
         ks = {L: level_ctx(order, j, L, lambda cc: f"s.{cc}", kinds, bins) for L in levels}
+        if j == 0 and len(order) > 1:
+            levels.append(NEXT_LEVEL)
+            ks[NEXT_LEVEL] = (f"CASE WHEN s.g_{order[1]} IS NOT NULL THEN "
+                              f"{level_ctx(order, 0, NEXT_LEVEL, lambda cc: f's.g_{cc}', kinds, bins)} END")
         u = sql_u(seed, f"'draw:{attempt}:0:{c}'", f"s.{key}")
         joins = " ".join(f"LEFT JOIN grp g{L} ON g{L}.order_id = 0 AND g{L}.col = '{c}' AND g{L}.level = {L} "
                          f"AND g{L}.ctx = {ks[L]}" for L in levels)
