@@ -16,7 +16,7 @@ import __spark_entry__ as E  # noqa: E402
 SUBSET = ["stringify", "parse_strict", "parse_terminated", "parse_lenient", "parse_report", "split", "fit_labels",
           "decode_labels", "start_categorical", "start_continuous", "permuted_row_text", "fit_experts",
           "sample_fixed", "sample_random_order", "eval_loss", "impute", "tokenize_cells", "pad_batch",
-          "synthesize"]
+          "synthesize", "stream_parse", "snapshot_roundtrip", "read_split", "sample_prompts"]
 
 
 @pytest.fixture(scope="module")
