@@ -245,6 +245,11 @@ def sample(model: ExpertModel, keys: DataFrame, seed, key: str = "sid", temperat
     unioned.  Lineage is cut with a reliable checkpoint every few columns."""
     tables = tables or draw_tables(model, temperature)
     given = given or {}
+    if order_of is not None and len(model.orders) > 1:
+        # every order's sub-plan filters the same keys: derive them once
+        from sentable.sources.io import materialize
+        keys = materialize(keys.withColumn("_order", order_of), "sample-keys")
+        order_of = F.col("_order")
     parts = []
     for oid, o in enumerate(model.orders):
         x = keys if order_of is None or len(model.orders) == 1 else keys.filter(order_of == oid)
@@ -260,7 +265,7 @@ def sample(model: ExpertModel, keys: DataFrame, seed, key: str = "sid", temperat
             if checkpoint_every and (j + 1) % checkpoint_every == 0 and j + 1 < len(o):
                 from sentable.sources.io import materialize
                 x = materialize(x, "sample-part")
-        parts.append(x.select(*[cc for cc in keys.columns], *model.cols))
+        parts.append(x.select(*[cc for cc in keys.columns if cc != "_order"], *model.cols))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -14,6 +14,9 @@ def select_best(train: DataFrame, val: DataFrame, cols: list[str], cond: str | N
     after ``patience`` evaluations without improvement; report every
     evaluated candidate with the chosen one flagged.  Only the mean loss of
     each candidate reaches the driver."""
+    from sentable.sources.io import materialize
+    # every candidate reads both inputs: derive them once
+    train, val = materialize(train, "select-train"), materialize(val, "select-val")
     rows, best, bad = [], None, 0
     edges = X.numeric_edges(train, cols)
     for i, b in enumerate(candidates):

@@ -138,8 +138,8 @@ def _split_part(name):
        + " " + eval_sql(_split_part("val"), B.cols, B.kinds, B.cols, BINS))
 def _eval_loss(spark, sf):
     """GEN-9: fit on train, loss on val (per column and mean)."""
-    from sentable.sources.io import write_metrics
-    s = split(load(spark, sf, "B"), SEED, F.col("row_key"))
+    from sentable.sources.io import materialize, write_metrics
+    s = materialize(split(load(spark, sf, "B"), SEED, F.col("row_key")), "split")
     train = s.filter("split = 'train'").select(*B.cols)
     val = s.filter("split = 'val'").select("row_key", *B.cols)
     # SNK-5: the evaluation result is appended to a metrics table and read back
