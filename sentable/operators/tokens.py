@@ -46,9 +46,17 @@ def token_long(df: DataFrame, keys: list[str], text: Column, vocab: DataFrame,
                max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """(keys..., pos, piece, token) for every piece of ``text``."""
     from sentable.sources.io import materialize
-    x = df.select(*keys, F.posexplode(pieces(text)).alias("pos", "piece"))
     # the vocabulary is a small model artefact: written once, then size-checked
-    v = small_side(materialize(vocab.select("piece", F.col("id").alias("token")), "vocab"), max_broadcast_rows)
+    vm = materialize(vocab.select("piece", F.col("id").alias("token")), "vocab")
+    n = vm.limit(max_broadcast_rows + 1).count()
+    if n <= max_broadcast_rows:
+        # broadcast lookup keeps the input's partitioning, so hashing the
+        # (one-row-per-text) input by its first key lets the later per-key
+        # regroup run without moving the (many) token rows
+        df, v = df.repartition(keys[0]), F.broadcast(vm)
+    else:
+        v = vm
+    x = df.select(*keys, F.posexplode(pieces(text)).alias("pos", "piece"))
     return x.join(v, "piece", "left").withColumn("token", F.coalesce("token", F.lit(UNK)).cast("long")) \
             .withColumn("pos", F.col("pos").cast("long"))
 
