@@ -25,3 +25,16 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["sid", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
     assert df.count() > 0
+
+
+def test_parse_extraction_not_pushed_into_a_filter(spark, small_dir):
+    """keep_if: the regex extraction runs once in a projection, never inside a
+    Filter pushed down under the exchange that spreads the scan."""
+    plan = E.queries()["parse_strict"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not [ln for ln in plan.splitlines() if "Filter" in ln and "regexp_extract_all" in ln]
+
+
+def test_draw_chain_has_no_nested_loop_join(spark, small_dir):
+    for name in ("sample_fixed", "synthesize"):
+        plan = E.queries()[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
