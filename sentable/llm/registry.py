@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from sentable.llm import exact_dedup
+from sentable.llm import exact_dedup, licenses, secrets
 
 QUERIES = {
+    "op1_license_scan": licenses.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op4_secret_scan": secrets.query,
 }
 SQL = {
+    "op1_license_scan": licenses.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
+    "op4_secret_scan": secrets.SQL,
 }
