@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sentable.llm import exact_dedup, licenses, secrets
+from sentable.llm import exact_dedup, licenses, secrets, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.query,
     "op2_exact_dedup": exact_dedup.query,
     "op4_secret_scan": secrets.query,
+    "op7_toxicity": toxicity.query,
 }
 SQL = {
     "op1_license_scan": licenses.SQL,
