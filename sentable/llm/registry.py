@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from sentable.llm import exact_dedup, licenses, secrets, toxicity
+from sentable.llm import exact_dedup, licenses, secrets, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": licenses.query,
     "op2_exact_dedup": exact_dedup.query,
     "op4_secret_scan": secrets.query,
     "op7_toxicity": toxicity.query,
+    "op9_warc": warc.query,
 }
 SQL = {
     "op1_license_scan": licenses.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op4_secret_scan": secrets.SQL,
+    "op9_warc": warc.SQL,
 }
