@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sentable.llm import exact_dedup, licenses, secrets, toxicity, warc
+from sentable.llm import decontam, exact_dedup, licenses, pieces, secrets, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": licenses.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_decontamination": decontam.query,
     "op4_secret_scan": secrets.query,
     "op7_toxicity": toxicity.query,
     "op9_warc": warc.query,
+    "op10_sentencepiece": pieces.query,
 }
 SQL = {
     "op1_license_scan": licenses.SQL,
