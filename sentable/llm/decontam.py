@@ -20,29 +20,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentable.functions.rows import barrier, keep_if
 from sentable.llm.common import cut, numbered, small_side, table
 from sentable.llm.licenses import words_of
 
-MASKS = ["1101010011", "111000101001", "1100100100011"]
+MASKS = ["1101010011", "1110010101", "1100110011"]      # all start with 11
 SPAN, SHARE = 20, 0.8
 BLOCK = 1024
 
 
-def seeds(words: str, masks: list[str], full: bool) -> Column:
-    """(at, seed) of every mask at every place of the array ``words``; ``full``:
-    only where the whole mask fits."""
-    def seed(k: int, mask: str, i: Column) -> Column:
-        used = [F.get(words, i + j) for j, c in enumerate(mask) if c == "1"]
-        return F.xxhash64(F.lit(k), *used)
+def used(mask: str) -> list[int]:
+    return [j for j, c in enumerate(mask) if c == "1"]
 
-    n = F.size(words)
-    parts = []
-    for k, mask in enumerate(masks):
-        last = n - len(mask) if full else n - 1
-        parts.append(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(  # noqa: B023
-            i.alias("at"), seed(k, mask, i).alias("seed"))))  # noqa: B023
-            .otherwise(F.array().cast("array<struct<at:int,seed:bigint>>")))
-    return F.concat(*parts)
+
+def places(df: DataFrame, words: str, count: Column, masks: list[str], *keep: Column) -> DataFrame:
+    """A row for each of the first ``count`` places of the array ``words``: ``at`` and the
+    words o0, o1, ... there and after it that some mask uses (null past the end)."""
+    offsets = sorted({j for m in masks for j in used(m)})
+    ahead = F.arrays_zip(*[F.slice(words, j + 1, count).alias(f"o{j}") for j in offsets])
+    return df.select(*keep, F.posexplode(ahead).alias("at", "o")).select(*keep, "at", "o.*")
+
+
+def pair() -> Column:
+    return F.xxhash64("o0", "o1")
+
+
+def seed_array(masks: list[str]) -> Column:
+    """The seeds at a place; null for a mask that goes past the end."""
+    return F.array(*[F.when(F.col(f"o{used(m)[-1]}").isNotNull(), F.xxhash64(F.lit(k), *[f"o{j}" for j in used(m)]))
+                     for k, m in enumerate(masks)])
 
 
 def benchmark_seeds(benchmark: DataFrame, masks: list[str], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -51,8 +57,9 @@ def benchmark_seeds(benchmark: DataFrame, masks: list[str], id_col: str, text_co
              .where(F.size("item") >= min(map(len, masks)))
              .groupBy("item").agg(F.min("item_id").alias("item_id")))
     items = cut(items.select(F.monotonically_increasing_id().alias("item_no"), "item_id", "item"), "benchmark-items")
-    s = items.select("item_no", F.explode(seeds("item", masks, full=True)).alias("s")).select("item_no", "s.*")
-    return items, cut(s.withColumnRenamed("at", "item_at"), "benchmark-seeds")
+    s = places(items, "item", F.size("item"), masks, F.col("item_no")).select(
+        "item_no", F.col("at").alias("item_at"), pair().alias("pair"), F.explode(seed_array(masks)).alias("seed"))
+    return items, cut(s.where("seed IS NOT NULL"), "benchmark-seeds")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None = None, span: int = SPAN,
@@ -64,28 +71,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
     longest = max(map(len, masks))
     items, known = benchmark_seeds(benchmark, masks, item_col, item_text)
     numbered_docs = numbered(docs, id_col, text_col)
-    words = numbered_docs.select("rid", words_of(text_col).alias("words")).where(F.size("words") > 0)
-    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK))
+    words = numbered_docs.select("rid", words_of(text_col).alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(BLOCK))
     blocks = words.select("rid", F.explode(F.transform(starts, lambda s: F.struct(
-        s.alias("from"), F.slice("words", s + 1, BLOCK + longest - 1).alias("w")))).alias("b"))
-    hashed = blocks.select("rid", F.col("b.from").alias("from"), F.col("b.w").alias("w")).select(
-        "rid", "from", F.explode(seeds("w", masks, full=False)).alias("s")).select(
-        "rid", (F.col("from") + F.col("s.at")).alias("at"), F.col("s.seed").alias("seed"))
-    hits = (hashed.join(small_side(known), "seed")
+        s.alias("from"), F.slice("words", s + 1, BLOCK + longest - 1).alias("w")))).alias("b")).select("rid", "b.*")
+    here = places(blocks, "w", F.lit(BLOCK), masks, F.col("rid"), F.col("from"))
+    # all masks use their first two words: places whose pair no benchmark seed starts with drop out
+    here = here.withColumn("pair", pair()).join(
+        small_side(cut(known.select("pair").distinct(), "benchmark-pairs")), "pair", "left_semi")
+    hashed = here.select("rid", (F.col("from") + F.col("at")).alias("at"), F.explode(seed_array(masks)).alias("seed"))
+    hits = (hashed.join(small_side(known.drop("pair")), "seed")
             .select("rid", "item_no", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
     hits = cut(hits, "seed-hits")
-    near = numbered_docs.join(small_side(hits), "rid").join(_broadcast_items(items), "item_no").select(
-        "rid", F.col(f"`{id_col}`").alias("doc_id"), "item_id", "item", "shift", words_of(text_col).alias("words"))
+    near = barrier(numbered_docs.join(small_side(cut(hits.select("rid").distinct(), "hit-documents")), "rid", "left_semi")
+                   .select("rid", F.col(f"`{id_col}`").alias("doc_id"), words_of(text_col).alias("words")))
+    near = near.join(small_side(hits), "rid").join(_broadcast_items(items), "item_no")
     size = F.size("item")
     width = F.least(F.lit(span), size)
     need = F.ceil(width * share - 1e-9)
     equal = F.transform("item", lambda w, k: F.when(F.get("words", F.col("shift") + k) == w, 1).otherwise(0))
-    near = near.select("rid", "doc_id", "item_id", "shift", size.alias("size"), width.alias("width"),
-                       need.alias("need"), equal.alias("equal"))
+    near = barrier(near.select("rid", "doc_id", "item_id", "shift", size.alias("size"), width.alias("width"),
+                               need.alias("need"), equal.alias("equal")))
     total = lambda start, n: F.aggregate(F.slice("equal", start + 1, n), F.lit(0), lambda a, x: a + x)
     good = F.filter(F.sequence(F.lit(0), F.col("size") - F.col("width")),
                     lambda s: total(s, F.col("width")) >= F.col("need"))
-    near = near.withColumn("good", good).where(F.size("good") > 0)
+    near = keep_if(near.withColumn("good", good), F.size("good") > 0)
     first, end = F.array_min("good"), F.array_max("good") + F.col("width")
     near = near.select("rid", "doc_id", "item_id", total(first, end - first).cast("long").alias("n_equal"),
                        (F.col("shift") + first).cast("long").alias("first_word"),

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentable.llm.common import WORD, ascii_lower, cut, numbered, small_side, table, text_or_empty
+from sentable.llm.common import cut, numbered, small_side, split_words, table, text_or_empty
 
 WINDOW, STRIDE, THRESHOLD = 64, 32, 0.9
 
@@ -77,7 +77,7 @@ def needed(size: int, threshold: float = THRESHOLD) -> int:
 
 
 def words_of(text_col: str) -> Column:
-    return F.regexp_extract_all(ascii_lower(text_or_empty(text_col)), F.lit(WORD), F.lit(0))
+    return split_words(text_or_empty(text_col))
 
 
 def token_order(docs: DataFrame, text_col: str, vocab: list[str]) -> dict[str, int]:
