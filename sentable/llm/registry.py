@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sentable.llm import decontam, exact_dedup, licenses, pieces, secrets, toxicity, warc
+from sentable.llm import decontam, exact_dedup, licenses, line_dedup, pieces, secrets, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontam.query,
     "op4_secret_scan": secrets.query,
     "op7_toxicity": toxicity.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_warc": warc.query,
     "op10_sentencepiece": pieces.query,
 }
