@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sentable.llm import decontam, exact_dedup, licenses, line_dedup, near_dedup, pieces, secrets, toxicity, warc
+from sentable.llm import decontam, exact_dedup, language_model, licenses, line_dedup, near_dedup, pieces, secrets, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": licenses.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_decontamination": decontam.query,
     "op4_secret_scan": secrets.query,
+    "op5_language_model": language_model.query,
     "op6_near_dedup": near_dedup.query,
     "op7_toxicity": toxicity.query,
     "op8_line_dedup": line_dedup.query,
