@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from sentable.sources.io import materialize
 
@@ -57,6 +58,31 @@ def numbered(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("rid"), *[F.col(f"`{c}`") for c in cols])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def extended(df: DataFrame, **more: DataType) -> StructType:
+    """The schema of ``df`` with further columns."""
+    return StructType([*df.schema.fields, *[StructField(k, t) for k, t in more.items()]])
+
+
+def replacing(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that an operator will add under ``names``."""
+    return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose places in the scan are in ``gone`` (rid)."""
+    rid = fresh(docs, "rid")
+    return (docs.withColumn(rid, F.monotonically_increasing_id())
+            .join(small_side(gone).toDF(rid), rid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, a materialised table of fixed-width columns, marked for
     broadcast if it has at most ``rows`` rows; else joined by a shuffle."""

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentable.functions.rows import barrier, keep_if
-from sentable.llm.common import cut, numbered, small_side, table
+from sentable.llm.common import cut, numbered, small_side, table, without_rows
 from sentable.llm.licenses import words_of
 
 MASKS = ["1101010011", "1110010101", "1100110011"]      # all start with 11
@@ -118,7 +118,4 @@ def query(spark, sf_dir):
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go."""
     bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select("rid").distinct()
-    bad = small_side(cut(bad, "contaminated"))
-    names = docs.columns
-    return (docs.withColumn("_rid", F.monotonically_increasing_id())
-            .join(bad.withColumnRenamed("rid", "_rid"), "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in names]))
+    return without_rows(docs, cut(bad, "contaminated"))

@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from sentable.llm.common import LOWER_BYTES, cut, numbered, small_side, table, text_or_empty
+from sentable.llm.common import LOWER_BYTES, cut, extended, fresh, numbered, replacing, small_side, table, text_or_empty
 
 MIN_WORDS = 8
 SLICE = 1_000
@@ -176,12 +177,15 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines that stay as its text, and the numbers of lines with words before and after."""
+    """``docs`` with the lines that stay as its text, and ``n_lines`` and ``n_kept``, its lines with
+    words before and after (columns of these names are replaced)."""
+    docs = replacing(docs, "n_lines", "n_kept")
     names = docs.columns
     at = names.index(text_col)
-    kept = kept_lines(docs, min_words, id_col, text_col).withColumnsRenamed({"rid": "_rid", "kept": "_kept"})
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(kept, "_rid", "left").select(
-        *[F.col(f"`{c}`") for c in names], F.col("_kept"))
+    rid, kept_col = fresh(docs, "rid"), fresh(docs, "kept")
+    kept = kept_lines(docs, min_words, id_col, text_col).toDF(rid, kept_col)
+    rows = docs.withColumn(rid, F.monotonically_increasing_id()).join(kept, rid, "left").select(
+        *[F.col(f"`{c}`") for c in [*names, kept_col]])
 
     def rebuild(batches):
         for b in _slices(batches):
@@ -196,22 +200,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
             cols = list(b.columns[:len(names)])
             cols[at] = pa.array(text, cols[at].type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(before, pa.int64()), pa.array(after, pa.int64())],
-                                             [*names, "_lines", "_lines_kept"])
+                                             [*names, "n_lines", "n_kept"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(rebuild, f"{schema}, _lines long, _lines_kept long")
+    return rows.mapInArrow(rebuild, extended(docs, n_lines=LongType(), n_kept=LongType()))
 
 
 def query(spark, sf_dir):
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_lines_kept").alias("n_kept"),
-                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents keep the lines that stay; a document that
     loses all its lines with words goes (one that had none stays as it is)."""
     names = docs.columns
-    out = dedup_lines(docs).where("_lines = 0 OR _lines_kept > 0")
+    own = {c: fresh(docs, c + "_") for c in ("n_lines", "n_kept") if c in names}     # not to be replaced
+    out = dedup_lines(docs.withColumnsRenamed(own)).where("n_lines = 0 OR n_kept > 0").drop("n_lines", "n_kept")
+    out = out.withColumnsRenamed({v: k for k, v in own.items()})
     lengths = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {}
     return out.withColumns(lengths).select(*[F.col(f"`{c}`") for c in names])

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentable.llm.common import WORD_BYTES, cut, numbered, small_side, table, text_or_empty
+from sentable.llm.common import WORD_BYTES, cut, numbered, small_side, table, text_or_empty, without_rows
 from sentable.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -302,7 +302,5 @@ def query(spark, sf_dir):
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the row with the smallest doc_id stays."""
-    names = docs.columns
-    gone = cut(NearDuplicates(docs).classes().where("NOT kept").select(F.col("rid").alias("_rid")), "near-duplicates")
-    return (docs.withColumn("_rid", F.monotonically_increasing_id()).join(small_side(gone), "_rid", "left_anti")
-            .select(*[F.col(f"`{c}`") for c in names]))
+    gone = NearDuplicates(docs).classes().where("NOT kept").select("rid")
+    return without_rows(docs, cut(gone, "near-duplicates"))

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
 
-from sentable.llm.common import table, text_or_empty
+from sentable.llm.common import extended, fresh, replacing, table, text_or_empty
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = b"\xff"                       # stands for the space mark; not a byte of any UTF-8 text
@@ -225,10 +226,11 @@ def decode(ids, v: Vocab) -> bytes:
 
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text") -> DataFrame:
-    """``docs`` with piece_ids array<int>, n_byte_pieces and decoded, the text made from the ids again."""
+    """``docs`` with piece_ids array<int>, n_byte_pieces and decoded, the text made from the ids
+    again (columns of these names are replaced)."""
+    docs = replacing(docs, "piece_ids", "n_byte_pieces", "decoded")
     v = docs.sparkSession.sparkContext.broadcast(load(model))
     names = docs.columns
-    given = [F.col(f"`{c}`") for c in names]
 
     def run(batches):
         encoder = Encoder(v.value)
@@ -244,13 +246,11 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text")
                 n_bytes = pa.array([int(is_byte[x].sum()) for x in ids], pa.int64())
                 text = pa.array([decode(x.tolist(), encoder.v) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], lists, n_bytes, text],
-                                                 [*names, "_ids", "_n_bytes", "_decoded"])
+                                                 [*names, "piece_ids", "n_byte_pieces", "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return (docs.select(*given, text_or_empty(text_col).cast("binary").alias("_bytes"))
-            .mapInArrow(run, f"{schema}, _ids array<int>, _n_bytes long, _decoded binary")
-            .select(*given, F.col("_ids").alias("piece_ids"), F.col("_n_bytes").alias("n_byte_pieces"),
-                    F.col("_decoded").cast("string").alias("decoded")))
+    schema = extended(docs, piece_ids=ArrayType(IntegerType()), n_byte_pieces=LongType(), decoded=BinaryType())
+    return (docs.withColumn(fresh(docs, "bytes"), text_or_empty(text_col).cast("binary"))
+            .mapInArrow(run, schema).withColumn("decoded", F.col("decoded").cast("string")))
 
 
 def query(spark, sf_dir):
@@ -263,7 +263,4 @@ def query(spark, sf_dir):
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with their piece ids; the text is what these decode to."""
-    names = docs.columns
-    out = encode(docs, text_col="text")
-    return out.select(*[F.when(F.col("text").isNotNull(), F.col("decoded")).alias("text") if c == "text"
-                        else F.col(f"`{c}`") for c in names], "piece_ids", "n_byte_pieces")
+    return encode(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("decoded"))).drop("decoded")

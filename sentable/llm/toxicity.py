@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from sentable.llm.common import WORD_BYTES, cut, fold, table
+from sentable.llm.common import WORD_BYTES, cut, extended, fold, numbered, replacing, table, without_rows
 
 SAMPLE = 40_000        # labelled rows to learn from, at most (a uniform sample by a hash of the id)
 FEATURES = 2_000      # features the model keeps
@@ -184,38 +185,38 @@ def train(y, rows, pairs, n_features: int, cf_weight: float, l1: float = L1, ste
     return np.concatenate([[bias], w])
 
 
-def score(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
-          cut_at: float = CUT) -> DataFrame:
-    """``docs`` with a score and a prediction for each row."""
+def score(docs: DataFrame, weights: dict[str, float], text_col: str = "text", cut_at: float = CUT) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted`` (columns of these names are replaced)."""
+    docs = replacing(docs, "score", "predicted")
     model = docs.sparkSession.sparkContext.broadcast({f: w for f, w in weights.items() if f == "" or w})
-    out = docs.schema.names
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches):
         weight = model.value
         bias = weight[""]
         for b in batches:
             scores = []
-            for text in b.column(out.index(text_col)).to_pylist():
+            for text in b.column(at).to_pylist():
                 found = {f for w in words(text) for f in word_features(w) if f in weight}
-                scores.append(1 / (1 + np.exp(-(bias + sum(weight[f] for f in sorted(found))))))
-            s = pa.array(scores, pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, s], [*out, "_score"])
+                logit = bias + sum(weight[f] for f in sorted(found))
+                scores.append(1 / (1 + np.exp(-min(max(logit, -700.0), 700.0))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, _score double").withColumn(
-        "_predicted", (F.col("_score") >= cut_at).cast("int"))
+    return docs.mapInArrow(run, extended(docs, score=DoubleType())).withColumn(
+        "predicted", (F.col("score") >= cut_at).cast("int"))
 
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs, weights).select(
-        "doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), F.col("_score").alias("score"),
-        F.col("_predicted").alias("predicted"))
+        "doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go; all others stay as they are."""
-    cols = docs.columns
     weights = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score(docs, weights).where("_predicted = 0").select(*[F.col(f"`{c}`") for c in cols])
+    scored = score(numbered(docs, "text"), weights)
+    gone = cut(scored.where("predicted = 1").select("rid"), "toxic")
+    return without_rows(docs, gone)
