@@ -86,6 +86,17 @@ def py_double_str(x: Column) -> Column:
             .otherwise(_exponent_form(_shortest_java(x))))
 
 
+def quoted(name: str) -> str:
+    """A column name as a reference, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def is_missing(df: DataFrame, name: str) -> Column:
+    """The one rule for missing cells: null, or NaN in a fractional column."""
+    c = F.col(quoted(name))
+    return c.isNull() | F.isnan(c) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else c.isNull()
+
+
 def format_value(c: Column, dtype, null_text: str | None = None, as_double: bool = False) -> Column:
     """Text of one cell; ``null_text`` replaces nulls (None keeps them null)."""
     if isinstance(dtype, FRACTIONAL) or (as_double and isinstance(dtype, INTEGRAL)):
@@ -115,10 +126,10 @@ def formatted(df: DataFrame, cols: list[str] | None = None, null_text: str | Non
               upcast: bool | None = None) -> dict[str, Column]:
     cols = cols or df.columns
     up = all_numeric_upcast(df, cols) if upcast is None else upcast
-    return {c: format_value(F.col(c), df.schema[c].dataType, null_text, as_double=up) for c in cols}
+    return {c: format_value(F.col(quoted(c)), df.schema[c].dataType, null_text, as_double=up) for c in cols}
 
 
 def stringify(df: DataFrame, cols: list[str] | None = None, null_text: str | None = None) -> DataFrame:
     """PRJ-8: Python ``str()`` per cell of ``cols`` (others untouched)."""
     f = formatted(df, cols, null_text, upcast=False)
-    return df.select(*[f[c].alias(c) if c in f else F.col(c) for c in df.columns])
+    return df.select(*[f[c].alias(c) if c in f else F.col(quoted(c)) for c in df.columns])

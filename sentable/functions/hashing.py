@@ -33,15 +33,6 @@ def uniform(seed, tag, key) -> Column:
     return hex_to_u(hash_hex(seed, tag, key))
 
 
-def draw_int(seed, tag, key, n) -> Column:
-    """floor(u * n) as a long: an integer uniform in [0, n)."""
-    return F.floor(uniform(seed, tag, key) * _num(n)).cast("long")
-
-
-def _num(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
-
-
 def row_key(df_cols_formatted: list[Column]) -> Column:
     """Key of a row without a unique declared key: md5 of its formatted cells."""
     return F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("\u0000")) for c in df_cols_formatted]))

@@ -15,65 +15,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentable.functions.text import EOC
-from sentable.functions.fmt import WHITESPACE
+from sentable.functions.fmt import WHITESPACE, quoted
 
 # Fixed value: marker for a column the lenient parser did not find.
 PLACEHOLDER = "placeholder"
 
 
-def _valid_pieces(line: Column, cols: list[str], terminated: bool) -> Column:
-    parts = F.split(line, EOC, -1)
-    if terminated:
-        parts = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    words = F.transform(parts, lambda p: F.split(p, " ", -1))
-    known = F.array(*[F.lit(c) for c in cols])
-    return F.filter(words, lambda w: (F.size(w) == 3) & F.array_contains(known, w[0]))
-
-
-def _first_word_is(c: str):
-    return lambda w: w[0] == F.lit(c)
-
-
 def _named_with_value(c: str):
     return lambda w: (w[0] == F.lit(c)) & (F.size(w) >= 2)
 
 
-def strict_fields(line: Column, cols: list[str], terminated: bool = False) -> dict[str, Column]:
-    """Per column: the value of its first well-formed sentence, or null.
-    (Expression form; DataFrames should use ``with_strict_fields``, which
-    computes the split once.)"""
-    valid = _valid_pieces(line, cols, terminated)
-    return {c: F.get(F.get(F.filter(valid, _first_word_is(c)), 0), 2) for c in cols}
-
-
-def sentence_pattern(c: str, terminated: bool = False) -> str:
+def sentence_pattern(c: str, terminated: bool = False, value_spaces: bool = False) -> str:
     """Regex for the first well-formed sentence of column ``c``: it starts the
     line or follows an <EOC>, is exactly "c w2 w3" with single spaces (words
     may be empty, none crosses an <EOC>) and ends at the next <EOC> (or, unless
     ``terminated``, at the end of the line).  Group 2 is the value.  Because
     "<EOC>" cannot overlap itself, these boundaries are exactly those of
     splitting on <EOC>."""
-    word = r"([^ <]*(?:<(?!EOC>)[^ <]*)*)"      # unrolled: a '<' only if not <EOC>
+    # possessive runs of one-character steps: matched in a loop, so their length is not bounded by the stack
+    word = r"((?:(?!<EOC>)[^ ])*+)"
+    value = r"((?s:(?!<EOC>).)*+)" if value_spaces else word
     end = r"(?=<EOC>)" if terminated else r"(?=<EOC>|\z)"
-    return r"(?:^|<EOC>)\Q" + c + r"\E " + word + " " + word + end
+    return r"(?:^|<EOC>)\Q" + c.replace("\\E", r"\E\\E\Q") + r"\E " + word + " " + value + end
+
 
+def strict_field(line: Column, c: str, terminated: bool = False, value_spaces: bool = False) -> Column:
+    """The value of the first well-formed sentence of ``c``, or null.  A name
+    with a space can never be the first of three words, so it is never found;
+    ``value_spaces`` takes names and values with spaces."""
+    if " " in c and not value_spaces:
+        return F.lit(None).cast("string")
+    return F.get(F.regexp_extract_all(line, F.lit(sentence_pattern(c, terminated, value_spaces)), 2), 0)
 
-def with_strict_fields(df: DataFrame, line: str, cols: list[str], keep: list[str], terminated: bool = False) -> DataFrame:
+
+def with_strict_fields(df: DataFrame, line: str, cols: list[str], keep: list[str], terminated: bool = False,
+                       value_spaces: bool = False) -> DataFrame:
     """keep + parsed columns + ``_complete``.  One code-generated regex
     search per column (first match wins; malformed sentences never match)."""
-    f = df.select(*keep, *[F.get(F.regexp_extract_all(F.col(line), F.lit(sentence_pattern(c, terminated)), 2), 0).alias(c)
-                           for c in cols])
-    return f.select("*", complete({c: F.col(c) for c in cols}).alias("_complete"))
+    f = df.select(*keep, *[strict_field(F.col(line), c, terminated, value_spaces).alias(c) for c in cols])
+    return f.select("*", complete({c: F.col(quoted(c)) for c in cols}).alias("_complete"))
+
+
+def _lenient_parts(text: Column) -> Column:
+    return F.transform(F.split(text, ",", -1), lambda f: F.split(F.btrim(f, F.lit(WHITESPACE)), " is ", -1))
+
+
+def _lenient_value(parts: Column, c: str, none_to_null: bool) -> Column:
+    # A bare "c" (no " is ") has no value and does not claim the column.
+    v = F.coalesce(F.get(F.get(F.filter(parts, _named_with_value(c)), 0), 1), F.lit(PLACEHOLDER))
+    return F.nullif(v, F.lit("None")) if none_to_null else v
 
 
 def with_lenient_fields(df: DataFrame, text: str, cols: list[str], keep: list[str], none_to_null: bool = True) -> DataFrame:
-    feats = F.transform(F.split(F.col(text), ",", -1), lambda f: F.split(F.btrim(f, F.lit(WHITESPACE)), " is ", -1))
-    v = df.select(*keep, feats.alias("_ft"))
-    out = []
-    for c in cols:
-        val = F.coalesce(F.get(F.get(F.filter(F.col("_ft"), _named_with_value(c)), 0), 1), F.lit(PLACEHOLDER))
-        out.append((F.nullif(val, F.lit("None")) if none_to_null else val).alias(c))
-    return v.select(*keep, *out)
+    v = df.select(*keep, _lenient_parts(F.col(text)).alias("_ft"))
+    return v.select(*keep, *[_lenient_value(F.col("_ft"), c, none_to_null).alias(c) for c in cols])
 
 
 def complete(fields: dict[str, Column]) -> Column:
@@ -85,14 +80,4 @@ def complete(fields: dict[str, Column]) -> Column:
 
 
 def lenient_fields(text: Column, cols: list[str], none_to_null: bool = True) -> dict[str, Column]:
-    feats = F.transform(F.split(text, ",", -1),
-                        lambda f: F.split(F.btrim(f, F.lit(WHITESPACE)), " is ", -1))
-    out = {}
-    for c in cols:
-        # A bare "c" (no " is ") has no value and does not claim the column.
-        first = F.get(F.filter(feats, _named_with_value(c)), 0)
-        v = F.coalesce(F.get(first, 1), F.lit(PLACEHOLDER))
-        if none_to_null:
-            v = F.nullif(v, F.lit("None"))
-        out[c] = v
-    return out
+    return {c: _lenient_value(_lenient_parts(text), c, none_to_null) for c in cols}

@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentable.functions.fmt import quoted
+
 
 def keep_if(df: DataFrame, cond: Column | str) -> DataFrame:
     c = F.col(cond) if isinstance(cond, str) else cond
-    return df.select(F.inline(F.when(c, F.array(F.struct(*[F.col(x) for x in df.columns])))))
+    return df.select(F.inline(F.when(c, F.array(F.struct(*[F.col(quoted(x)).alias(x) for x in df.columns])))))
 
 
 def barrier(df: DataFrame) -> DataFrame:
     """Same rows; computed columns above stay computed once."""
-    return df.select(F.inline(F.array(F.struct(*[F.col(x) for x in df.columns]))))
+    return df.select(F.inline(F.array(F.struct(*[F.col(quoted(x)).alias(x) for x in df.columns]))))

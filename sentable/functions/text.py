@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentable.functions.fmt import formatted
+from sentable.functions.fmt import formatted, is_missing
 from sentable.functions.hashing import hash_hex
 
 # The special tokens and sentence layout of the text format.
@@ -40,7 +40,7 @@ def permuted_sentences(df: DataFrame, seed, key: Column, cols: list[str] | None
 
     Each column gets the sort key md5(seed:tag:key:col); the permutation is the
     column indexes in that order.  Returns (text, permutation as "i,j,k").
-    GReaT-style rows never upcast ints.
+    Permuted rows never upcast ints.
     """
     cols = cols or df.columns
     f = formatted(df, cols, null_text, upcast=False)
@@ -55,15 +55,15 @@ def permuted_sentences(df: DataFrame, seed, key: Column, cols: list[str] | None
 
 def partial_row_items(df: DataFrame, cols: list[str] | None = None, seed=None, key: Column | None = None,
                       tag: str = "partial") -> Column:
-    """TXT-4 helper: array of "c is v" for the non-null cells, in schema order or
+    """TXT-4 helper: array of "c is v" for the cells that are not missing, in schema order or
     (with a seed) in per-row hash order.  Values are Python ``str`` without strip."""
     cols = cols or df.columns
     f = formatted(df, cols, None, upcast=False)
     if seed is None:
-        return F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(c), F.lit(IS), f[c]))
+        return F.filter(F.array(*[F.when(~is_missing(df, c), F.concat(F.lit(c), F.lit(IS), f[c]))
                                   for c in cols]), lambda x: x.isNotNull())
     items = F.array(*[F.struct(hash_hex(seed, F.concat_ws(":", F.lit(tag), key.cast("string")), F.lit(c)).alias("h"),
-                               F.when(F.col(c).isNotNull(), F.concat(F.lit(c), F.lit(IS), f[c])).alias("s"))
+                               F.when(~is_missing(df, c), F.concat(F.lit(c), F.lit(IS), f[c])).alias("s"))
                       for c in cols])
     return F.transform(F.filter(F.array_sort(items), lambda x: x["s"].isNotNull()), lambda x: x["s"])
 
@@ -74,8 +74,8 @@ def partial_row_text(df: DataFrame, cols=None, seed=None, key=None) -> Column:
 
 
 def pick_missing(df: DataFrame, cols: list[str], seed, key: Column, tag: str = "missing") -> Column:
-    """SMP-3: one random null column of the row (hash order), or null."""
-    items = F.array(*[F.when(F.col(c).isNull(), F.struct(
+    """SMP-3: one random missing (null or NaN) column of the row (hash order), or null."""
+    items = F.array(*[F.when(is_missing(df, c), F.struct(
         hash_hex(seed, F.concat_ws(":", F.lit(tag), key.cast("string")), F.lit(c)).alias("h"),
         F.lit(c).alias("c"))) for c in cols])
     return F.array_min(F.filter(items, lambda x: x.isNotNull()))["c"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentable.functions.fmt import format_value
 from sentable.operators.joins import small_side
@@ -22,10 +23,37 @@ def value_distribution(df: DataFrame, col: str, out: str = "value") -> DataFrame
     """AGG-1: relative frequency of the non-null values of ``col`` (as text)."""
     v = format_value(F.col(col), df.schema[col].dataType)
     counts = df.select(v.alias(out)).filter(F.col(out).isNotNull()).groupBy(out).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total")).withColumn("_one", F.lit(1))
-    # One-row total, attached by a broadcast equi-join on a constant.
-    return (counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
-            .withColumn("p", F.col("n") / F.col("total")))
+    total = counts.agg(F.sum("n")).first()[0]       # one number: a literal, so no join
+    return counts.withColumn("total", F.lit(total).cast("long")).withColumn("p", F.col("n") / F.col("total"))
+
+
+def integer_weights(dist: DataFrame, weight: str = "n") -> DataFrame:
+    """Positive weights only; fractional ones (relative frequencies) are scaled
+    to integers with a total of about 2**48, which keeps their ratios."""
+    d = dist.filter(F.col(weight) > 0)
+    if isinstance(d.schema[weight].dataType, T.IntegralType):
+        return d
+    total = d.agg(F.sum(F.col(weight).cast("double"))).first()[0]
+    return d.withColumn(weight, F.greatest(F.lit(1), F.round(F.col(weight).cast("double") * (2.0 ** 48 / (total or 1.0))))
+                        .cast("long"))
+
+
+def draw_from_one(probes: DataFrame, dist: DataFrame, u: str = "_u", value: str = "value", weight: str = "n",
+                  out: str = "value") -> DataFrame:
+    """JN-4 for one distribution: total and block size are literals (one small
+    aggregate), so the only join is the equi-join on the block."""
+    iv = intervals(integer_weights(dist, weight).select(F.lit("").alias("_g"), value, weight), ["_g"], value, weight)
+    r = iv.agg(F.max("total").alias("t"), F.count(F.lit(1)).alias("e")).first()
+    if not r["e"]:
+        raise ValueError("an empty distribution")
+    blk = max(1, -(-r["t"] // r["e"]))
+    entries = iv.select(F.explode(F.sequence(F.floor(F.col("lo") / blk).cast("long"),
+                                             F.floor((F.col("hi") - 1) / blk).cast("long"))).alias("_k"),
+                        "lo", "hi", F.col(value).alias("_val"))
+    p = probes.withColumn("_r", F.floor(F.col(u) * F.lit(r["t"])).cast("long"))
+    p = p.withColumn("_k", F.floor(F.col("_r") / blk).cast("long"))
+    m = p.join(entries, "_k").filter((F.col("lo") <= F.col("_r")) & (F.col("_r") < F.col("hi")))
+    return m.drop("_k", "_r", "lo", "hi").withColumnRenamed("_val", out)
 
 
 def intervals(counts: DataFrame, group: list[str], value: str = "value", weight: str = "n") -> DataFrame:

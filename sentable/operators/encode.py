@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentable.functions.fmt import formatted
+from sentable.functions.fmt import formatted, quoted
 from sentable.operators.domain import long_form
 from sentable.operators.index import rank_within
 from sentable.operators.joins import small_side
@@ -25,8 +25,11 @@ def dense_ids(vals: DataFrame, group: str = "column", value: str = "value", out:
 
 def fit_labels(df: DataFrame, cols: list[str], fill: str = "?") -> DataFrame:
     """AGG-6: classes per column = sorted distinct ``str`` values (fit on ``all``)."""
+    from sentable.sources.io import materialize
     f = formatted(df, cols, fill, upcast=False)
-    return dense_ids(long_form(df, cols, f).distinct())
+    # read several times, by the ranking and by each column's lookup: written once
+    values = materialize(long_form(df, cols, f).distinct(), "label-values")
+    return materialize(dense_ids(values), "labels")
 
 
 def _per_column(enc: DataFrame, c: str, max_rows: int) -> DataFrame:
@@ -39,7 +42,7 @@ def encode_labels(df: DataFrame, enc: DataFrame, cols: list[str], policy: str =
     """JN-2: value → id by a left join per column.  An unseen value raises
     (policy 'error'), drops the row ('drop') or becomes null ('null')."""
     f = formatted(df, cols, fill, upcast=False)
-    out = df.select(*[f[c].alias(c) if c in cols else F.col(c) for c in df.columns])
+    out = df.select(*[f[c].alias(c) if c in cols else F.col(quoted(c)) for c in df.columns])
     for c in cols:
         e = _per_column(enc, c, max_broadcast_rows)
         out = out.join(e, out[c] == e["_v"], "left")

@@ -23,14 +23,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentable.functions.fmt import format_value, is_numeric_type
+from sentable.functions.fmt import format_value, is_missing, is_numeric_type, quoted
 from sentable.functions.hashing import uniform
 from sentable.operators.dist import intervals
+from sentable.operators.joins import MAX_BYTES
 
 SEP = "\u0001"          # joins anchor and previous context values
 NAN_TEXT = "nan"        # text of a missing number (Plain-mode rows)
 FILL_TEXT = "?"         # text of a missing category (after fill_na)
-SCALE = 1_000_000       # integer weight resolution for tempered draws
+WEIGHT_TOTAL = float(2 ** 48)    # bound of a group's total weight in tempered draws
 GROUP = ["order_id", "col", "level", "ctx"]
 NEXT_LEVEL = 3          # context = the next column in order (used to complete the anchor)
 
@@ -55,7 +56,7 @@ def cell_text(df: DataFrame, c: str) -> Column:
     """A cell as model text: numbers print like Python, a missing number is
     'nan', a missing category is '?'."""
     dt = df.schema[c].dataType
-    return format_value(F.col(c), dt, NAN_TEXT if is_numeric_type(dt) else FILL_TEXT)
+    return format_value(F.col(quoted(c)), dt, NAN_TEXT if is_numeric_type(dt) else FILL_TEXT)
 
 
 def ctx_value(model_numeric: dict, bins: int, c: str, text: Column) -> Column:
@@ -139,16 +140,21 @@ def merge(a: ExpertModel, b: ExpertModel) -> ExpertModel:
 # ------------------------------------------------------------- draw tables
 def weighted(counts: DataFrame, temperature: float) -> DataFrame:
     """GEN-6: sharpen by p**(1/t), as integer weights (t=1 keeps counts,
-    t=0 keeps only the most frequent value, smallest text on ties)."""
+    t=0 keeps only the most frequent value, smallest text on ties).
+
+    Weights are relative to the group's largest count and as fine as a total of
+    ``WEIGHT_TOTAL`` allows, so they depend on the ratios of counts and not on
+    the table's size."""
     if temperature == 1:
         return counts
     if temperature == 0:
         top = counts.groupBy(*GROUP).agg(F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b")))
                                          .alias("value"))
         return counts.join(top, [*GROUP, "value"], "left_semi")
-    tot = counts.groupBy(*GROUP).agg(F.sum("n").alias("_tot"))
-    w = F.greatest(F.lit(1), F.round(F.pow(F.col("n") / F.col("_tot"), F.lit(1.0 / temperature)) * SCALE)).cast("long")
-    return counts.join(tot, GROUP).withColumn("n", w).drop("_tot")
+    top = counts.groupBy(*GROUP).agg(F.max("n").alias("_top"), F.count(F.lit(1)).alias("_e"))
+    share = F.pow(F.col("n") / F.col("_top"), F.lit(1.0 / temperature))
+    w = F.greatest(F.lit(1), F.round(share * F.floor(F.lit(WEIGHT_TOTAL) / F.col("_e")))).cast("long")
+    return counts.join(top, GROUP).withColumn("n", w).drop("_top", "_e")
 
 
 @dataclass
@@ -164,8 +170,8 @@ def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows
     """Interval tables for the draw, written once as Parquet to the shared
     checkpoint folder (a reliable lineage cut).  Entries are partitioned by
     column, so each column's draw reads only its own directory.  Whether a
-    column's side is broadcast is decided from exact per-column row counts
-    (one small aggregate); larger sides use a shuffle join."""
+    column's side is broadcast is decided from exact per-column row counts and
+    bytes (one small aggregate); larger sides use a shuffle join."""
     from sentable.sources.io import materialize
     iv = materialize(intervals(weighted(model.counts, temperature), GROUP), "intervals", ["col"])
     groups = iv.groupBy(*GROUP).agg(F.max("total").alias("_t"), F.count(F.lit(1)).alias("_e"))
@@ -176,20 +182,24 @@ def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows
                                                       F.floor((F.col("hi") - 1) / F.col("_blk")).cast("long"))))
                .select(*GROUP, "_k", "lo", "hi", F.col("value").alias("_val")))
     entries = materialize(entries, "entries", ["col"])
-    ne = {r["col"]: r["count"] for r in entries.groupBy("col").count().collect()}
+    size = F.octet_length("_val") + F.octet_length("ctx") + 64
+    ne = {r["col"]: (r["n"], r["b"]) for r in entries.groupBy("col").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).collect()}
     # one row per (order, column): group counts and the level-0 group, whose
     # total and block size become literals instead of a join
     per = groups.groupBy("order_id", "col").agg(
-        F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("level") == 0, F.col("_t"))).alias("_t0"),
+        F.count(F.lit(1)).alias("_n"), F.sum(F.octet_length("ctx") + 64).alias("_b"),
+        F.max(F.when(F.col("level") == 0, F.col("_t"))).alias("_t0"),
         F.max(F.when(F.col("level") == 0, F.col("_blk"))).alias("_b0")).collect()
-    ng: dict[str, int] = {}
+    ng: dict[str, tuple[int, int]] = {}
     lvl0 = {}
     for r in per:
-        ng[r["col"]] = ng.get(r["col"], 0) + r["_n"]
+        n, b = ng.get(r["col"], (0, 0))
+        ng[r["col"]] = (n + r["_n"], b + r["_b"])
         if r["_t0"] is not None:
             lvl0[(r["order_id"], r["col"])] = (r["_t0"], r["_b0"])
-    return DrawTables(groups, entries, {c: ng.get(c, 0) <= max_broadcast_rows for c in model.cols},
-                      {c: ne.get(c, 0) <= max_broadcast_rows for c in model.cols}, lvl0)
+    fits = lambda sizes, c: all(x <= most for x, most in zip(sizes.get(c, (0, 0)), (max_broadcast_rows, MAX_BYTES)))
+    return DrawTables(groups, entries, {c: fits(ng, c) for c in model.cols}, {c: fits(ne, c) for c in model.cols}, lvl0)
 
 
 def _side(df: DataFrame, b: bool) -> DataFrame:
@@ -272,6 +282,12 @@ def sample(model: ExpertModel, keys: DataFrame, seed, key: str = "sid", temperat
     return out
 
 
+def sample_n(model: ExpertModel, n: int, seed, temperature: float = 1.0, **kw) -> DataFrame:
+    """SMP-1: ``n`` new rows, however many the model was fitted on."""
+    keys = model.counts.sparkSession.range(n).select(F.col("id").cast("string").alias("sid"))
+    return sample(model, keys, seed, temperature=temperature, **kw)
+
+
 def sampled_lines(df: DataFrame, model: ExpertModel, key: str = "sid", order_id: Column | None = None) -> DataFrame:
     """GEN-14: the generated text — one sentence per column in generation
     order; every column appears exactly once by construction."""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentable.functions.fmt import quoted
 from sentable.functions.parse import with_lenient_fields, with_strict_fields
 from sentable.functions.rows import keep_if
 from sentable.functions.text import clean_text, fix_question_mark, strip_bos
-from sentable.operators.domain import domain_flags, domains, in_domain, parse_report
+from sentable.operators.domain import domain_flags, domains, in_domain
 
 
 def clean_lines(df: DataFrame, col: str = "line") -> DataFrame:
@@ -16,14 +17,14 @@ def clean_lines(df: DataFrame, col: str = "line") -> DataFrame:
     return df.withColumn(col, strip_bos(fix_question_mark(clean_text(F.col(col)))))
 
 
-def parse_strict(df: DataFrame, cols: list[str], line: str = "line", terminated: bool = False,
+def parse_strict(df: DataFrame, cols: list[str], line: str = "line", terminated: bool = False, value_spaces: bool = False,
                  keep_failed: bool = False, keep: list[str] | None = None) -> DataFrame:
     """TXT-13 / TXT-14: one projection; rows with a missing column are dropped
     (or, with ``keep_failed``, kept as all-null rows as the demo parser does)."""
     keep = keep if keep is not None else [c for c in df.columns if c != line]
-    out = with_strict_fields(df, line, cols, keep, terminated)
+    out = with_strict_fields(df, line, cols, keep, terminated, value_spaces)
     if keep_failed:
-        return out.select(*keep, *[F.when(F.col("_complete"), F.col(c)).alias(c) for c in cols])
+        return out.select(*keep, *[F.when(F.col("_complete"), F.col(quoted(c))).alias(c) for c in cols])
     return keep_if(out, "_complete").drop("_complete")
 
 
@@ -49,6 +50,3 @@ def parse_samples(raw: DataFrame, real: DataFrame, cols: list[str], check: list[
     parsed = parse_strict(src, cols, line)
     return in_domain(parsed, domains(real, check, fill), check)
 
-
-def parse_samples_report(raw: DataFrame, real: DataFrame, cols: list[str], check: list[str], **kw) -> DataFrame:
-    return parse_report(parse_flags(raw, real, cols, check, **kw), check)

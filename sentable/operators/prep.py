@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentable.functions.fmt import FRACTIONAL, INTEGRAL, format_value, formatted
+from sentable.functions.fmt import FRACTIONAL, INTEGRAL, WHITESPACE, format_value, formatted, is_missing, quoted
 from sentable.operators.domain import long_form
 
 # Fixed value: what pandas' to_numeric(errors='coerce') accepts as a number.
 NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+INFINITY_RE = r"^\s*[+-]?([iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY])\s*$"
 
 
 def rename_all(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -27,7 +28,7 @@ def recode(df: DataFrame, col: str, value, yes, no) -> DataFrame:
 
 def tail_columns(df: DataFrame, k: int = 3) -> DataFrame:
     """PRJ-3: keep the last k columns (the tiny debug mode)."""
-    return df.select(*df.columns[-k:])
+    return df.select(*[quoted(c) for c in df.columns[-k:]])
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -74,55 +75,52 @@ def same_columns(df: DataFrame, cols: list[str]) -> None:
 
 
 def fill_na(df: DataFrame, fill: str = "?") -> DataFrame:
-    """FLT-1: fill only the columns that are not numeric."""
-    num = set(numeric_columns(df))
-    subset = [c for c in df.columns if c not in num and isinstance(df.schema[c].dataType, T.StringType)]
-    return df.na.fill(fill, subset=subset) if subset else df
+    """FLT-1: fill every column that is not numeric; one of another type
+    (boolean, date, ...) that has nulls becomes text, as in ``fill_na_all``."""
+    return fill_na_all(df, fill, [c for c in df.columns if c not in set(numeric_columns(df))])
 
 
 def fill_na_all(df: DataFrame, fill: str = "?", cols: list[str] | None = None) -> DataFrame:
-    """FLT-2: fill every column; a numeric column that has nulls becomes text.
+    """FLT-2: fill every column (or ``cols``); a column of another type than
+    text that has missing cells becomes text.
 
     Which columns change type depends on the data, so one aggregate pass
-    counts nulls per column first (a single-row result)."""
+    counts missing cells per column first (a single-row result)."""
     cols = cols or df.columns
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
+    typed = [c for c in cols if not isinstance(df.schema[c].dataType, T.StringType)]
+    counts = dict(zip(typed, df.agg(*[F.count_if(is_missing(df, c)) for c in typed]).first())) if typed else {}
     out = []
     for c in df.columns:
-        dt = df.schema[c].dataType
+        col, dt = F.col(quoted(c)), df.schema[c].dataType
         if c not in cols:
-            out.append(F.col(c))
+            out.append(col)
         elif isinstance(dt, T.StringType):
-            out.append(F.coalesce(F.col(c), F.lit(fill)).alias(c))
-        elif counts[c] > 0:
-            out.append(format_value(F.col(c), dt, fill).alias(c))
+            out.append(F.coalesce(col, F.lit(fill)).alias(c))
+        elif counts[c]:
+            out.append(F.when(is_missing(df, c), F.lit(fill)).otherwise(format_value(col, dt)).alias(c))
         else:
-            out.append(F.col(c))
+            out.append(col)
     return df.select(*out)
 
 
 def to_numeric(c: Column) -> Column:
-    """PRJ-9: pandas-style coerce: a number → double, anything else → null.
-    The guard matters: Spark alone would accept '1d' or '1f'."""
+    """PRJ-9: pandas-style coerce: a number (or a text of infinity) → double,
+    anything else → null.  The guard matters: Spark alone would accept '1d' or '1f'."""
     s = c.cast("string")
-    return F.when(s.rlike(NUMBER_RE), F.trim(s).try_cast("double"))
+    return (F.when(s.rlike(NUMBER_RE), F.btrim(s, F.lit(WHITESPACE)).try_cast("double"))
+            .when(s.rlike(INFINITY_RE), F.when(s.rlike(r"^\s*-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))))
 
 
 def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*[to_numeric(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
-
-
-def drop_null(df: DataFrame, subset: list[str]) -> DataFrame:
-    """FLT-3."""
-    return df.na.drop(subset=subset)
+    return df.select(*[to_numeric(F.col(quoted(c))).alias(c) if c in cols else F.col(quoted(c)) for c in df.columns])
 
 
 def missing_profile(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> DataFrame:
-    """FLT-7: nulls per row and an is-complete flag."""
-    n = sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
+    """FLT-7: missing cells (null or NaN) per row and an is-complete flag."""
+    n = sum((is_missing(df, c).cast("long") for c in cols), F.lit(0).cast("long"))
     return df.select(*(keep or []), n.alias("n_missing"), (n == 0).alias("is_complete"))
 
 
 def typed_output(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """PRJ-12: parsed text columns back to the real table's types (try_cast)."""
-    return df.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+    return df.select(*[F.col(quoted(c)).try_cast(types[c]).alias(c) if c in types else F.col(quoted(c)) for c in df.columns])

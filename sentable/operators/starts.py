@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentable.functions.hashing import uniform
-from sentable.operators.dist import draw, intervals, pick_by_index
+from sentable.operators.dist import draw_from_one, pick_by_index
 
 START_TAG = "start"
 
@@ -17,10 +17,8 @@ def _probes(keys: DataFrame, seed, key: str, tag: str) -> DataFrame:
 
 def start_categorical(keys: DataFrame, dist: DataFrame, col: str, seed, key: str = "sid") -> DataFrame:
     """TXT-6 / JN-4: "<col> is <value>" drawn by weight from a (value, n)
-    distribution (relative frequencies become integer counts upstream)."""
-    iv = intervals(dist.select(F.lit(col).alias("_col"), "value", "n"), ["_col"])
-    p = _probes(keys, seed, key, START_TAG).withColumn("_col", F.lit(col))
-    d = draw(p, iv, ["_col"])
+    distribution of counts or relative frequencies."""
+    d = draw_from_one(_probes(keys, seed, key, START_TAG), dist.select("value", "n"))
     return d.select(key, F.concat(F.lit(col + " is "), F.col("value")).alias("prompt"))
 
 
@@ -33,10 +31,10 @@ def continuous_list(df: DataFrame, col: str, seed, key: str) -> DataFrame:
 def start_continuous(keys: DataFrame, values: DataFrame, col: str, seed, key: str = "sid", places: int = 5) -> DataFrame:
     """TXT-7 / JN-5: uniform pick from the full value list, printed with
     ``places`` decimals (the stored noise is never applied, as in the source)."""
-    n = values.agg(F.max("n_list").alias("_nl"))
-    p = _probes(keys, seed, key, START_TAG).withColumn("_one", F.lit(1)) \
-        .join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    d = pick_by_index(p, values, F.col("_nl"), value="value", out="_v")
+    n = values.agg(F.max("n_list")).first()[0]
+    if not n:
+        raise ValueError("an empty list of values")
+    d = pick_by_index(_probes(keys, seed, key, START_TAG), values, n, value="value", out="_v")
     txt = F.when(F.col("_v").isNull() | F.isnan("_v"), F.lit("nan")).otherwise(F.format_string(f"%.{places}f", F.col("_v")))
     return d.select(key, F.concat(F.lit(col + " is "), txt).alias("prompt"))
 

@@ -31,7 +31,9 @@ def build_vocab(texts: DataFrame, col: str = "text") -> DataFrame:
     string key and ranked exactly over order-preserving sampled buckets
     (``rank_within``), so no task holds the whole vocabulary."""
     p = texts.select(F.explode(pieces(F.col(col))).alias("piece"))
+    from sentable.sources.io import materialize
     counts = p.filter(~F.col("piece").isin(list(SPECIAL))).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts, "piece-counts")      # the ranking reads it several times
     # order (n desc, piece) as one string key: fixed-width complement of n, then the piece
     key = F.concat(F.lpad((F.lit(10 ** 18) - F.col("n")).cast("string"), 19, "0"), F.lit("\u0001"), F.col("piece"))
     ranked = rank_within(counts.withColumn("_g", F.lit(0)).withColumn("_key", key), ["_g"], "_key", "_r")
@@ -48,14 +50,12 @@ def token_long(df: DataFrame, keys: list[str], text: Column, vocab: DataFrame,
     from sentable.sources.io import materialize
     # the vocabulary is a small model artefact: written once, then size-checked
     vm = materialize(vocab.select("piece", F.col("id").alias("token")), "vocab")
-    n = vm.limit(max_broadcast_rows + 1).count()
-    if n <= max_broadcast_rows:
+    v = small_side(vm, max_broadcast_rows)
+    if v is not vm:
         # broadcast lookup keeps the input's partitioning, so hashing the
         # (one-row-per-text) input by its first key lets the later per-key
         # regroup run without moving the (many) token rows
-        df, v = df.repartition(keys[0]), F.broadcast(vm)
-    else:
-        v = vm
+        df = df.repartition(keys[0])
     x = df.select(*keys, F.posexplode(pieces(text)).alias("pos", "piece"))
     return x.join(v, "piece", "left").withColumn("token", F.coalesce("token", F.lit(UNK)).cast("long")) \
             .withColumn("pos", F.col("pos").cast("long"))
@@ -93,9 +93,9 @@ def pad_right(ids: Column, n: Column, pad: int = PAD) -> Column:
 
 
 def pad_batch(df: DataFrame, ids: str = "ids", batch: str = "batch_id", side: str = "left") -> DataFrame:
-    """AGG-8 + TOK-4: pad every sequence to its batch's longest one."""
-    mx = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_mx"))
-    x = df.join(mx, batch)
+    """AGG-8 + TOK-4: pad every sequence to its batch's longest one (a window
+    over the batch, which is small by definition)."""
+    x = df.withColumn("_mx", F.max(F.size(ids)).over(Window.partitionBy(batch)))
     f = pad_left if side == "left" else pad_right
     return x.withColumn(ids, f(F.col(ids), F.col("_mx"))).drop("_mx")
 
@@ -103,8 +103,7 @@ def pad_batch(df: DataFrame, ids: str = "ids", batch: str = "batch_id", side: st
 def collate(df: DataFrame, ids: str = "ids", batch: str = "batch_id") -> DataFrame:
     """TOK-5: pad to the batch maximum on the tokenizer's default (right)
     side, attention mask, labels = copy of inputs."""
-    mx = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_mx"))
-    x = df.join(mx, batch)
+    x = df.withColumn("_mx", F.max(F.size(ids)).over(Window.partitionBy(batch)))
     mask = pad_right(F.transform(F.col(ids), lambda _: F.lit(1).cast("long")), F.col("_mx"), 0)
     x = x.withColumn("input_ids", pad_right(F.col(ids), F.col("_mx"))).withColumn("attention_mask", mask)
     return x.withColumn("labels", F.col("input_ids")).drop("_mx", ids)

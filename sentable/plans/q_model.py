@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sentable.operators import experts as X
-from sentable.operators.domain import domains, in_domain
-from sentable.operators.parsing import parse_strict
-from sentable.operators.prep import fill_na, typed_output
+from sentable.operators import synth as S
 from sentable.operators.split import shuffle_index, split
 from sentable.operators.starts import continuous_list, start_continuous
+from sentable.operators.synth import Contract
 from sentable.plans.fixtures import FIXTURES, load, sql_load
 from sentable.plans.q_prep import SEED, sql_indexed, sql_split
 from sentable.plans.registry import query
@@ -101,7 +100,7 @@ def _sample_conditional(spark, sf):
     df = load(spark, sf, "B")
     m = X.fit(df.drop("row_key"), B.cols, cond=COND, bins=BINS, order="conditional")
     starts = start_continuous(_keys(spark, sf), continuous_list(df, COND, SEED, "row_key"), COND, SEED)
-    starts = starts.select("sid", F.substring_index("prompt", " is ", -1).alias("_st"))
+    starts = starts.select("sid", F.substring("prompt", len(COND + " is ") + 1, 1 << 30).alias("_st"))
     return X.sample(m, starts, SEED, given={COND: F.col("_st")}).drop("_st")
 
 
@@ -154,7 +153,8 @@ def _merge_models(spark, sf):
     equals fit(all)."""
     df = load(spark, sf, "B")
     edges = X.numeric_edges(df, B.cols)
-    s = split(df, SEED, F.col("row_key"))
+    from sentable.sources.io import materialize
+    s = materialize(split(df, SEED, F.col("row_key")), "split")
     a = X.fit(s.filter("split = 'train'").select(*B.cols), B.cols, cond=COND, bins=BINS, edges=edges)
     b = X.fit(s.filter("split <> 'train'").select(*B.cols), B.cols, cond=COND, bins=BINS, edges=edges)
     return X.merge(a, b).counts
@@ -199,7 +199,8 @@ def _select_best(spark, sf):
     """GEN-10: candidate bin counts, stop after 2 non-improving evaluations,
     keep the best by validation loss (driver loop over a few candidates)."""
     from sentable.operators.select import select_best
-    s = split(load(spark, sf, "B"), SEED, F.col("row_key"))
+    from sentable.sources.io import materialize
+    s = materialize(split(load(spark, sf, "B"), SEED, F.col("row_key")), "split")
     train = s.filter("split = 'train'").select(*B.cols)
     val = s.filter("split = 'val'").select("row_key", *B.cols)
     return select_best(train, val, B.cols, COND, CANDIDATES)
@@ -218,22 +219,14 @@ def _sql_synth():
             f"TRY_CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM ({ok})")
 
 
+def _contract(fx) -> Contract:
+    return Contract(fx.ords, fx.nums, fx.labs, fx.task)
+
+
 def synthesize(spark, sf_dir: str, write_to: str | None = None):
-    """GEN-13, the flagship: read → split → fill → fit on train → sample as
-    many rows as train → text → strict parse → domain check against the
-    whole real table → typed table (written only if any row survived)."""
-    real = load(spark, sf_dir, "B")
-    s = split(real, SEED, F.col("row_key"))
-    # the training split feeds the edges, the counts and the sample keys:
-    # written once to the checkpoint folder instead of re-deriving the index
-    from sentable.sources.io import materialize
-    train = materialize(fill_na(s.filter("split = 'train'").select("row_key", *B.cols)), "train")
-    model = X.fit(train.drop("row_key"), B.cols, cond=COND, bins=BINS)
-    gen = X.sample(model, train.select(F.col("row_key").alias("sid")), SEED)
-    lines = X.sampled_lines(gen, model)
-    parsed = parse_strict(lines, B.cols)
-    ok = in_domain(parsed, domains(real, B.ords), B.ords)
-    out = typed_output(ok, {"o_custkey": "bigint", "o_totalprice": "double"})
+    """GEN-13, the flagship, on ``orders``: as many rows as the training split
+    (written only if any row survived)."""
+    out = S.synthesize(load(spark, sf_dir, "B"), _contract(B), seed=SEED, bins=BINS)
     if write_to:
         from sentable.sources.io import write_clean
         write_clean(out, write_to)
@@ -242,6 +235,30 @@ def synthesize(spark, sf_dir: str, write_to: str | None = None):
 
 query("synthesize", _sql_synth())(synthesize)
 
+N_NEW = 4000
+KEYS_N = f"SELECT CAST(range AS VARCHAR) AS sid FROM range({N_NEW})"
+
+
+@query("sample_n", _sample_sql(keys=KEYS_N))
+def _sample_n(spark, sf):
+    """SMP-1 / GEN-3: a number of new rows that is not the table's."""
+    return X.sample_n(_fit_b(spark, sf), N_NEW, SEED)
+
+
+def _sql_copies():
+    cols = ", ".join(B.cols)
+    from sentable.plans.sqlmodel import text_sql
+    real = ", ".join(f"{text_sql(c, B.kinds[c])} AS {c}" for c in B.cols)
+    return (f"SELECT count(*)::BIGINT AS n_rows, count(*) FILTER (hit)::BIGINT AS n_copies, "
+            f"round(count(*) FILTER (hit) / greatest(count(*), 1), 9) AS share FROM (SELECT ({cols}) IN "
+            f"(SELECT ({cols}) FROM (SELECT {real} FROM ({sql_load('B')}))) AS hit FROM ({_sample_sql()}))")
+
+
+@query("exact_copies", _sql_copies())
+def _exact_copies(spark, sf):
+    """How much of a sample only repeats real rows."""
+    return S.exact_copies(X.sample(_fit_b(spark, sf), _keys(spark, sf), SEED), load(spark, sf, "B", key=False), B.cols)
+
 
 # ------------------------------------------------------ prompts, imputation
 C = FIXTURES["C"]
@@ -336,3 +353,22 @@ def _sample_encoded(spark, sf):
     m = X.fit(coded.drop("row_key"), A.cols, cond=A.labs[0], bins=BINS)
     gen = X.sample(m, df.select(F.col("row_key").alias("sid")), SEED)
     return decode_labels(gen, enc, ENC)
+
+
+def _sql_synth_encoded():
+    from sentable.plans.q_prep import _FIT_A, _sql_encoded_a, sql_split, sql_to_numeric
+    kinds = dict(A.kinds, p_brand="int", p_type="int")
+    train = f"SELECT * FROM ({sql_split(_sql_encoded_a())}) WHERE split = 'train'"
+    ctes = model_ctes(train, A.cols, kinds, [A.cols], BINS, edge_src=train)
+    chain = f"SELECT sid, {', '.join(A.cols)} FROM {chain_sql(KEYS_N, A.cols, 0, kinds, BINS, SEED)}"
+    j = " ".join(f"JOIN (SELECT value AS v_{c}, CAST(id AS DOUBLE) AS id_{c} FROM enc WHERE \"column\" = '{c}') "
+                 f"ON {sql_to_numeric(c)} = id_{c}" for c in ENC)
+    return (f"WITH enc AS ({_FIT_A}), {ctes} SELECT sid, v_p_brand AS p_brand, TRY_CAST(p_size AS BIGINT) AS p_size, "
+            f"TRY_CAST(p_retailprice AS DOUBLE) AS p_retailprice, v_p_type AS p_type FROM ({chain}) {j}")
+
+
+@query("synthesize_encoded", _sql_synth_encoded())
+def _synthesize_encoded(spark, sf):
+    """GEN-12/13 on ``part``: label-encoded, decoded after the parse, with a
+    number of rows that is not the table's."""
+    return S.synthesize(load(spark, sf, "A"), _contract(A), n=N_NEW, seed=SEED, bins=BINS, encode_categories=True)

@@ -61,8 +61,9 @@ def weighted_sql(counts: str, temperature: float) -> str:
     if temperature == 0:
         return (f"SELECT c.* FROM ({counts}) c JOIN (SELECT {g}, first(value ORDER BY n DESC, value) AS top "
                 f"FROM ({counts}) GROUP BY ALL) t USING ({g}) WHERE c.value = t.top")
-    return (f"SELECT order_id, col, level, ctx, value, greatest(1, round(pow(n::DOUBLE / (sum(n) OVER (PARTITION BY {g}))::DOUBLE, "
-            f"{1.0 / temperature!r}) * 1000000))::BIGINT AS n FROM ({counts})")
+    return (f"SELECT order_id, col, level, ctx, value, greatest(1, round(pow(n::DOUBLE / (max(n) OVER (PARTITION BY {g}))::DOUBLE, "
+            f"{1.0 / temperature!r}) * floor(281474976710656.0::DOUBLE / (count(*) OVER (PARTITION BY {g}))::DOUBLE)))::BIGINT AS n "
+            f"FROM ({counts})")
 
 
 def intervals_sql(counts: str) -> str:

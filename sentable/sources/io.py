@@ -21,6 +21,11 @@ NA_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+# Values keep their spaces, quotes and line ends through a CSV snapshot.
+CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True,
+       "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def spread(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
     """Spread a scan that yields fewer tasks than the cluster has cores (a
     small or single-row-group file) with a round-robin repartition.  A large
@@ -62,11 +67,16 @@ def write_snapshot(df: DataFrame, base: str, name: str, creation_time: str, spli
     """SNK-1: the split table under a dated version (must not exist) and
     under ``latest`` (replaced)."""
     root = f"{base.rstrip('/')}/{name}"
-    w = df.write.format(fmt).partitionBy(split_col)
-    if fmt == "csv":
-        w = w.option("header", True)
-    w.mode("errorifexists").save(f"{root}/version={version_name(creation_time)}")
-    w.mode("overwrite").save(f"{root}/version=latest")
+    dated = f"{root}/version={version_name(creation_time)}"
+
+    def save(table: DataFrame, path: str, mode: str) -> None:
+        w = table.write.format(fmt).partitionBy(split_col)
+        (w.options(**CSV) if fmt == "csv" else w).mode(mode).save(path)
+
+    save(df, dated, "errorifexists")
+    # the second copy is made from the first, so the split runs once
+    r = df.sparkSession.read.format(fmt).schema(df.schema)
+    save((r.options(**CSV) if fmt == "csv" else r).load(dated), f"{root}/version=latest", "overwrite")
 
 
 def read_split(spark: SparkSession, base: str, name: str, split: str | None = "train", version: str = "latest",
@@ -76,7 +86,7 @@ def read_split(spark: SparkSession, base: str, name: str, split: str | None = "t
     if schema is not None and fmt == "csv":
         r = r.schema(schema)
     if fmt == "csv":
-        r = r.option("header", True).option("inferSchema", schema is None)
+        r = r.options(**CSV).option("inferSchema", schema is None)
     df = r.option("basePath", f"{base.rstrip('/')}/{name}").load(f"{base.rstrip('/')}/{name}")
     df = df.filter(F.col("version").cast("string") == version)
     if split is not None:
@@ -111,12 +121,11 @@ def read_raw_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def write_clean(df: DataFrame, path: str, fmt: str = "csv") -> bool:
     """SNK-4: write parsed rows; nothing is written when no row survived."""
-    if df.isEmpty():
+    rows = materialize(df, "clean")      # the parse runs once, whether or not a row survives
+    if rows.isEmpty():
         return False
-    w = df.write.mode("overwrite").format(fmt)
-    if fmt == "csv":
-        w = w.option("header", True)
-    w.save(path)
+    w = rows.write.mode("overwrite").format(fmt)
+    (w.options(**CSV) if fmt == "csv" else w).save(path)
     return True
 
 

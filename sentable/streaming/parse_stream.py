@@ -11,6 +11,7 @@ which is what makes the job survive executor and driver loss.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sentable.operators.domain import domains, in_domain
 from sentable.operators.parsing import clean_lines, parse_strict
@@ -31,10 +32,13 @@ def parse_stream(spark: SparkSession, source_dir: str, real: DataFrame, cols: li
 
 
 def run_available(spark: SparkSession, source_dir: str, real: DataFrame, cols: list[str], check: list[str],
-                  sink_dir: str, checkpoint_dir: str, timeout_s: int = 600) -> DataFrame:
-    """Process everything available now, then read the sink."""
-    q = parse_stream(spark, source_dir, real, cols, check, sink_dir, checkpoint_dir)
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(sink_dir)
+                  sink_dir: str, checkpoint_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Process everything available now, however long it takes, then read the
+    sink.  It is read with the parsed table's schema and set up before the first
+    batch, so no survivors (or no input) give an empty table."""
+    schema = StructType([StructField(c, StringType()) for c in cols])
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(sink_dir)
+    q = parse_stream(spark, source_dir, real, cols, check, sink_dir, checkpoint_dir,
+                     max_files_per_trigger=max_files_per_trigger)
+    q.awaitTermination()      # availableNow ends by itself; a failed query raises here
+    return spark.read.schema(schema).parquet(sink_dir)
