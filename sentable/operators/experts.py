@@ -7,8 +7,8 @@ column by column.  Here each column's expert is a count table:
 
 for a generation order c1..cm (c1 = anchor).  Contexts of column cj:
 level 0 = nothing, level 1 = the previous column, level 2 = (anchor,
-previous); level 3 = the next column, used only when completing a row whose
-anchor is missing but whose next cell is given.  Numeric context values are
+previous); level 3 + d = the column d + 1 places later, used only to complete a
+row whose previous cell is missing but a later one is given.  Numeric context values are
 binned on edges frozen at fit time;
 drawn values are always real training strings.  Sampling walks the order and
 draws each column with an interval join (see ``dist.draw``) at the highest
@@ -33,7 +33,7 @@ NAN_TEXT = "nan"        # text of a missing number (Plain-mode rows)
 FILL_TEXT = "?"         # text of a missing category (after fill_na)
 WEIGHT_TOTAL = float(2 ** 48)    # bound of a group's total weight in tempered draws
 GROUP = ["order_id", "col", "level", "ctx"]
-NEXT_LEVEL = 3          # context = the next column in order (used to complete the anchor)
+NEXT_LEVEL = 3          # level 3 + d: context = the column d + 1 places later in order (used to complete rows)
 
 
 @dataclass
@@ -77,8 +77,9 @@ def ctx_value(model_numeric: dict, bins: int, c: str, text: Column) -> Column:
 def _ctx(model, order, j, level, get: dict[str, Column]) -> Column:
     if level == 0:
         return F.lit("")
-    if level == NEXT_LEVEL:
-        return ctx_value(model.numeric, model.bins, order[j + 1], get[order[j + 1]])
+    if level >= NEXT_LEVEL:
+        later = order[j + 1 + level - NEXT_LEVEL]
+        return ctx_value(model.numeric, model.bins, later, get[later])
     prev = ctx_value(model.numeric, model.bins, order[j - 1], get[order[j - 1]])
     if level == 1:
         return prev
@@ -98,16 +99,21 @@ def numeric_edges(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, floa
 
 
 def fit(df: DataFrame, cols: list[str] | None = None, cond: str | None = None, bins: int = 20,
-        order: str = "schema", k: int = 4, seed=42, edges: dict | None = None) -> ExpertModel:
+        order: str = "schema", k: int = 4, seed=42, edges: dict | None = None,
+        pairs: list[tuple[str, str]] | None = None) -> ExpertModel:
     """GEN-1: one expert per column for each generation order.
 
     ``order='schema'`` fits the table order; ``'conditional'`` puts ``cond``
     first; ``'random'`` fits K orders with ``cond`` first and the rest in
-    hash order (SMP-4).  One scan: every row emits its (col, level, ctx,
+    hash order (SMP-4).  ``cond`` defaults to the last column.  ``pairs`` asks for
+    the table of a column given a later one besides those of its next column
+    (see ``needed_pairs``).  One scan: every row emits its (col, level, ctx,
     value) items through ``inline`` and a partially aggregated count folds
     them, so hot values collapse before the shuffle."""
     from sentable.operators.starts import generation_orders
     cols = cols or df.columns
+    cond = cond or cols[-1]
+    pairs = set(pairs or ())
     if order == "schema":
         orders = [list(cols)]
     elif order == "conditional":
@@ -119,7 +125,8 @@ def fit(df: DataFrame, cols: list[str] | None = None, cond: str | None = None, b
     items = []
     for oid, o in enumerate(orders):
         for j, c in enumerate(o):
-            levels = list(range(0, min(j, 2) + 1)) + ([NEXT_LEVEL] if j + 1 < len(o) else [])
+            levels = list(range(0, min(j, 2) + 1)) + [NEXT_LEVEL + d for d, g in enumerate(o[j + 1:])
+                                                      if d == 0 or (c, g) in pairs]
             for level in levels:
                 items.append(F.struct(F.lit(oid).cast("long").alias("order_id"), F.lit(c).alias("col"),
                                       F.lit(level).cast("long").alias("level"),
@@ -129,6 +136,18 @@ def fit(df: DataFrame, cols: list[str] | None = None, cond: str | None = None, b
     return model
 
 
+def needed_pairs(df: DataFrame, cols: list[str]) -> list[tuple[str, str]]:
+    """(missing column, nearest later given one) of the missing patterns that
+    occur in ``df``: the pair tables that completing its rows can use."""
+    bits = F.concat(*[F.when(is_missing(df, c), F.lit("0")).otherwise(F.lit("1")) for c in cols])
+    out = set()
+    for r in df.select(bits.alias("p")).groupBy("p").agg(F.count(F.lit(1))).collect():      # one row a pattern
+        for j, c in enumerate(cols):
+            if r["p"][j] == "0" and "1" in r["p"][j:]:
+                out.add((c, cols[r["p"].index("1", j)]))
+    return sorted(out)
+
+
 def merge(a: ExpertModel, b: ExpertModel) -> ExpertModel:
     """GEN-11: continue a fit with new rows — counts add (edges are frozen)."""
     if a.orders != b.orders or a.numeric != b.numeric or a.bins != b.bins:
@@ -366,13 +385,16 @@ def complete_rows(model: ExpertModel, x: DataFrame, fixed: dict[str, Column], se
     for j, c in enumerate(o):
         get = {cc: F.col(cc) for cc in o[:j]}
         levels = {L: _ctx(model, o, j, L, get) for L in range(0, min(j, 2) + 1)}
-        if j == 0 and len(o) > 1:
-            # the anchor has no earlier column: condition on the next cell when it is given
-            nxt = F.col(f"_g_{o[1]}")
-            levels[NEXT_LEVEL] = F.when(nxt.isNotNull(), _ctx(model, o, 0, NEXT_LEVEL, {o[1]: nxt}))
+        # without a given cell just before it, condition on the nearest later cell that is
+        # given: levels above 2 win in the draw, and a null context or an unfitted pair is passed over
+        free = F.col(quoted(f"_g_{o[j - 1]}")).isNull() if j else F.lit(True)
+        for d, g in enumerate(o[j + 1:]):
+            cell = F.col(quoted(f"_g_{g}"))
+            levels[NEXT_LEVEL + d] = F.when(free & cell.isNotNull(), _ctx(model, o, j, NEXT_LEVEL + d, {g: cell}))
+            free = free & cell.isNull()
         u = uniform(seed, F.lit(f"draw:{attempt}:0:{c}"), F.col(key))
         x = draw_column(x, tables, 0, c, levels, u, "_d")
-        x = x.withColumn(c, F.coalesce(F.col(f"_g_{c}"), F.col("_d"))).drop("_d")
+        x = x.withColumn(c, F.coalesce(F.col(quoted(f"_g_{c}")), F.col("_d"))).drop("_d")
     return x.select(key, *model.cols)
 
 
@@ -402,7 +424,8 @@ def impute(model: ExpertModel, df: DataFrame, seed, key: str = "row_key", max_re
     retried with the attempt number in the hash tag, re-drawing only the
     missing cells.  Each attempt works on the remaining rows only (written
     to the checkpoint folder); rows still incomplete after ``max_retries``
-    are dropped and counted, as the source warns and drops them."""
+    are dropped and counted, as the source warns and drops them.  A row that
+    misses a cell of a column without any value to draw is dropped at once."""
     from sentable.operators.prep import same_columns, to_numeric
     from sentable.sources.io import materialize
     same_columns(df.drop(key), model.cols)
@@ -416,13 +439,20 @@ def impute(model: ExpertModel, df: DataFrame, seed, key: str = "row_key", max_re
     fixed = {c: format_value(F.col(c), df.schema[c].dataType, None) for c in model.cols}
     complete0 = F.lit(True)
     for c in model.cols:
-        complete0 = complete0 & F.col(c).isNotNull() & (~F.isnan(F.col(c)) if c in num else F.lit(True))
+        complete0 = complete0 & ~is_missing(df, c)
+        fixed[c] = F.when(~is_missing(df, c), fixed[c])
     # complete rows pass through (numbers as doubles); only the others are drawn
     done = [df.filter(complete0).select(key, *[F.col(c).cast("double").alias(c) if c in num else fixed[c].alias(c)
                                                 for c in model.cols])]
     cur = df.filter(~complete0).select(key, *[fixed[c].alias(c) for c in model.cols])
+    hopeless = F.lit(False)
+    for c in model.cols:
+        if (0, c) not in tables.level0:
+            hopeless = hopeless | F.col(quoted(c)).isNull()
+    lost = cur.filter(hopeless).count()
+    cur = cur.filter(~hopeless)
     attempts = 0
-    for attempt in range(max_retries):
+    for attempt in range(max_retries if not cur.isEmpty() else 0):
         attempts += 1
         x = complete_rows(model, cur, {c: F.col(c) for c in model.cols}, seed, key, attempt, tables)
         typed = x.select(key, *[to_numeric(F.col(c)).alias(c) if c in num else F.col(c) for c in model.cols])
@@ -435,7 +465,7 @@ def impute(model: ExpertModel, df: DataFrame, seed, key: str = "row_key", max_re
                                               .alias(c) if c in num else F.col(c) for c in model.cols])
         if cur.isEmpty():
             break
-    dropped = cur.count()
+    dropped = lost + (cur.count() if attempts else 0)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

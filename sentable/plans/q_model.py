@@ -264,8 +264,12 @@ def _exact_copies(spark, sf):
 C = FIXTURES["C"]
 
 
+C_PAIRS = [(c, g) for k, c in enumerate(C.cols) for g in C.cols[k + 1:]]
+
+
 def _fit_c(spark, sf, nulls):
-    return X.fit(load(spark, sf, "C", nulls=nulls, key=False), C.cols, cond=C.labs[0], bins=BINS)
+    """With the pair tables of every missing pattern."""
+    return X.fit(load(spark, sf, "C", nulls=nulls, key=False), C.cols, cond=C.labs[0], bins=BINS, pairs=C_PAIRS)
 
 
 def _sql_prompts():
@@ -276,7 +280,7 @@ def _sql_prompts():
     parsed = lenient_select(sql_lenient_text("C", sql_load("C", nulls=True)), C.cols, ["row_key"])
     given = ", ".join(f"CASE WHEN {c} <> 'placeholder' THEN {c} END AS g_{c}" for c in C.cols)
     src = f"SELECT row_key AS sid, {given} FROM ({parsed})"
-    ctes = model_ctes(sql_load("C"), C.cols, C.kinds, [C.cols], BINS)
+    ctes = model_ctes(sql_load("C"), C.cols, C.kinds, [C.cols], BINS, all_pairs=True)
     return f"WITH {ctes}, {GRP_CTE} {complete_sql(src, C.cols, C.kinds, BINS, SEED)}"
 
 
@@ -297,7 +301,7 @@ def _sql_impute():
     from sentable.plans.sqlmodel import GRP_CTE, complete_sql
     from sentable.plans.fixtures import sql_fmt
     src_c = sql_load("C", nulls=True)
-    ctes = [model_ctes(src_c, C.cols, C.kinds, [C.cols], BINS, drop_nan_numbers=True), GRP_CTE]
+    ctes = [model_ctes(src_c, C.cols, C.kinds, [C.cols], BINS, drop_nan_numbers=True, all_pairs=True), GRP_CTE]
     num = [c for c in C.cols if C.kinds[c] in ("int", "double")]
     first = ", ".join(f"{sql_fmt(c, C.kinds[c])} AS g_{c}" for c in C.cols)
     full = " AND ".join(f"{c} IS NOT NULL" for c in C.cols)

@@ -26,8 +26,9 @@ NEXT_LEVEL = 3
 def level_ctx(order, j, level, get, kinds, bins):
     if level == 0:
         return "''"
-    if level == NEXT_LEVEL:
-        return ctx_sql(order[j + 1], get(order[j + 1]), kinds, bins)
+    if level >= NEXT_LEVEL:
+        later = order[j + 1 + level - NEXT_LEVEL]
+        return ctx_sql(later, get(later), kinds, bins)
     prev = ctx_sql(order[j - 1], get(order[j - 1]), kinds, bins)
     if level == 1:
         return prev
@@ -40,14 +41,14 @@ def edges_sql(edge_src: str, cols, kinds) -> str:
     return f"SELECT {sel} FROM ({edge_src})"
 
 
-def counts_sql(src: str, cols, kinds, orders, bins, edge_src: str | None = None) -> str:
+def counts_sql(src: str, cols, kinds, orders, bins, edge_src: str | None = None, all_pairs: bool = False) -> str:
     """(order_id, col, level, ctx, value, n) of the fitted model."""
     texts = ", ".join(f"{text_sql(c, kinds[c])} AS t_{c}" for c in cols)
     base = f"(SELECT t.*, e.* FROM (SELECT {texts} FROM ({src})) t, ({edges_sql(edge_src or src, cols, kinds)}) e) e"
     parts = []
     for oid, o in enumerate(orders):
         for j, c in enumerate(o):
-            for L in list(range(0, min(j, 2) + 1)) + ([NEXT_LEVEL] if j + 1 < len(o) else []):
+            for L in list(range(0, min(j, 2) + 1)) + [NEXT_LEVEL + d for d in range(len(o) - j - 1) if d == 0 or all_pairs]:
                 ctx = level_ctx(o, j, L, lambda cc: f"t_{cc}", kinds, bins)
                 parts.append(f"SELECT {oid}::BIGINT AS order_id, '{c}' AS col, {L}::BIGINT AS level, {ctx} AS ctx, "
                              f"t_{c} AS value, count(*)::BIGINT AS n FROM {base} GROUP BY ALL")
@@ -93,8 +94,8 @@ def chain_sql(keys: str, order, oid, kinds, bins, seed, attempt=0, key="sid", gi
 
 
 def model_ctes(src: str, cols, kinds, orders, bins, temperature=1.0, edge_src: str | None = None,
-               drop_nan_numbers: bool = False) -> str:
-    cnt = counts_sql(src, cols, kinds, orders, bins, edge_src)
+               drop_nan_numbers: bool = False, all_pairs: bool = False) -> str:
+    cnt = counts_sql(src, cols, kinds, orders, bins, edge_src, all_pairs)
     if drop_nan_numbers:
         num = ", ".join(f"'{c}'" for c in cols if kinds[c] in ("int", "double"))
         cnt = f"SELECT * FROM ({cnt}) WHERE NOT (col IN ({num}) AND value = 'nan')"
@@ -136,10 +137,12 @@ def complete_sql(src: str, order, kinds, bins, seed, attempt=0, key="sid") -> st
     for j, c in enumerate(order):
         levels = list(range(0, min(j, 2) + 1))
         ks = {L: level_ctx(order, j, L, lambda cc: f"s.{cc}", kinds, bins) for L in levels}
-        if j == 0 and len(order) > 1:
-            levels.append(NEXT_LEVEL)
-            ks[NEXT_LEVEL] = (f"CASE WHEN s.g_{order[1]} IS NOT NULL THEN "
-                              f"{level_ctx(order, 0, NEXT_LEVEL, lambda cc: f's.g_{cc}', kinds, bins)} END")
+        free = f"s.g_{order[j - 1]} IS NULL" if j else "true"
+        for d, g in enumerate(order[j + 1:]):
+            levels.append(NEXT_LEVEL + d)
+            ks[NEXT_LEVEL + d] = (f"CASE WHEN {free} AND s.g_{g} IS NOT NULL THEN "
+                                  f"{level_ctx(order, j, NEXT_LEVEL + d, lambda cc: f's.g_{cc}', kinds, bins)} END")
+            free += f" AND s.g_{g} IS NULL"
         u = sql_u(seed, f"'draw:{attempt}:0:{c}'", f"s.{key}")
         joins = " ".join(f"LEFT JOIN grp g{L} ON g{L}.order_id = 0 AND g{L}.col = '{c}' AND g{L}.level = {L} "
                          f"AND g{L}.ctx = {ks[L]}" for L in levels)

@@ -120,3 +120,27 @@ def test_start_sampler_errors(spark):
             start_prompts(keys, ["x"], 1, **bad)
     with pytest.raises(ValueError):
         start_categorical(keys, dist.limit(0), "x", 1)
+
+
+def test_completion_uses_later_given_cells(spark):
+    from sentable.operators import experts as X
+    real = spark.range(2000).select(F.concat(F.lit("v"), F.col("id") % 20).alias("c1"),
+                                    F.concat(F.lit("x"), F.floor(F.col("id") / 20) % 7).alias("c2"),
+                                    F.concat(F.lit("v"), F.col("id") % 20).alias("c3"))
+    cols = ["c1", "c2", "c3"]
+    part = spark.range(200).select(F.col("id").cast("string").alias("row_key"), F.lit(None).cast("string").alias("c1"),
+                                   F.lit(None).cast("string").alias("c2"), F.concat(F.lit("v"), F.col("id") % 20).alias("c3"))
+    assert X.needed_pairs(part, cols) == [("c1", "c3"), ("c2", "c3")]
+    model = X.fit(real, cols, pairs=X.needed_pairs(part, cols))
+    out = X.impute(model, part, 1)
+    assert out.dropped == 0 and out.rows.where("c1 = c3").count() == 200
+    prompts = spark.range(100).select("id", F.concat(F.lit("c3 is v"), F.col("id") % 20).alias("text")).withColumnRenamed("id", "sid")
+    assert X.sample_from_prompts(model, prompts, 1).where("c1 = c3").count() == 100
+
+
+def test_rows_that_cannot_be_filled_are_dropped_at_once(spark):
+    from sentable.operators import experts as X
+    real = spark.createDataFrame([("a", None), ("b", None)], "c1 string, c2 double")
+    part = spark.createDataFrame([("k1", None, 1.0), ("k2", "a", None)], "row_key string, c1 string, c2 double")
+    out = X.impute(X.fit(real, ["c1", "c2"]), part, 1)
+    assert (out.dropped, out.attempts) == (1, 1) and [r.row_key for r in out.rows.collect()] == ["k1"]
