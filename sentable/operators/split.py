@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sentable.functions.hashing import hash_hex
-from sentable.operators.index import with_exact_index
+from sentable.operators.index import rank_within, with_exact_index
 
 
 def shuffle_index(df: DataFrame, seed, key: Column, tag: str = "shuffle", idx: str = "idx",
@@ -37,9 +38,16 @@ def epoch_batches(df: DataFrame, seed, key: Column, epoch: int, batch_size: int,
                   shuffle: bool = True) -> DataFrame:
     """SRT-2: training rows reshuffled per epoch and cut into batches of
     ``batch_size``; the short last batch is dropped if asked.  Evaluation
-    (``shuffle=False``) keeps a fixed order (md5 of the key alone)."""
-    tag = f"epoch:{epoch}" if shuffle else "eval"
-    x = shuffle_index(df, seed, key, tag=tag, idx="idx", with_count="_n")
+    (``shuffle=False``) keeps the table's order, that of its (unique) key:
+    numbers by value, texts by code points."""
+    if shuffle:
+        x = shuffle_index(df, seed, key, tag=f"epoch:{epoch}", idx="idx", with_count="_n")
+    else:
+        x = df.select("*", key.alias("_key"))
+        if not isinstance(x.schema["_key"].dataType, StringType):
+            x = x.withColumn("_key", F.lpad(F.col("_key").cast("decimal(38,0)") + F.lit("1" + "0" * 20).cast("decimal(38,0)"), 38, "0"))
+        x = rank_within(x.withColumn("_g", F.lit(0)), ["_g"], "_key", "idx").drop("_g", "_key")
+        x = x.withColumn("_n", F.lit(df.count()))
     x = x.withColumn("batch_id", F.floor(F.col("idx") / batch_size).cast("long"))
     if drop_last:
         x = x.filter(F.col("batch_id") < F.floor(F.col("_n") / batch_size))

@@ -8,7 +8,7 @@ from sentable.functions.hashing import uniform
 from sentable.operators.parsing import parse_strict
 from sentable.operators.prep import check_roles, fill_na, recode, rename_all
 from sentable.operators.split import split
-from sentable.plans.fixtures import FIXTURES, load, sql_load, table
+from sentable.plans.fixtures import FIXTURES, load, sql_load, sql_u, table
 from sentable.plans.q_prep import SEED, sql_split
 from sentable.plans.registry import query
 from sentable.plans.sqlparse import strict_select
@@ -45,6 +45,23 @@ def _read_split(spark, sf):
     return read_split(spark, base, "orders", "train", schema=schema, fmt="csv").select("row_key", *B.cols, "idx")
 
 
+_MARKS = f"CASE WHEN {sql_u(11, chr(39) + 'mark' + chr(39), 'row_key')} < 0.3 THEN NULL ELSE c_mktsegment END"
+
+
+@query("read_split_markers", f"SELECT row_key, c_nationkey, c_acctbal, {_MARKS} AS c_mktsegment FROM ({sql_load('C')})")
+def _read_split_markers(spark, sf):
+    """SRC-1: cells that read NA, null or nothing are missing."""
+    from pyspark.sql.types import StructType
+    u = uniform(11, "mark", F.col("row_key"))
+    df = load(spark, sf, "C").withColumn("c_mktsegment", F.when(u < 0.1, F.lit("NA")).when(u < 0.2, F.lit("null"))
+                                         .when(u < 0.3, F.lit("")).otherwise(F.col("c_mktsegment")))
+    base = scratch_path(spark, "snap")
+    write_snapshot(df.withColumn("split", F.lit("train")), base, "customer", CREATED, fmt="csv")
+    schema = StructType.fromDDL("row_key string, c_nationkey bigint, c_acctbal double, c_mktsegment string")
+    return read_split(spark, base, "customer", "train", schema=schema, fmt="csv").select(
+        "row_key", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
 @query("read_version", f"SELECT row_key, {', '.join(B.cols)}, idx FROM ({_SPLIT_B}) WHERE split = 'val'")
 def _read_version(spark, sf):
     base = _snapshot(spark, sf, "parquet")

@@ -376,3 +376,34 @@ def _synthesize_encoded(spark, sf):
     """GEN-12/13 on ``part``: label-encoded, decoded after the parse, with a
     number of rows that is not the table's."""
     return S.synthesize(load(spark, sf, "A"), _contract(A), n=N_NEW, seed=SEED, bins=BINS, encode_categories=True)
+
+
+D = FIXTURES["D"]
+_SPLIT_D = sql_split(sql_load("D"))
+
+
+@query("split_lineitem", _SPLIT_D)
+def _split_lineitem(spark, sf):
+    return split(load(spark, sf, "D"), SEED, F.col("row_key"))
+
+
+@query("fit_experts_lineitem", counts_sql(sql_load("D"), D.cols, D.kinds, [D.cols], BINS))
+def _fit_experts_lineitem(spark, sf):
+    return X.fit(load(spark, sf, "D", key=False), D.cols, cond=D.labs[0], bins=BINS).counts
+
+
+def _sql_synth_d():
+    from sentable.plans.q_text import _sql_in_domain
+    train = f"SELECT * FROM ({_SPLIT_D}) WHERE split = 'train'"
+    ctes = model_ctes(train, D.cols, D.kinds, [D.cols], BINS, edge_src=train)
+    lines = ("SELECT sid AS row_key, concat(" + ", ".join(f"'{c} is ' || {c} || '<EOC>'" for c in D.cols)
+             + f") AS line FROM {chain_sql(KEYS_N, D.cols, 0, D.kinds, BINS, SEED)}")
+    ok = _sql_in_domain(strict_select(lines, D.cols, ["row_key"]), "D", D.ords)
+    out = ", ".join(f"TRY_CAST({c} AS DOUBLE) AS {c}" if D.kinds[c] == "double" else c for c in D.cols)
+    return f"WITH {ctes} SELECT row_key AS sid, {out} FROM ({ok})"
+
+
+@query("synthesize_lineitem", _sql_synth_d())
+def _synthesize_lineitem(spark, sf):
+    """GEN-13 on ``lineitem``, whose rows have no declared key."""
+    return S.synthesize(load(spark, sf, "D"), _contract(D), n=N_NEW, seed=SEED, bins=BINS)

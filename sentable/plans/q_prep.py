@@ -188,6 +188,35 @@ def _epoch_batches(spark, sf):
     return epoch_batches(load(spark, sf, "C").select("row_key"), SEED, F.col("row_key"), 3, 64, drop_last=True)
 
 
+@query("eval_batches", "SELECT c_custkey, idx, (idx // 64)::BIGINT AS batch_id, 0::BIGINT AS epoch FROM (SELECT c_custkey, "
+                       "(row_number() OVER (ORDER BY c_custkey) - 1)::BIGINT AS idx FROM customer)")
+def _eval_batches(spark, sf):
+    """SRT-2: evaluation batches, in the table's order, the short last one kept."""
+    return epoch_batches(table(spark, sf, "customer", ["c_custkey"]), SEED, F.col("c_custkey"), 0, 64, shuffle=False)
+
+
+_TRAIN_A = f"SELECT * FROM ({sql_split(sql_load('A'))}) WHERE split = 'train'"
+
+
+def _sql_unseen(how: str) -> str:
+    ids = " ".join(f"LEFT JOIN (SELECT {c} AS v_{c}, (row_number() OVER (ORDER BY {c}) - 1)::BIGINT AS id_{c} FROM "
+                   f"(SELECT DISTINCT {c} FROM ({_TRAIN_A}))) ON {c} = v_{c}" for c in ENC_COLS)
+    keep = " AND ".join(f"id_{c} IS NOT NULL" for c in ENC_COLS)
+    return (f"SELECT row_key, id_p_brand AS p_brand, p_size, p_retailprice, id_p_type AS p_type FROM ({sql_load('A')}) {ids}"
+            + (f" WHERE {keep}" if how == "drop" else ""))
+
+
+def _encode_unseen(spark, sf, how):
+    """JN-2 with labels of the training split only: the whole table has others."""
+    df = load(spark, sf, "A")
+    train = split(df, SEED, F.col("row_key")).filter("split = 'train'").select(*A.cols)
+    return encode_labels(df, fit_labels(train, ENC_COLS), ENC_COLS, policy=how)
+
+
+for _how in ("drop", "null"):
+    query(f"encode_unseen_{_how}", _sql_unseen(_how))(lambda spark, sf, how=_how: _encode_unseen(spark, sf, how))
+
+
 POSITIONS = [0, 1, 7, 100, 1000, 5000, 14999, 10 ** 9]
 
 

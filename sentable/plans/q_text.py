@@ -11,7 +11,8 @@ from sentable.operators.parsing import parse_flags, parse_lenient, parse_samples
 from sentable.plans.fixtures import FIXTURES, load, sql_fmt, sql_load
 from sentable.plans.registry import query
 from sentable.plans.sqlparse import clean_sql, flags_select, lenient_select, strict_select
-from sentable.plans.workloads import lenient_text, noisy_lines, sql_lenient_text, sql_noisy_lines, sql_sentences
+from sentable.plans.workloads import lenient_text, noisy_lines, spoiled_lines, sql_lenient_text, sql_noisy_lines, \
+    sql_sentences, sql_spoiled_lines
 
 D, B, A, C = FIXTURES["D"], FIXTURES["B"], FIXTURES["A"], FIXTURES["C"]
 
@@ -38,6 +39,12 @@ def _row_text(spark, sf):
     return df.select("row_key", row_text(df, A.cols).alias("text"))
 
 
+@query("row_text_lineitem", f"SELECT row_key, '<BOS>' || {sql_sentences('D')} AS text FROM ({sql_load('D')})")
+def _row_text_lineitem(spark, sf):
+    df = load(spark, sf, "D")
+    return df.select("row_key", row_text(df, D.cols).alias("text"))
+
+
 @query("row_text_subset",
        f"SELECT row_key, '<BOS>' || concat('p_size is ' || CAST(CAST(p_size AS DOUBLE) AS VARCHAR) || '<EOC>', "
        f"'p_retailprice is ' || CAST(p_retailprice AS VARCHAR) || '<EOC>') AS text FROM ({sql_load('A')})")
@@ -51,9 +58,10 @@ def _row_text_subset(spark, sf):
 _NOISY_B = sql_noisy_lines("B", sql_load("B"))
 
 
-@query("clean_text", f"SELECT row_key, {clean_sql('line')} AS line FROM ({_NOISY_B})")
+@query("clean_text", f"SELECT row_key, {clean_sql('line')} AS line FROM ({sql_spoiled_lines(_NOISY_B)})")
 def _clean_text(spark, sf):
-    lines = noisy_lines(load(spark, sf, "B"), "B")
+    """TXT-10/11/12 on lines that hold every mark they remove or repair."""
+    lines = spoiled_lines(noisy_lines(load(spark, sf, "B"), "B"))
     return lines.select("row_key", strip_bos(fix_question_mark(clean_text(F.col("line")))).alias("line"))
 
 

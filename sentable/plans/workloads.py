@@ -51,6 +51,21 @@ def sql_noisy_lines(alias: str, src: str) -> str:
             f"FROM (SELECT row_key, {base} AS b, {u} AS u FROM ({src}))")
 
 
+def spoiled_lines(df: DataFrame) -> DataFrame:
+    """Marks of a decoder in ``line``: an end-of-text token, line ends, a joined question mark."""
+    u, line = uniform(NOISE_SEED, "spoil", F.col("row_key")), F.col("line")
+    return df.withColumn("line", F.when(u < 0.2, F.concat(line, F.lit("<|endoftext|>")))
+                         .when(u < 0.4, F.replace(line, F.lit(" is "), F.lit("\nis\r ")))
+                         .when(u < 0.6, F.replace(line, F.lit(" is "), F.lit(" is?"))).otherwise(line))
+
+
+def sql_spoiled_lines(src: str) -> str:
+    u = sql_u(NOISE_SEED, "'spoil'", "row_key")
+    return (f"SELECT row_key, CASE WHEN u < 0.2 THEN line || '<|endoftext|>' "
+            f"WHEN u < 0.4 THEN replace(line, ' is ', chr(10) || 'is' || chr(13) || ' ') "
+            f"WHEN u < 0.6 THEN replace(line, ' is ', ' is?') ELSE line END AS line FROM (SELECT *, {u} AS u FROM ({src}))")
+
+
 def lenient_text(df: DataFrame, alias: str) -> DataFrame:
     """Comma format: non-null cells as "c is v"; a null cell reads "c is None"
     on half of the rows (u(11,'none',key) < .5) and is left out otherwise."""
