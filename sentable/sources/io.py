@@ -53,9 +53,17 @@ def materialize(df: DataFrame, what: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    _delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.parquet(path)
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Intermediate tables go when the driver's session ends; until then lazy
+    results may still read them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def version_name(creation_time: str) -> str:
     """The dated folder name: whitespace runs become dots; ':' (not allowed in
     HDFS/S3 paths) becomes '-'."""
