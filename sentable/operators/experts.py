@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sentable.functions.fmt import format_value, is_missing, is_numeric_type, quoted
 from sentable.functions.hashing import uniform
 from sentable.operators.dist import intervals
-from sentable.operators.joins import MAX_BYTES
+from sentable.operators.joins import MAX_BYTES, small_side
 
 SEP = "\u0001"          # joins anchor and previous context values
 NAN_TEXT = "nan"        # text of a missing number (Plain-mode rows)
@@ -324,24 +324,27 @@ def evaluate(model: ExpertModel, val: DataFrame, key: str = "row_key", oid: int
     """GEN-9 / AGG-7: validation loss.  For each row and column, -ln of the
     add-one smoothed probability of the true value under the highest-level
     context seen in training (else level 0); mean per column, then the mean
-    over columns (row '__mean__').  V = level-0 distinct values + 1."""
+    over columns (row '__mean__').  V = level-0 distinct values + 1.
+
+    A level that a column does not have gets a context of its own for each row,
+    not null: it matches nothing, and rows spread evenly over the join's tasks."""
+    from sentable.sources.io import materialize
     o = model.orders[oid]
     text = {c: cell_text(val, c) for c in o}
     items = []
     for j, c in enumerate(o):
         items.append(F.struct(F.lit(c).alias("col"), text[c].alias("value"),
                               *[_ctx(model, o, j, L, text).alias(f"c{L}") if L <= min(j, 2) else
-                                F.lit(None).cast("string").alias(f"c{L}") for L in range(3)]))
+                                F.concat(F.lit("\u0002"), F.col(key).cast("string")).alias(f"c{L}") for L in range(3)]))
     cells = val.select(key, F.inline(F.array(*items)))
-    cnt = model.counts.filter(F.col("order_id") == oid)
+    cnt = materialize(model.counts.filter(F.col("order_id") == oid), "eval-counts")     # read for every level
     tot = cnt.groupBy("col", "level", "ctx").agg(F.sum("n").alias("tot"))
     vocab = cnt.filter(F.col("level") == 0).groupBy("col").agg((F.count(F.lit(1)) + 1).alias("V"))
     for L in range(3):
         t = tot.filter(F.col("level") == L).select("col", F.col("ctx").alias(f"c{L}"), F.col("tot").alias(f"t{L}"))
-        # level 0 has one row per column (every cell of a column shares its
-        # key): broadcast; deeper levels grow with the data and are left to
-        # the planner and AQE's skew handling
-        cells = cells.join(F.broadcast(t) if L == 0 else t, ["col", f"c{L}"], "left")
+        # level 0 has one row per column; deeper levels (a few bins or values a context)
+        # are broadcast after a check of rows and bytes, else left to AQE's skew handling
+        cells = cells.join(F.broadcast(t) if L == 0 else small_side(t, 100_000), ["col", f"c{L}"], "left")
     lvl = F.when(F.col("t2").isNotNull(), 2).when(F.col("t1").isNotNull(), 1).otherwise(0).cast("long")
     cells = cells.withColumn("level", lvl) \
         .withColumn("ctx", F.when(F.col("level") == 2, F.col("c2")).when(F.col("level") == 1, F.col("c1")).otherwise(F.lit(""))) \

@@ -9,6 +9,7 @@ from sentable.functions.fmt import quoted
 from sentable.functions.parse import with_lenient_fields, with_strict_fields
 from sentable.functions.rows import keep_if
 from sentable.functions.text import clean_text, fix_question_mark, strip_bos
+from sentable.operators.encode import decode_labels
 from sentable.operators.domain import domain_flags, domains, in_domain
 
 
@@ -44,9 +45,13 @@ def parse_flags(raw: DataFrame, real: DataFrame, cols: list[str], check: list[st
 
 
 def parse_samples(raw: DataFrame, real: DataFrame, cols: list[str], check: list[str], line: str = "line",
-                  fill: str | None = "?", clean: bool = True) -> DataFrame:
-    """TXT-16: clean → strict parse → domain filter → clean table (all text)."""
+                  fill: str | None = "?", clean: bool = True, enc: DataFrame | None = None,
+                  enc_cols: list[str] | None = None, value_spaces: bool = False) -> DataFrame:
+    """TXT-16: clean → strict parse → label decode (of ``enc_cols``, if the model
+    was fitted on labels) → domain filter → clean table (all text)."""
     src = clean_lines(raw, line) if clean else raw
-    parsed = parse_strict(src, cols, line)
+    parsed = parse_strict(src, cols, line, value_spaces=value_spaces)
+    if enc is not None:
+        parsed = decode_labels(parsed, enc, enc_cols)
     return in_domain(parsed, domains(real, check, fill), check)
 

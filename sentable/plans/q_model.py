@@ -407,3 +407,17 @@ def _sql_synth_d():
 def _synthesize_lineitem(spark, sf):
     """GEN-13 on ``lineitem``, whose rows have no declared key."""
     return S.synthesize(load(spark, sf, "D"), _contract(D), n=N_NEW, seed=SEED, bins=BINS)
+
+
+@query("parse_decoded", f"SELECT row_key, p_brand, CAST(CAST(p_size AS DOUBLE) AS VARCHAR) AS p_size, "
+                        f"CAST(CAST(p_retailprice AS DOUBLE) AS VARCHAR) AS p_retailprice, p_type FROM ({sql_load('A')})")
+def _parse_decoded(spark, sf):
+    """TXT-16's label branch: lines of label ids are parsed, decoded and checked."""
+    from sentable.functions.text import row_text
+    from sentable.operators.encode import encode_labels, fit_labels
+    from sentable.operators.parsing import parse_samples
+    df = load(spark, sf, "A")
+    enc = fit_labels(df.drop("row_key"), ENC)
+    coded = encode_labels(df, enc, ENC)
+    lines = coded.select("row_key", row_text(coded, A.cols).alias("line"))
+    return parse_samples(lines, df, A.cols, ENC, enc=enc, enc_cols=ENC)
