@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -21,7 +25,7 @@ WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
 
 # A side is broadcast only when an exact count finds at most this many rows
 # of the fixed-width columns it is cut down to (16 to 64 bytes a row).
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +53,33 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Python workers get this package from the driver, once an application,
+    wherever they run and whatever their own import path is."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        path = os.path.join(tempfile.mkdtemp(prefix="sentable-"), "sentable.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(os.path.join(root, "sentable")):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
+
+
 def numbered(df: DataFrame, *cols: str) -> DataFrame:
     """``cols`` and ``rid``, the row's place in the scan.
 
     The place is the same in each scan of the same files with the same session
     settings, so it names a row even if ids are null or repeated.  An input
     that is not a plain scan must be materialised first."""
+    ship(df.sparkSession)
     return df.select(F.monotonically_increasing_id().alias("rid"), *[F.col(f"`{c}`") for c in cols])
 
 

@@ -10,7 +10,8 @@ out or replaced).
 2. A pair within one edit shares its first or its last half (by the shorter one's
    length).  Lines that share neither with any other distinct line have no partner, and
    only the rest, S, goes on, numbered in order of place.
-3. S emits hashed variants: the whole line and the line without its i-th word.
+3. S emits hashed variants: the whole line and the line without its i-th word;
+   those that only one line has are left out of what follows.
    Equal variants without the i-th word of both: a replacement.  A whole line equal to a
    variant of another: a word put in.  In each group of equal variants a line is joined
    with the group's earliest, never with every other.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from sentable.llm.common import LOWER_BYTES, cut, extended, fresh, numbered, replacing, small_side, table, text_or_empty
+from sentable.llm.common import BROADCAST_ROWS, LOWER_BYTES, cut, extended, fresh, numbered, replacing, small_side, table, text_or_empty
 
 MIN_WORDS = 8
 SLICE = 1_000
@@ -135,17 +136,22 @@ def _verify(batches):
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of distinct lines that an earlier line is within one edit of."""
-    keyed = distinct.where("k0 IS NOT NULL").select("h1", "h2", "place", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
+    lines = distinct.withColumn("lid", F.monotonically_increasing_id())       # a written table: the same in each scan
+    keyed = lines.where("k0 IS NOT NULL").select("lid", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
     shared = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    some = (keyed.join(small_side(cut(shared, "line-halves")), "k", "left_semi")
-            .groupBy("h1", "h2").agg(F.min("place").alias("place")))
+    some = keyed.join(small_side(cut(shared, "line-halves")), "k", "left_semi").select("lid").distinct()
+    some = lines.select("lid", "h1", "h2", "place").join(small_side(cut(some, "line-ids")), "lid", "left_semi")
     some = cut(some.orderBy("place").select(F.monotonically_increasing_id().alias("sid"), "h1", "h2",
                                             F.col("place.rid").alias("rid"), F.col("place.line").alias("line")), "line-survivors")
     wanted = some.groupBy("rid").agg(F.collect_list("line").alias("wanted"))
+    wanted = F.broadcast(wanted) if some.count() <= BROADCAST_ROWS else wanted
     texts = numbered_text(docs).join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(
         _lines_of, "rid long, line int, words binary")
-    texts = cut(texts.join(some, ["rid", "line"]).select("sid", "h1", "h2", "words"), "line-texts")
-    v = cut(texts.select("sid", "words").mapInArrow(_variant_rows, "key long, i int, sid long"), "line-variants")
+    texts = cut(texts.join(small_side(some), ["rid", "line"]).select("sid", "h1", "h2", "words"), "line-texts")
+    # variants that only one line has (nearly all) drop out before the joins
+    every = texts.select("sid", "words").mapInArrow(_variant_rows, "key long, i int, sid long")
+    again = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    v = cut(every.join(small_side(cut(again, "line-keys")), "key", "left_semi"), "line-variants")
     first = v.where("i >= 0").groupBy("key", "i").agg(F.min("sid").alias("o"), F.count("*").alias("n")).where("n > 1")
     replaced = v.join(first.drop("n"), ["key", "i"]).where("sid > o").select("sid", "o")
     whole = v.where("i = -1").select("key", F.col("sid").alias("o"))
