@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
 
-from sentable.llm.common import extended, fresh, replacing, table, text_or_empty
+from sentable.llm.common import extended, fresh, replacing, ship, table, text_or_empty
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = b"\xff"                       # stands for the space mark; not a byte of any UTF-8 text
@@ -228,6 +228,7 @@ def decode(ids, v: Vocab) -> bytes:
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text") -> DataFrame:
     """``docs`` with piece_ids array<int>, n_byte_pieces and decoded, the text made from the ids
     again (columns of these names are replaced)."""
+    ship(docs.sparkSession)
     docs = replacing(docs, "piece_ids", "n_byte_pieces", "decoded")
     v = docs.sparkSession.sparkContext.broadcast(load(model))
     names = docs.columns

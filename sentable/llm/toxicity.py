@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from sentable.llm.common import WORD_BYTES, cut, extended, fold, numbered, replacing, table, without_rows
+from sentable.llm.common import WORD_BYTES, cut, extended, fold, numbered, replacing, ship, table, without_rows
 
 SAMPLE = 40_000        # labelled rows to learn from, at most (a uniform sample by a hash of the id)
 FEATURES = 2_000      # features the model keeps
@@ -120,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: in
     """Weights by feature; the bias is under the empty name.  What reaches the
     driver: ``n_features`` names, and for ``sample`` rows the numbers of their chosen features."""
     spark = docs.sparkSession
+    ship(spark)
     rows = cut(training_rows(docs, labels, sample, id_col, text_col).mapInArrow(
         _extract, "toxic int, features array<string>, swapped array<array<string>>"), "toxicity-rows")
     names = choose(rows, n_features, min_docs)
@@ -187,6 +188,7 @@ def train(y, rows, pairs, n_features: int, cf_weight: float, l1: float = L1, ste
 
 def score(docs: DataFrame, weights: dict[str, float], text_col: str = "text", cut_at: float = CUT) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (columns of these names are replaced)."""
+    ship(docs.sparkSession)
     docs = replacing(docs, "score", "predicted")
     model = docs.sparkSession.sparkContext.broadcast({f: w for f, w in weights.items() if f == "" or w})
     names = docs.columns
