@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentable.llm.common import cut, numbered, small_side, table, text_or_empty
+from sentable.llm.common import cut, numbered, table, text_or_empty
 
 # The base patterns.  Runs of hex digits and access keys shorter
 # than the limit cannot start a longer match, so the limit is in the pattern.
@@ -119,7 +119,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = (spans(docs, id_col, text_col).groupBy("rid").agg(
         F.count_if(F.col("kind") == 0).alias("n_assign"), F.count_if(F.col("kind") == 1).alias("n_access"),
         F.count_if(F.col("kind") == 2).alias("n_hex"), F.array_sort(F.collect_list(s)).alias("all")))
-    found = small_side(cut(found, "secret-spans"))
+    found = cut(found, "secret-spans")       # of any width, so the planner joins it by its size
     every = F.coalesce("all", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
     base = F.array_join(F.transform(F.filter(every, lambda x: x["kind"] < 3), label), ",")
     count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
