@@ -50,14 +50,14 @@ def with_exact_index(df: DataFrame, order_hash: Column, idx: str = "idx", digits
 
 
 def rank_within(df: DataFrame, group: list[str], key: str, out: str = "rank", sample: int = 4096,
-                per_bucket: int = 1 << 20) -> DataFrame:
+                buckets: int = 64, per_bucket: int = 1 << 20) -> DataFrame:
     """Exact 0-based rank of the distinct string ``key`` inside each group,
     in string (code-point) order, without sending a group to one task.
 
     Order-preserving buckets come from a hash-chosen sample of each group's
     keys (at most ~``sample`` per group reach the driver, whose size is thus
     bounded by groups x sample); each row finds its bucket among the boundaries
-    (64, and more so that a bucket holds about ``per_bucket`` rows, up to the
+    (``buckets``, and more so that a bucket holds about ``per_bucket`` rows, up to the
     sample), rows are ranked inside (group, bucket), and bucket sizes become
     offsets on a table of at most sample+1 rows per group.  Ranks are exact whatever the boundaries are; only balance
     depends on the sample."""
@@ -74,7 +74,7 @@ def rank_within(df: DataFrame, group: list[str], key: str, out: str = "rank", sa
     bounds = {}
     for r in picked.groupBy(*group).agg(F.array_sort(F.collect_list(key)).alias("_s")).collect():
         s, k = r["_s"], tuple(r[g] for g in group)
-        step = max(1, len(s) // max(64, sizes[k] // per_bucket))
+        step = max(1, len(s) // max(buckets, sizes[k] // per_bucket))
         bounds[k] = s[step::step]
     bt = spark.createDataFrame([(*k, v) for k, v in bounds.items()] or [tuple([None] * len(group)) + ([],)],
                                df.select(*group).schema.add("_bounds", T.ArrayType(T.StringType())))
