@@ -5,30 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentable.llm.common import cut, small_side
+from sentable.llm.common import cut
 
-JUMPS = 3      # pointer doublings a round: chains of 2**JUMPS nodes collapse in one
+JUMPS = 2      # pointer doublings a round: chains of 2**JUMPS nodes collapse in one
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): the smallest node it is connected with.
 
     Each round every node points to its smallest neighbour if that is smaller, pointers
-    are doubled, and edges are redrawn between what they point to, until none is left."""
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                .where("a < b").distinct(), "edges")
-    roots = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-                .select("node", F.col("node").alias("root")), "roots")
+    are doubled, and edges are redrawn between what they point to, until none is left.
+    Joins are left to the planner, which can split a hub's rows."""
+    first = edges = _drawn(edges)
+    steps = []
     while not edges.isEmpty():
         step = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), "pointers")
+        far = step
         for _ in range(JUMPS):
-            nxt = small_side(step.toDF("to", "to2"))
-            step = cut(step.join(nxt, "to", "left").select("node", F.coalesce("to2", "to").alias("to")), "pointers")
-        step = small_side(step)
-        moved = lambda df, c: (df.join(step.withColumnRenamed("node", c), c, "left")  # noqa: E731, B023
-                               .withColumn(c, F.coalesce("to", c)).drop("to"))
-        roots = cut(moved(roots, "root"), "roots")
-        e = moved(moved(edges, "a"), "b")
-        edges = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                    .where("a < b").distinct(), "edges")
-    return roots
+            far = _moved(far, far.toDF("node", "next"), "to")
+        steps.append(cut(far, "pointers"))
+        edges = _drawn(_moved(_moved(edges, steps[-1].toDF("node", "next"), "a"), steps[-1].toDF("node", "next"), "b"))
+    roots = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    for step in steps:
+        roots = _moved(roots, step.toDF("node", "next"), "root")
+    return cut(roots, "roots")
+
+
+def _drawn(edges: DataFrame) -> DataFrame:
+    return cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+
+
+def _moved(df: DataFrame, step: DataFrame, col: str) -> DataFrame:
+    """``col`` replaced by what ``step`` (node, next) points it to."""
+    step = step.toDF("_at", "_next")
+    return (df.join(step, F.col(col) == F.col("_at"), "left").withColumn(col, F.coalesce("_next", col)).drop("_at", "_next"))

@@ -233,44 +233,67 @@ class NearDuplicates:
                                     "size", "bands"), "representatives")
 
     def verified(self, pairs: DataFrame, what: str) -> DataFrame:
-        """The pairs (a, b) that are similar enough.  Sizes alone rule out some."""
-        sizes = self.reps.select("rid", "size")
-        some = (pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
-                .where(F.least("size_a", "size_b") >= self.threshold * F.greatest("size_a", "size_b") - 1e-9))
-        some = cut(some.select("a", "b"), what)
-        wanted = cut(some.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), what + "-ids")
+        """The pairs (a, b) that are similar enough."""
+        pairs = cut(pairs.select("a", "b"), what)
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), what + "-ids")
         t = cut(self.texts.select("rid", "text").join(small_side(wanted), "rid", "left_semi"), what + "-texts")
-        both = (some.join(t.toDF("a", "text_a"), "a").join(t.toDF("b", "text_b"), "b")
+        both = (pairs.join(t.toDF("a", "text_a"), "a").join(t.toDF("b", "text_b"), "b")
                 .select("a", "b", "text_a", "text_b"))
         return cut(both.mapInArrow(_compare(self.weighting, self.threshold), "a long, b long"), what + "-similar")
 
-    def links(self) -> DataFrame:
-        """Verified pairs whose components are those of all similar pairs that meet in a band."""
-        every = self.reps.select("rid", F.posexplode("bands").alias("band", "h"))
+    def fits(self, a: str, b: str):
+        """Sizes alone do not rule the pair out."""
+        return F.least(a, b) >= self.threshold * F.greatest(a, b) - 1e-9
+
+    def roots(self) -> DataFrame:
+        """(rid, root) of the representatives that some other one is similar to: the
+        components of all similar pairs that meet in a band."""
+        every = self.reps.select("rid", "size", F.posexplode("bands").alias("band", "h"))
         shared = every.groupBy("band", "h").agg(F.count("*").alias("n")).where("n > 1")
         members = cut(every.join(small_side(cut(shared, "buckets")), ["band", "h"]), "members")
         degree = members.groupBy("rid").agg(F.sum("n").alias("degree"))
         leader = (members.join(degree, "rid").groupBy("band", "h")
-                  .agg(F.max(F.struct("degree", (-F.col("rid")).alias("back"))).alias("l"))
-                  .select("band", "h", (-F.col("l.back")).alias("a")))
-        stars = members.join(leader, ["band", "h"]).where("a <> rid").select("a", F.col("rid").alias("b")).distinct()
-        similar = self.verified(stars, "stars")
-        rest = self._across(members, similar)
-        return similar if rest is None else similar.union(self.verified(rest, "rest"))
-
-    def _across(self, members: DataFrame, similar: DataFrame) -> DataFrame | None:
-        """Pairs of different components that meet in a bucket."""
-        roots = small_side(components(similar).withColumnRenamed("node", "rid"))
-        m = members.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        m = m.select("rid", "root", "band", F.xxhash64("band", "h").alias("key"))
+                  .agg(F.max(F.struct("degree", (-F.col("rid")).alias("back"), "size")).alias("l"))
+                  .select("band", "h", (-F.col("l.back")).alias("a"), F.col("l.size").alias("size_a")))
+        stars = (members.join(leader, ["band", "h"]).where((F.col("a") != F.col("rid")) & self.fits("size_a", "size"))
+                 .select("a", F.col("rid").alias("b")).distinct())
+        roots = components(self.verified(stars, "stars")).withColumnRenamed("node", "rid")
+        rest = self._across(members, roots)
+        if rest is None:
+            return roots
+        # what the remaining pairs join, between the components found so far
+        more = self.verified(rest, "rest").join(roots.toDF("a", "root_a"), "a", "left").join(
+            roots.toDF("b", "root_b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        joined = components(more)
+        both = roots.join(joined.toDF("root", "to"), "root", "left").select("rid", F.coalesce("to", "root").alias("root"))
+        new = joined.join(roots, F.col("node") == F.col("rid"), "left_anti").select(F.col("node").alias("rid"), "root")
+        return both.union(new)
+
+    def _across(self, members: DataFrame, roots: DataFrame) -> DataFrame | None:
+        """Pairs of different components that meet in a bucket; None if there is none such bucket.
+
+        A bucket is named by the first bands that its pairs agree in, so a pair is
+        emitted once: where the bands its members agree in, up to the bucket's last one, are
+        no more than the bucket's."""
+        m = members.join(small_side(roots), "rid", "left").select(
+            "rid", "size", F.coalesce("root", "rid").alias("root"), "band", F.xxhash64("band", "h").alias("key"))
         out = None
         for depth in range(1, DEPTH + 1):
-            buckets = (m.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                            F.max("rid").alias("a")).where("lo < hi").select("key", "n", "a"))
-            m = cut(m.join(small_side(cut(buckets, "mixed")), "key"), "mixed-members")
-            small = m.where(F.col("n") <= SMALL).select("key", "rid", "root")
-            pairs = small.toDF("key", "a", "root_a").join(small.toDF("key", "b", "root_b"), "key").where(
-                "a < b AND root_a <> root_b").select("a", "b")
+            buckets = cut(m.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                               F.max("rid").alias("a")).where("lo < hi").select("key", "n", "a"), "mixed")
+            if buckets.isEmpty():
+                break
+            m = m.join(small_side(buckets), "key")
+            if depth == 1:
+                m = m.join(self.reps.select("rid", "bands"), "rid")
+            m = cut(m, "mixed-members")
+            small = m.where(F.col("n") <= SMALL).select("key", "band", "rid", "root", "size", "bands")
+            agree = F.size(F.filter(F.zip_with(F.slice("bands_a", F.lit(1), F.col("band") + 1), F.slice("bands_b", F.lit(1), F.col("band") + 1),
+                                               lambda x, y: x == y), lambda same: same))
+            pairs = small.toDF("key", "band", "a", "root_a", "size_a", "bands_a").join(
+                small.drop("band").toDF("key", "b", "root_b", "size_b", "bands_b"), "key").where(
+                (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & self.fits("size_a", "size_b")
+                & (agree == depth)).select("a", "b")
             large = m.where(F.col("n") > SMALL)
             last = large.isEmpty()
             if depth == DEPTH and not last:      # 16 equal coordinates: pairs with one member of the bucket
@@ -278,14 +301,14 @@ class NearDuplicates:
             out = pairs if out is None else out.union(pairs)
             if last:
                 break
-            bands_ = self.reps.select("rid", F.posexplode("bands").alias("next", "h"))
-            m = (large.drop("n", "a").join(bands_, "rid").where("next > band")
-                 .select("rid", "root", F.col("next").alias("band"), F.xxhash64("key", "next", "h").alias("key")))
-        return cut(out.distinct(), "rest-candidates")
+            m = (large.select("rid", "size", "root", "band", "key", "bands", F.posexplode("bands").alias("next", "h"))
+                 .where("next > band").select("rid", "size", "root", F.col("next").alias("band"),
+                                              F.xxhash64("key", "next", "h").alias("key"), "bands"))
+        return None if out is None else out.distinct()
 
     def classes(self) -> DataFrame:
         """(rid, id, class_id, class_size, kept) of each row."""
-        roots = small_side(components(self.links()).withColumnRenamed("node", "rid"))
+        roots = self.roots()
         reps = cut(self.reps.select("rid", "id", "c1", "c2", "copies").join(roots, "rid", "left")
                    .withColumn("root", F.coalesce("root", "rid")), "class-members")
         heads = reps.groupBy("root").agg(F.min(F.struct("id", "rid")).alias("head"), F.sum("copies").alias("class_size"))
