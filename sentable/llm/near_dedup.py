@@ -16,10 +16,12 @@ with a probability of 3e-6.
 * In each bucket all members are paired with its leader, the member that meets most
   others over all bands.  Pairs are verified on their shingles; components of
   verified pairs are formed.
-* Buckets that still hold several components pair their members across
-  components; one of over ``SMALL`` members is first split by a second, third and
-  fourth band, in some of which a similar pair meets again.  So no bucket
-  emits all its pairs, and none is cut short.
+* Buckets of up to ``SMALL`` members that still hold several components pair their
+  members across components.
+* The members of larger ones are joined exactly, by prefixes: with elements in a
+  fixed order, rare ones first, the first element that two similar texts share comes
+  so early in both that enough of them can follow it.  What a template's texts
+  all share comes last, so texts on one template meet only if they may be similar.
 
 Words are lower-cased runs of letters and digits; a text of under five has one shingle of all.
 Texts without words are only copies of identical texts.  Null counts as empty.
@@ -43,7 +45,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 K = BANDS * ROWS
 FIRST = 2.0 ** -5        # the lowest rank region is [0, FIRST); each next one doubles the reach
-SMALL, DEPTH = 32, 4
+SMALL = 32
+RANKED = 200_000         # at most so many common elements are ordered by their counts; the others come first
+COUNTED = 2_000_000      # elements counted at once in a task
 SLICE = 500
 CACHE = 500_000
 
@@ -215,6 +219,65 @@ def _compare(weighting: str, threshold: float):
     return run
 
 
+def units(text: bytes, hashes: Words, weighting: str) -> np.ndarray:
+    """The elements of a text, one of weight n as n different ones: sets of the same similarity."""
+    e, n = weighted(shingles(text.translate(WORD_BYTES).split(), hashes), weighting)
+    n = n.astype(np.int64)
+    again = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    e = np.repeat(e, n)
+    return np.where(again == 0, e, mix(e * _U(0x9E3779B97F4A7C15) + again.astype(np.uint64)))
+
+
+def _common(weighting: str):
+    """(unit, n) of units that are met more than once in a task; the order of the others does not matter."""
+    def run(batches):
+        hashes = Words()
+        found: list = []
+        many = 0
+
+        def counted():
+            e, n = np.unique(np.concatenate(found), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(e[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["unit", "n"])
+
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                found.append(units(text, hashes, weighting))
+                many += len(found[-1])
+                if many > COUNTED:
+                    yield counted()
+                    found, many = [], 0
+        if found:
+            yield counted()
+    return run
+
+
+def _prefixes(weighting: str, threshold: float, common: np.ndarray, counts: np.ndarray):
+    """(unit, rid, root, size, left): the units of which one must be shared with any
+    similar text, and how many units, with this one, are left from there on."""
+    def run(batches):
+        hashes = Words()
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                b = whole.slice(start, SLICE)
+                first, left, size = [], [], []
+                for text in b.column("text").to_pylist():
+                    e = units(text, hashes, weighting)
+                    n = np.zeros(len(e), np.int64)
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, e), len(common) - 1)
+                        n = np.where(common[at] == e, counts[at], 0)
+                    keep = len(e) - int(np.ceil(threshold * len(e) - 1e-6)) + 1
+                    first.append(e[np.lexsort((e, n))[:keep]])
+                    left.append(len(e) - np.arange(len(first[-1])))
+                    size.append(len(e))
+                each = [len(x) for x in first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(b.column("rid").to_numpy(), each)),
+                     pa.array(np.repeat(b.column("root").to_numpy(), each)), pa.array(np.repeat(size, each).astype(np.int64)),
+                     pa.array(np.concatenate(left).astype(np.int64))], ["unit", "rid", "root", "size", "left"])
+    return run
+
+
 class NearDuplicates:
     """Classes of near duplicates of ``docs`` (id, text)."""
 
@@ -272,39 +335,58 @@ class NearDuplicates:
     def _across(self, members: DataFrame, roots: DataFrame) -> DataFrame | None:
         """Pairs of different components that meet in a bucket; None if there is none such bucket.
 
-        A bucket is named by the first bands that its pairs agree in, so a pair is
-        emitted once: where the bands its members agree in, up to the bucket's last one, are
-        no more than the bucket's."""
+        A pair is emitted by the first bucket that it meets in: that one holds two
+        components as well, so it is either small or joined by prefixes."""
         m = members.join(small_side(roots), "rid", "left").select(
             "rid", "size", F.coalesce("root", "rid").alias("root"), "band", F.xxhash64("band", "h").alias("key"))
-        out = None
-        for depth in range(1, DEPTH + 1):
-            buckets = cut(m.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                               F.max("rid").alias("a")).where("lo < hi").select("key", "n", "a"), "mixed")
-            if buckets.isEmpty():
-                break
-            m = m.join(small_side(buckets), "key")
-            if depth == 1:
-                m = m.join(self.reps.select("rid", "bands"), "rid")
-            m = cut(m, "mixed-members")
-            small = m.where(F.col("n") <= SMALL).select("key", "band", "rid", "root", "size", "bands")
-            agree = F.size(F.filter(F.zip_with(F.slice("bands_a", F.lit(1), F.col("band") + 1), F.slice("bands_b", F.lit(1), F.col("band") + 1),
-                                               lambda x, y: x == y), lambda same: same))
-            pairs = small.toDF("key", "band", "a", "root_a", "size_a", "bands_a").join(
-                small.drop("band").toDF("key", "b", "root_b", "size_b", "bands_b"), "key").where(
-                (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & self.fits("size_a", "size_b")
-                & (agree == depth)).select("a", "b")
-            large = m.where(F.col("n") > SMALL)
-            last = large.isEmpty()
-            if depth == DEPTH and not last:      # 16 equal coordinates: pairs with one member of the bucket
-                pairs, last = pairs.union(large.where("a <> rid").select("a", F.col("rid").alias("b"))), True
-            out = pairs if out is None else out.union(pairs)
-            if last:
+        buckets = cut(m.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+                      .where("lo < hi").select("key", "n"), "mixed")
+        if buckets.isEmpty():
+            return None
+        m = cut(m.join(small_side(buckets), "key"), "mixed-members")
+        small = m.where(F.col("n") <= SMALL).join(self.reps.select("rid", "bands"), "rid").select(
+            "key", "band", "rid", "root", "size", "bands")
+        agree = F.size(F.filter(F.zip_with(F.slice("bands_a", F.lit(1), F.col("band") + 1), F.slice("bands_b", F.lit(1), F.col("band") + 1),
+                                           lambda x, y: x == y), lambda same: same))
+        pairs = small.toDF("key", "band", "a", "root_a", "size_a", "bands_a").join(
+            small.drop("band").toDF("key", "b", "root_b", "size_b", "bands_b"), "key").where(
+            (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & self.fits("size_a", "size_b")
+            & (agree == 1)).select("a", "b")
+        hot = cut(m.where(F.col("n") > SMALL).select("rid", "root").distinct(), "hot")
+        return pairs.distinct() if hot.isEmpty() else pairs.union(self._by_prefix(hot)).distinct()
+
+    def _by_prefix(self, hot: DataFrame) -> DataFrame:
+        """Pairs of different components of ``hot`` (rid, root), with all similar ones among them.
+
+        Components are met before their members are, so a large one is not compared with itself."""
+        texts = cut(self.texts.select("rid", "text").join(small_side(hot), "rid"), "hot-texts")
+        counts = cut(texts.select("text").mapInArrow(_common(self.weighting), "unit long, n long")
+                     .groupBy("unit").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n"))), "unit-counts")
+        least, many = 64, 0
+        for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+            many += r["count"]
+            if many > RANKED:
                 break
-            m = (large.select("rid", "size", "root", "band", "key", "bands", F.posexplode("bands").alias("next", "h"))
-                 .where("next > band").select("rid", "size", "root", F.col("next").alias("band"),
-                                              F.xxhash64("key", "next", "h").alias("key"), "bands"))
-        return None if out is None else out.distinct()
+            least = r.level
+        ranked = counts.where(F.col("level") >= least).select("unit", "n").toArrow()
+        unit, n = ranked["unit"].to_numpy().view(np.uint64), ranked["n"].to_numpy()
+        order = np.argsort(unit)
+        p = cut(texts.mapInArrow(_prefixes(self.weighting, self.threshold, unit[order], n[order]),
+                                 "unit long, rid long, root long, size long, left long"), "prefixes")
+        share = self.threshold / (1 + self.threshold)      # of both sizes, that similar texts have in common
+        first = F.col("left") >= 2 * share * F.col("size") - 1e-6      # may be shared with a text that is not smaller
+        shared = p.groupBy("unit").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(first).alias("any")).where("lo < hi AND any")
+        p = cut(p.join(small_side(cut(shared.select("unit"), "shared-units")), "unit"), "shared-prefixes")
+        enough = F.least("left_a", "left_b") >= share * (F.col("size_a") + F.col("size_b")) - 1e-6
+        group = lambda x: x.groupBy("unit", "root").agg(F.min("size").alias("size"), F.max("left").alias("left"))
+        met = cut(group(p.where(first)).toDF("unit", "root_a", "size_a", "left_a").join(
+            group(p).toDF("unit", "root_b", "size_b", "left_b"), "unit").where((F.col("root_a") != F.col("root_b")) & enough)
+            .select("unit", "root_a", "root_b"), "met")
+        p = p.select("unit", "root", "rid", "size", "left")
+        return (met.join(p.where(first).toDF("unit", "root_a", "a", "size_a", "left_a"), ["unit", "root_a"])
+                .join(p.toDF("unit", "root_b", "b", "size_b", "left_b"), ["unit", "root_b"])
+                .where((F.col("size_a") <= F.col("size_b")) & enough)
+                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     def classes(self) -> DataFrame:
         """(rid, id, class_id, class_size, kept) of each row."""

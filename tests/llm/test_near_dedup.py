@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sentable.llm import near_dedup as N
@@ -98,6 +99,32 @@ def test_a_large_group_of_near_copies_is_one_class(spark, tmp_path):
     assert [r.id for r in out if r.kept] == [0]
 
 
+def on_one_template(n):
+    """Texts of one template, unlike each other, and near copies of each fourth one."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(n):
+        t = [f"t{k}" for k in range(110)] + [f"o{i}x{k}" for k in range(15 + i % 3)]
+        rows.append((10 * i, " ".join(t)))
+        if i % 4 == 0:
+            for k in rng.sample(range(110, len(t) - 4), 2):
+                t[k] = f"c{i}y{k}"
+            rows.append((10 * i + 1, " ".join(t)))
+    g = {i: grams(t) for i, t in rows}
+    similar = lambda a, b: len(g[a] & g[b]) / len(g[a] | g[b])
+    assert all(0.8 <= similar(i, i - 1) < 0.95 for i in g if i % 10) and 0.7 < similar(0, 50) < 0.8
+    return rows
+
+
+@pytest.mark.parametrize("n, weighting", [(1200, "set"), (200, "count")])
+def test_near_copies_among_many_texts_of_one_template(spark, tmp_path, n, weighting):
+    rows = on_one_template(n)
+    got = defaultdict(list)
+    for r in N.NearDuplicates(stored(spark, tmp_path, rows), weighting=weighting).classes().collect():
+        got[r.class_id].append(r.id)
+    assert sorted((sorted(x, key=str) for x in got.values()), key=str) == brute(rows)
+
+
 def test_components_of_chains(spark):
     n = 200
     edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
