@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sentable.llm import decontam, exact_dedup, language_model, licenses, line_dedup, near_dedup, pieces, secrets, toxicity, warc
+from sentable.llm import bpe, decontam, exact_dedup, language_model, licenses, line_dedup, near_dedup, pieces, secrets, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_warc": warc.query,
     "op10_sentencepiece": pieces.query,
+    "op13_bpe": bpe.query,
 }
 SQL = {
     "op1_license_scan": licenses.SQL,
