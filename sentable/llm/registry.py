@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sentable.llm import bpe, decontam, exact_dedup, language_model, licenses, line_dedup, near_dedup, pieces, secrets, toxicity, warc
+from sentable.llm import (bpe, decontam, exact_dedup, language_model, licenses, line_dedup, near_dedup, pieces, pq_codes,
+                          secrets, spelling, toxicity, warc)
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -15,6 +16,8 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_warc": warc.query,
     "op10_sentencepiece": pieces.query,
+    "op11_vector_codes": pq_codes.query,
+    "op12_spelling_variants": spelling.query,
     "op13_bpe": bpe.query,
 }
 SQL = {
@@ -22,4 +25,5 @@ SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op4_secret_scan": secrets.SQL,
     "op9_warc": warc.SQL,
+    "op11_vector_codes": pq_codes.SQL,
 }
