@@ -15,10 +15,12 @@ agreement is exact: a sequence of tokens is a unit's encoding if and only if eac
 neighbours are the encoding of their bytes, and each pair of neighbours then stands in
 the left part's encoding, in the window's or in the right part's.
 
-The vocabulary is a file of the tokenizers library (``DEFAULT_TOKENIZER``, a parameter), read by the driver;
-that library encodes pieces and windows, as ``encode(text, add_special_tokens=False)`` does
+The vocabulary is a file of the tokenizers library (``DEFAULT_TOKENIZER``, a parameter), read by the driver.
+Tokens are those of that library's ``encode(text, add_special_tokens=False)``
 without truncation and padding: a special token's string in a text becomes that token.
-Decoding concatenates the tokens' bytes.
+Pieces and windows are encoded by tiktoken's faster merge loop if the vocabulary numbers its tokens in
+order of their merges, as that loop takes them, and else by the tokenizers library.  Decoding concatenates the
+tokens' bytes.
 
 Null counts as the empty text, which has no tokens.  Very long texts are spread over tasks and
 need no more memory than their own tokens.  Repeated rows and ids give a row each; an
@@ -27,6 +29,7 @@ empty table gives an empty result; columns named like the new ones are replaced.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 
@@ -43,7 +46,8 @@ PIECE = 32_768            # characters encoded as one
 BATCH_CHARS = 1 << 18     # characters handed to the library together
 MARGIN = 24               # bytes of the smallest window on either side of a cut
 REACH = 16                # bytes around a place that decide whether a window may end there
-# The code points that the splitting pattern's \s matches.
+# The splitting pattern of byte-level vocabularies, and the code points its \s matches.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACES = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 
 
@@ -80,11 +84,46 @@ class Codec:
         size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.tokens = [self.special[i] if i in self.special else
                        bytes(table_[c] for c in self.tokenizer.id_to_token(i) or "") for i in range(size)]
+        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.size = np.array([len(t) for t in self.tokens])
+        self.start = np.cumsum(self.size) - self.size
+        self.fast = self._merge_loop(json.loads(vocabulary))
+
+    def _merge_loop(self, file: dict):
+        """tiktoken's encoder of the same vocabulary, where it gives the same tokens; else None."""
+        model, split = file["model"], file["pre_tokenizer"] or {}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+        made = [model["vocab"].get("".join(m), -1) for m in merges]
+        ordered = (model["type"] == "BPE" and made == list(range(256, 256 + len(made))) and not model.get("dropout")
+                   and not model.get("ignore_merges") and split.get("type") == "ByteLevel"
+                   and not split.get("add_prefix_space") and split.get("use_regex") and not file["normalizer"])
+        plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in file["added_tokens"])
+        if not (ordered and plain):
+            return None
+        import tiktoken
+        ranks = {t: i for i, t in enumerate(self.tokens) if t and i not in self.special}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks,
+                                 special_tokens={t.decode(): i for i, t in self.special.items()})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.fast is None:
+            return self._library(texts)
+        return [self.fast.encode_to_numpy(t, allowed_special="all") for t in texts]
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.uint32) for x in found]
 
+    def decode_all(self, parts: list[np.ndarray]) -> pa.Array:
+        """The bytes of each of ``parts``, as binary values."""
+        ids = np.concatenate([np.zeros(0, np.uint32), *parts])
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        text = self.flat[np.repeat(self.start[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.cumsum([0] + [len(p) for p in parts])
+        offsets = np.append(0, ends)[last].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+
     def decode(self, ids) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids])
@@ -188,6 +227,41 @@ def _encoded(vocabulary, text: str, ids: str):
     return run
 
 
+def _finished(codec: Codec, b: pa.RecordBatch, names: list[str], parts: list[np.ndarray], packed: bool) -> pa.RecordBatch:
+    """Columns ``names`` of a batch with the tokens and the text decoded from them."""
+    if packed:
+        ids = pa.array([x.tobytes() for x in parts], pa.binary())
+    else:
+        offsets = np.cumsum([0] + [len(x) for x in parts]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.uint32), *parts]).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([*[b.column(c) for c in names], ids, codec.decode_all(parts)],
+                                      [*names, "token_ids", "decoded"])
+
+
+def _whole(vocabulary, text: str, names: list[str], packed: bool):
+    """Texts that are encoded as they are."""
+    def run(batches):
+        codec = None
+        for whole in batches:
+            codec = codec or Codec(vocabulary.value)
+            texts = whole.column(text).to_pylist()
+            for first, end in _batches(texts):
+                yield _finished(codec, whole.slice(first, end - first), names, codec.encode(texts[first:end]), packed)
+    return run
+
+
+def _outputs(vocabulary, ids: str, names: list[str], packed: bool):
+    """Texts whose pieces have been joined."""
+    def run(batches):
+        codec = None
+        for whole in batches:
+            codec = codec or Codec(vocabulary.value)
+            for k in range(whole.num_rows):
+                b = whole.slice(k, 1)
+                yield _finished(codec, b, names, [np.frombuffer(b.column(ids)[0].as_py(), np.uint32)], packed)
+    return run
+
+
 def _cut_up(piece: int, names: list[str], text: str):
     """A row for each piece; the first one carries the row's other columns."""
     def run(batches):
@@ -229,22 +303,6 @@ def _with(row: pa.RecordBatch, values: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=row.schema)
 
 
-def _outputs(vocabulary, ids: str, names: list[str], packed: bool):
-    def run(batches):
-        codec = None
-        for b in batches:
-            codec = codec or Codec(vocabulary.value)
-            blobs = b.column(ids)
-            arrays = [np.frombuffer(x, np.uint32) for x in blobs.to_pylist()]
-            text = pa.array([codec.decode(x.tolist()) for x in arrays], pa.binary())
-            if not packed:
-                offsets = np.cumsum([0] + [len(x) for x in arrays]).astype(np.int32)
-                flat = np.concatenate(arrays).astype(np.int32) if arrays else np.zeros(0, np.int32)
-                blobs = pa.ListArray.from_arrays(offsets, pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], blobs, text], [*names, "token_ids", "decoded"])
-    return run
-
-
 def encode(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, text_col: str = "text", piece: int = PIECE,
            packed: bool = False) -> DataFrame:
     """``docs`` with token_ids array<int> (``packed``: their little-endian 32-bit integers as one binary) and
@@ -260,7 +318,8 @@ def encode(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, text_col: str =
     own = docs.schema.fields
     numbers = [StructField(rid, LongType()), StructField(seq, IntegerType())]
     coded = StructField(ids, BinaryType())
-    short = text.where(F.length(ids) <= piece).mapInArrow(_encoded(vocabulary, ids, ids), StructType([*own, coded]))
+    schema = extended(docs, token_ids=BinaryType() if packed else ArrayType(IntegerType()), decoded=BinaryType())
+    short = text.where(F.length(ids) <= piece).mapInArrow(_whole(vocabulary, ids, names, packed), schema)
     # one job from the scan to the written pieces: the row numbers that group them are of that job
     long = (text.where(F.length(ids) > piece).withColumn(rid, F.monotonically_increasing_id())
             .mapInArrow(_renamed(_cut_up(piece, [rid, *names], ids), [rid, seq, ids, *names]),
@@ -274,10 +333,8 @@ def encode(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, text_col: str =
         pairs = (long.repartition(F.col(f"`{rid}`"), half).sortWithinPartitions(rid, seq))
         long = cut(pairs.mapInArrow(_joined(vocabulary, rid, seq, ids), long.schema), "bpe-joined")
         most //= 2
-    every = short.unionByName(long.select(*[F.col(f"`{c}`") for c in [*names, ids]]))
-    schema = extended(docs, token_ids=BinaryType() if packed else ArrayType(IntegerType()), decoded=BinaryType())
-    return (every.mapInArrow(_outputs(vocabulary, ids, names, packed), schema)
-            .withColumn("decoded", F.col("decoded").cast("string")))
+    return short.union(long.mapInArrow(_outputs(vocabulary, ids, names, packed), schema)).withColumn(
+        "decoded", F.col("decoded").cast("string"))
 
 
 def _renamed(run, names: list[str]):

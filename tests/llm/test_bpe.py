@@ -45,6 +45,28 @@ def test_parts_join_to_the_whole_encoding_wherever_cuts_fall(codec):
         assert codec.decode(got).decode() == text
 
 
+def test_both_encoders_split_every_character_alike(codec):
+    assert codec.fast is not None
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x3400 or c % 16 == 7 or 0xA000 < c < 0x20000)]
+    for k in range(0, len(points), 512):
+        text = "".join(f"a{chr(c)}1{chr(c)}.{chr(c)} {chr(c)}b" for c in points[k:k + 512])
+        assert codec.encode([text])[0].tolist() == codec.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_left_to_the_library(codec):
+    import json
+    with open(bpe.DEFAULT_TOKENIZER, encoding="utf-8") as f:
+        file = json.load(f)
+    file["model"]["vocab"]["zq"] = 50257          # a token that no merge makes in its place
+    file["model"]["merges"].append(["z", "q"])
+    file["model"]["merges"][0], file["model"]["merges"][1] = file["model"]["merges"][1], file["model"]["merges"][0]
+    other = bpe.Codec(json.dumps(file))
+    assert other.fast is None
+    text = "the zq zqq quick"
+    assert other.encode([text])[0].tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
+    assert other.decode_all(other.encode([text, ""])).to_pylist() == [text.encode(), b""]
+
+
 def test_window_grows_in_a_unit_without_agreement(codec):
     """Runs whose tokens on either side of a cut shift all along."""
     t = library()
