@@ -12,9 +12,11 @@ MAX_BYTES = 64 << 20
 
 
 def row_bytes(df: DataFrame) -> Column:
-    """About the size of a row: the bytes of its texts and 16 a column."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    return sum((F.coalesce(F.octet_length(F.col(quoted(c))), F.lit(0)) for c in texts), F.lit(16 * len(df.columns)))
+    """About the size of a row: the bytes of its texts, of nested values as JSON, and 16 a column."""
+    texts = [F.col(quoted(f.name)) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    nested = [F.to_json(F.struct(quoted(f.name))) for f in df.schema.fields
+              if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in [*texts, *nested]), F.lit(16 * len(df.columns)))
 
 
 def small_side(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> DataFrame:
