@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from sentable.operators import joins
 from sentable.sources.io import materialize
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -23,9 +27,10 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
                    for c in range(256))
 
-# A side is broadcast only when an exact count finds at most this many rows
-# of the fixed-width columns it is cut down to (16 to 64 bytes a row).
-BROADCAST_ROWS = 500_000
+# A side is broadcast only when a count finds at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+
+ROW_BITS = 36          # rows of one file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,14 +78,44 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def numbered(df: DataFrame, *cols: str) -> DataFrame:
-    """``cols`` and ``rid``, the row's place in the scan.
+def scanned(df: DataFrame) -> DataFrame:
+    """``df`` if its rows have a place in a Parquet file, else a written copy of it.  An operator that
+    numbers the rows of one input more than once calls this first."""
+    try:
+        _place(df)
+        return df
+    except AnalysisException:
+        return cut(df, "scanned")
+
+
+def _place(df: DataFrame) -> tuple[Column, Column]:
+    """(file, row): where a row stands."""
+    there = df.metadataColumn("_metadata")
+    file, row = there.getField("file_path"), there.getField("row_index")
+    df.select(file, row)                 # raises an AnalysisException if there is no such place
+    return file, row
+
 
-    The place is the same in each scan of the same files with the same session
-    settings, so it names a row even if ids are null or repeated.  An input
-    that is not a plain scan must be materialised first."""
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of each row: its file's place among all files in order of
+    their paths, and its place in that file.  So it does not depend on how a scan is cut into
+    tasks, and names the same row in every scan, whatever executors come and go between them.
+
+    Files are numbered by a table of their paths, which is broadcast after a check of its size."""
     ship(df.sparkSession)
-    return df.select(F.monotonically_increasing_id().alias("rid"), *[F.col(f"`{c}`") for c in cols])
+    df = scanned(df)
+    file, row = _place(df)
+    path, at, number = (fresh(df, x) for x in ("_path", "_at", "_file"))
+    paths = df.select(file.alias(path)).distinct()
+    files = cut(paths.select(path, F.row_number().over(Window.orderBy(path)).cast("long").alias(number)), "files")
+    rows = df.select("*", file.alias(path), row.alias(at)).join(small_side(files), path)
+    return rows.withColumn(name, F.shiftleft(number, ROW_BITS) + F.col(at)).drop(path, at, number)
+
+
+def numbered(df: DataFrame, *cols: str) -> DataFrame:
+    """``rid``, the number of the row (see ``with_row_id``), and ``cols``."""
+    rid = fresh(df, "rid")
+    return with_row_id(df, rid).select(F.col(rid).alias("rid"), *[F.col(f"`{c}`") for c in cols])
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -102,16 +137,30 @@ def replacing(df: DataFrame, *names: str) -> DataFrame:
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose places in the scan are in ``gone`` (rid)."""
+    """``docs`` but for the rows whose numbers are in ``gone`` (rid)."""
     rid = fresh(docs, "rid")
-    return (docs.withColumn(rid, F.monotonically_increasing_id())
-            .join(small_side(gone).toDF(rid), rid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return (with_row_id(docs, rid).join(small_side(gone).toDF(rid), rid, "left_anti")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, a materialised table of fixed-width columns, marked for
-    broadcast if it has at most ``rows`` rows; else joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """``df``, a materialised table, marked for broadcast if it has at most ``rows`` rows
+    and ``BROADCAST_BYTES`` bytes; else joined by a shuffle."""
+    return joins.small_side(df, rows, BROADCAST_BYTES)
+
+
+def tidy(run):
+    """``run`` for ``mapInArrow``; what the task remembered goes back to the system when it ends."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):        # not this C library
+                pass
+    return tidied
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentable.functions.rows import barrier, keep_if
-from sentable.llm.common import cut, numbered, small_side, table, without_rows
+from sentable.llm.common import cut, numbered, scanned, small_side, table, without_rows
 from sentable.llm.licenses import words_of
 
 MASKS = ["1101010011", "1110010101", "1100110011"]      # all start with 11
@@ -67,7 +67,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
                  item_text: str = "text") -> DataFrame:
     """(rid, doc_id, item_id, first_word, n_words, n_equal): for each contaminated document and item
     the best alignment's stretch of matching windows, in words of the document, and its equal words."""
-    masks = masks or MASKS
+    docs, masks = scanned(docs), masks or MASKS
     longest = max(map(len, masks))
     items, known = benchmark_seeds(benchmark, masks, item_col, item_text)
     numbered_docs = numbered(docs, id_col, text_col)
@@ -117,5 +117,6 @@ def query(spark, sf_dir):
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go."""
+    docs = scanned(docs)
     bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select("rid").distinct()
     return without_rows(docs, cut(bad, "contaminated"))

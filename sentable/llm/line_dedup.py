@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from sentable.llm.common import BROADCAST_ROWS, LOWER_BYTES, cut, extended, fresh, numbered, replacing, small_side, table, text_or_empty
+from sentable.llm.common import (LOWER_BYTES, cut, extended, fresh, numbered, replacing, scanned, small_side, table, text_or_empty,
+                                 tidy, with_row_id)
 
 MIN_WORDS = 8
 SLICE = 1_000
@@ -136,7 +137,7 @@ def _verify(batches):
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of distinct lines that an earlier line is within one edit of."""
-    lines = distinct.withColumn("lid", F.monotonically_increasing_id())       # a written table: the same in each scan
+    lines = with_row_id(distinct, "lid")
     keyed = lines.where("k0 IS NOT NULL").select("lid", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
     shared = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     some = keyed.join(small_side(cut(shared, "line-halves")), "k", "left_semi").select("lid").distinct()
@@ -144,7 +145,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     some = cut(some.orderBy("place").select(F.monotonically_increasing_id().alias("sid"), "h1", "h2",
                                             F.col("place.rid").alias("rid"), F.col("place.line").alias("line")), "line-survivors")
     wanted = some.groupBy("rid").agg(F.collect_list("line").alias("wanted"))
-    wanted = F.broadcast(wanted) if some.count() <= BROADCAST_ROWS else wanted
+    wanted = small_side(wanted)
     texts = numbered_text(docs).join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(
         _lines_of, "rid long, line int, words binary")
     texts = cut(texts.join(small_side(some), ["rid", "line"]).select("sid", "h1", "h2", "words"), "line-texts")
@@ -173,7 +174,7 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     """(rid, kept): the numbers of the lines with words that stay; no row where none does."""
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    rows = numbered_text(source).mapInArrow(_line_rows(min_words), f"rid long, id {kind}, line int, h1 long, h2 long, "
+    rows = numbered_text(source).mapInArrow(tidy(_line_rows(min_words)), f"rid long, id {kind}, line int, h1 long, h2 long, "
                                             "k0 long, k1 long, k2 long, k3 long")
     distinct = cut(rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "rid", "line")).alias("place"),
                                                 *[F.max(k).alias(k) for k in ("k0", "k1", "k2", "k3")]), "lines")
@@ -185,12 +186,12 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that stay as its text, and ``n_lines`` and ``n_kept``, its lines with
     words before and after (columns of these names are replaced)."""
-    docs = replacing(docs, "n_lines", "n_kept")
+    docs = replacing(scanned(docs), "n_lines", "n_kept")
     names = docs.columns
     at = names.index(text_col)
     rid, kept_col = fresh(docs, "rid"), fresh(docs, "kept")
     kept = kept_lines(docs, min_words, id_col, text_col).toDF(rid, kept_col)
-    rows = docs.withColumn(rid, F.monotonically_increasing_id()).join(kept, rid, "left").select(
+    rows = with_row_id(docs, rid).join(kept, rid, "left").select(
         *[F.col(f"`{c}`") for c in [*names, kept_col]])
 
     def rebuild(batches):
@@ -208,7 +209,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([*cols, pa.array(before, pa.int64()), pa.array(after, pa.int64())],
                                              [*names, "n_lines", "n_kept"])
 
-    return rows.mapInArrow(rebuild, extended(docs, n_lines=LongType(), n_kept=LongType()))
+    return rows.mapInArrow(tidy(rebuild), extended(docs, n_lines=LongType(), n_kept=LongType()))
 
 
 def query(spark, sf_dir):

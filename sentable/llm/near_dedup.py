@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentable.llm.common import WORD_BYTES, cut, numbered, small_side, table, text_or_empty, without_rows
+from sentable.llm.common import WORD_BYTES, cut, numbered, scanned, small_side, table, text_or_empty, tidy, without_rows
 from sentable.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -49,7 +49,7 @@ SMALL = 32
 RANKED = 200_000         # at most so many common elements are ordered by their counts; the others come first
 COUNTED = 2_000_000      # elements counted at once in a task
 SLICE = 500
-CACHE = 500_000
+CACHE = 100_000
 
 _U = np.uint64
 
@@ -284,11 +284,12 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "set",
                  id_col: str = "doc_id", text_col: str = "text"):
         self.threshold, self.weighting, self.id_col = threshold, weighting, id_col
+        docs = scanned(docs)
         self.texts = numbered(docs, id_col, text_col).select(
             "rid", F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
         kind = docs.schema[id_col].dataType.simpleString()
         self.rows = cut(self.texts.mapInArrow(
-            _sketch(weighting), f"rid long, id {kind}, c1 long, c2 long, size double, bands array<long>"), "sketches")
+            tidy(_sketch(weighting)), f"rid long, id {kind}, c1 long, c2 long, size double, bands array<long>"), "sketches")
         reps = (self.rows.groupBy("c1", "c2").agg(
             F.min(F.struct("id", "rid")).alias("r"), F.count("*").alias("copies"),
             F.first("size").alias("size"), F.first("bands").alias("bands")))
@@ -302,7 +303,7 @@ class NearDuplicates:
         t = cut(self.texts.select("rid", "text").join(small_side(wanted), "rid", "left_semi"), what + "-texts")
         both = (pairs.join(t.toDF("a", "text_a"), "a").join(t.toDF("b", "text_b"), "b")
                 .select("a", "b", "text_a", "text_b"))
-        return cut(both.mapInArrow(_compare(self.weighting, self.threshold), "a long, b long"), what + "-similar")
+        return cut(both.mapInArrow(tidy(_compare(self.weighting, self.threshold)), "a long, b long"), what + "-similar")
 
     def fits(self, a: str, b: str):
         """Sizes alone do not rule the pair out."""
@@ -360,7 +361,7 @@ class NearDuplicates:
 
         Components are met before their members are, so a large one is not compared with itself."""
         texts = cut(self.texts.select("rid", "text").join(small_side(hot), "rid"), "hot-texts")
-        counts = cut(texts.select("text").mapInArrow(_common(self.weighting), "unit long, n long")
+        counts = cut(texts.select("text").mapInArrow(tidy(_common(self.weighting)), "unit long, n long")
                      .groupBy("unit").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n"))), "unit-counts")
         least, many = 64, 0
         for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
@@ -371,7 +372,7 @@ class NearDuplicates:
         ranked = counts.where(F.col("level") >= least).select("unit", "n").toArrow()
         unit, n = ranked["unit"].to_numpy().view(np.uint64), ranked["n"].to_numpy()
         order = np.argsort(unit)
-        p = cut(texts.mapInArrow(_prefixes(self.weighting, self.threshold, unit[order], n[order]),
+        p = cut(texts.mapInArrow(tidy(_prefixes(self.weighting, self.threshold, unit[order], n[order])),
                                  "unit long, rid long, root long, size long, left long"), "prefixes")
         share = self.threshold / (1 + self.threshold)      # of both sizes, that similar texts have in common
         first = F.col("left") >= 2 * share * F.col("size") - 1e-6      # may be shared with a text that is not smaller
@@ -407,5 +408,6 @@ def query(spark, sf_dir):
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the row with the smallest doc_id stays."""
+    docs = scanned(docs)
     gone = NearDuplicates(docs).classes().where("NOT kept").select("rid")
     return without_rows(docs, cut(gone, "near-duplicates"))

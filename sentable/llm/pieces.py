@@ -29,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
 
-from sentable.llm.common import extended, fresh, replacing, ship, table, text_or_empty
+from sentable.llm.common import extended, fresh, replacing, ship, table, text_or_empty, tidy
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = b"\xff"                       # stands for the space mark; not a byte of any UTF-8 text
 UNITS = re.compile(rb"\xff+[^\xff\n]*|[^\xff\n]+|\n")
 UNKNOWN = 10.0
-CACHE = 400_000                      # units remembered by a worker
-SLICE = 1_000                        # documents encoded together
+CACHE, LONGEST = 100_000, 64         # units remembered by a task, and the bytes of the longest one
+SLICE = 250                          # documents encoded together
+
+NEW = ["piece_ids", "n_byte_pieces", "decoded"]
 
 Vocab = namedtuple("Vocab", "pieces scores byte_ids base check value unknown")
 _loaded: dict[str, Vocab] = {}
@@ -191,7 +193,7 @@ def _better(best, came, last, start, end, cols, score, piece) -> None:
     best[end, cols], came[end, cols], last[end, cols] = score[wins], start, piece[wins]
 
 
-def segment_all(units: list[bytes], v: Vocab, cells: int = 4_000_000) -> dict[bytes, list[int]]:
+def segment_all(units: list[bytes], v: Vocab, cells: int = 500_000) -> dict[bytes, list[int]]:
     """Units of like length together, so that no batch has over ``cells`` positions (but one unit's)."""
     units = sorted(units, key=len)
     out, i = {}, 0
@@ -205,6 +207,8 @@ def segment_all(units: list[bytes], v: Vocab, cells: int = 4_000_000) -> dict[by
 
 
 class Encoder:
+    """Piece ids of texts; units that were met before are remembered as 32-bit integers in a row."""
+
     def __init__(self, v: Vocab):
         self.v, self.known, self.older = v, {}, {}
 
@@ -212,12 +216,14 @@ class Encoder:
         split = [UNITS.findall((b" " + t).replace(b" ", MARK)) if t else [] for t in texts]
         if len(self.known) > CACHE // 2:          # units not met since the last time are forgotten
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
+        known, older, here = self.known, self.older, {}
         new = set().union(*split).difference(known)
         known.update((u, older[u]) for u in new if u in older)
-        if new := [u for u in new if u not in older]:
-            known.update(segment_all(new, self.v))
-        return [np.array([i for u in units for i in known[u]], np.int32) for units in split]
+        for u, ids in segment_all([u for u in new if u not in older], self.v).items():
+            (known if len(u) <= LONGEST else here)[u] = np.array(ids, np.int32).tobytes()
+        if here:
+            known = known | here
+        return [np.frombuffer(b"".join([known[u] for u in units]), np.int32) for units in split]
 
 
 def decode(ids, v: Vocab) -> bytes:
@@ -229,7 +235,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text")
     """``docs`` with piece_ids array<int>, n_byte_pieces and decoded, the text made from the ids
     again (columns of these names are replaced)."""
     ship(docs.sparkSession)
-    docs = replacing(docs, "piece_ids", "n_byte_pieces", "decoded")
+    docs = replacing(docs, *NEW)
     v = docs.sparkSession.sparkContext.broadcast(load(model))
     names = docs.columns
 
@@ -247,11 +253,11 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text")
                 n_bytes = pa.array([int(is_byte[x].sum()) for x in ids], pa.int64())
                 text = pa.array([decode(x.tolist(), encoder.v) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], lists, n_bytes, text],
-                                                 [*names, "piece_ids", "n_byte_pieces", "decoded"])
+                                                 [*names, *NEW])
 
     schema = extended(docs, piece_ids=ArrayType(IntegerType()), n_byte_pieces=LongType(), decoded=BinaryType())
     return (docs.withColumn(fresh(docs, "bytes"), text_or_empty(text_col).cast("binary"))
-            .mapInArrow(run, schema).withColumn("decoded", F.col("decoded").cast("string")))
+            .mapInArrow(tidy(run), schema).withColumn("decoded", F.col("decoded").cast("string")))
 
 
 def query(spark, sf_dir):
@@ -263,5 +269,9 @@ def query(spark, sf_dir):
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with their piece ids; the text is what these decode to."""
-    return encode(docs).withColumn("text", F.when(F.col("text").isNotNull(), F.col("decoded"))).drop("decoded")
+    """Pipeline stage: documents with their piece ids; the text is what these decode to.  The stage's
+    columns get underscores where a column of the documents has their name."""
+    own = {c: fresh(docs, c + "_in") for c in docs.columns if c.lower() in NEW}      # not to be replaced
+    out = encode(docs.withColumnsRenamed(own)).withColumn("text", F.when(F.col("text").isNotNull(), F.col("decoded")))
+    out = out.drop("decoded").withColumnsRenamed({c: fresh(docs, c) for c in NEW if c != "decoded"})
+    return out.withColumnsRenamed({v: k for k, v in own.items()})

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from sentable.llm.common import WORD_BYTES, cut, extended, fold, numbered, replacing, ship, table, without_rows
+from sentable.llm.common import WORD_BYTES, cut, extended, fold, numbered, replacing, scanned, ship, table, tidy, without_rows
 
 SAMPLE = 40_000        # labelled rows to learn from, at most (a uniform sample by a hash of the id)
 FEATURES = 2_000      # features the model keeps
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: in
     spark = docs.sparkSession
     ship(spark)
     rows = cut(training_rows(docs, labels, sample, id_col, text_col).mapInArrow(
-        _extract, "toxic int, features array<string>, swapped array<array<string>>"), "toxicity-rows")
+        tidy(_extract), "toxic int, features array<string>, swapped array<array<string>>"), "toxicity-rows")
     names = choose(rows, n_features, min_docs)
     number = {f: i for i, f in enumerate(names)}
     known = spark.sparkContext.broadcast(number)
@@ -205,7 +205,7 @@ def score(docs: DataFrame, weights: dict[str, float], text_col: str = "text", cu
                 scores.append(1 / (1 + np.exp(-min(max(logit, -700.0), 700.0))))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(run, extended(docs, score=DoubleType())).withColumn(
+    return docs.mapInArrow(tidy(run), extended(docs, score=DoubleType())).withColumn(
         "predicted", (F.col("score") >= cut_at).cast("int"))
 
 
@@ -219,6 +219,7 @@ def query(spark, sf_dir):
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go; all others stay as they are."""
     weights = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = scanned(docs)
     scored = score(numbered(docs, "text"), weights)
     gone = cut(scored.where("predicted = 1").select("rid"), "toxic")
     return without_rows(docs, gone)

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sentable.llm.common import cut, numbered, small_side, table, text_or_empty
+from sentable.llm.common import cut, numbered, scanned, small_side, table, text_or_empty
 from sentable.sources.io import scratch_path
 
 CRLF = "\r\n"
@@ -50,6 +50,7 @@ def base32_sha1(c: Column) -> Column:
 
 def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, record): the text of each page's record, but for its last CRLF."""
+    pages = scanned(pages)
     base = (numbered(pages, "page_id", "url", "html")
             .select("rid", "page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\x00-\\x20]", "%20").alias("url"),
                     text_or_empty("html").alias("html"))
@@ -86,16 +87,17 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES,
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.option("lineSep", CRLF + CRLF).text(path)
             .select(F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_path").alias("file"),
-                    F.col("_metadata.file_block_start").alias("block"), "value"))
+                    F.col("_metadata.file_block_start").alias("block"),
+                    (F.octet_length("value") + 4).cast("long").alias("size"),
+                    base32_sha1(F.col("value").cast("binary")).alias("digest"), "value"))
 
 
 def chunk_index(spark: SparkSession, path: str) -> DataFrame:
     head = F.col("value").startswith(MAGIC) | F.col("value").startswith(CRLF + MAGIC) | F.col("value").startswith("HTTP/")
     c = _chunks(spark, path).select(
-        "id", "file", "block", (F.octet_length("value") + 4).cast("long").alias("size"),
-        base32_sha1(F.col("value").cast("binary")).alias("digest"), F.when(head, F.col("value")).alias("head"))
+        "id", "file", "block", "size", "digest", F.when(head, F.col("value")).alias("head"))
     before = Window.partitionBy("file").orderBy("block", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return c.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long"))).drop("block")
+    return c.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long"))).drop("block", "id")
 
 
 def field(head: str, name: str) -> Column:
@@ -168,14 +170,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def _assembled(spark: SparkSession, path: str, index: DataFrame, rest: DataFrame) -> DataFrame:
     """Digests of payloads that hold CRLF CRLF or end with CRLF: their chunks, joined again."""
     # each chunk belongs to the last record whose payload starts at or before it
-    marks = rest.select("file", F.col("from").alias("at"), F.lit(-1).cast("long").alias("id"), "start", "bytes")
-    rows = marks.unionByName(index.select("file", "at", "id", F.lit(None).cast("long").alias("start"),
-                                          F.lit(None).cast("long").alias("bytes")))
-    w = Window.partitionBy("file").orderBy("at", "id")
+    marks = rest.select("file", F.col("from").alias("at"), F.lit(0).alias("chunk"), "start", "bytes")
+    rows = marks.unionByName(index.select("file", "at", F.lit(1).alias("chunk"), "size", "digest"), allowMissingColumns=True)
+    w = Window.partitionBy("file").orderBy("at", "chunk")
     own = F.last(F.when(F.col("start").isNotNull(), F.struct("start", "at", "bytes")), ignorenulls=True).over(w)
-    parts = (rows.withColumn("own", own).where("id >= 0 AND at < own.at + own.bytes")
-             .select("id", "file", "at", F.col("own.start").alias("start"), F.col("own.bytes").alias("bytes")))
-    text = _chunks(spark, path).select("id", "value").join(small_side(cut(parts, "warc-parts")), "id")
+    parts = cut(rows.withColumn("own", own).where("chunk = 1 AND at < own.at + own.bytes").select(
+        "file", "at", "size", "digest", F.col("own.start").alias("start"), F.col("own.bytes").alias("bytes")), "warc-parts")
+    # chunks are named by what they hold, not by their place in a scan, which may be cut otherwise this time
+    wanted = small_side(cut(parts.select("size", "digest").distinct(), "warc-chunks"))
+    values = (_chunks(spark, path).join(wanted, ["size", "digest"], "left_semi")
+              .groupBy("size", "digest").agg(F.max("value").alias("value")))
+    text = parts.join(values, ["size", "digest"])
     joined = F.array_join(F.transform(F.array_sort("parts"), lambda p: p["value"]), CRLF + CRLF)
     payload = F.substring(F.concat(joined, F.lit(CRLF + CRLF)).cast("binary"), F.lit(1), F.col("bytes").cast("int"))
     return (text.groupBy("file", "start", "bytes").agg(F.collect_list(F.struct("at", "value")).alias("parts"))
