@@ -63,12 +63,14 @@ def intervals(counts: DataFrame, group: list[str], value: str = "value", weight:
     value: ranges are built per (group, prefix) and shifted by the running
     size of earlier prefixes, computed on the small (group, prefix) table.
     A group with millions of values is thus spread over 256 window partitions
-    instead of landing in one task."""
+    instead of landing in one task.  ``entries`` is the group's number of values, so that what
+    follows needs no join on the group."""
     c = counts.withColumn("_sb", F.substring(F.md5(F.col(value).cast("string")), 1, SUB_DIGITS))
-    sub = c.groupBy(*group, "_sb").agg(F.sum(weight).alias("_sw"))
+    sub = c.groupBy(*group, "_sb").agg(F.sum(weight).alias("_sw"), F.count(F.lit(1)).alias("_se"))
     w_sub = Window.partitionBy(*group).orderBy("_sb").rowsBetween(Window.unboundedPreceding, 0)
     sub = sub.select(*group, "_sb", (F.sum("_sw").over(w_sub) - F.col("_sw")).alias("_off"),
-                     F.sum("_sw").over(Window.partitionBy(*group)).alias("total"))
+                     F.sum("_sw").over(Window.partitionBy(*group)).alias("total"),
+                     F.sum("_se").over(Window.partitionBy(*group)).alias("entries"))
     w_in = Window.partitionBy(*group, "_sb").orderBy(F.col(weight).desc(), F.col(value)) \
                  .rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("_run", F.sum(weight).over(w_in))
@@ -76,7 +78,12 @@ def intervals(counts: DataFrame, group: list[str], value: str = "value", weight:
     return out.select(*counts.columns,
                       (F.col("_off") + F.col("_run") - F.col(weight)).cast("long").alias("lo"),
                       (F.col("_off") + F.col("_run")).cast("long").alias("hi"),
-                      F.col("total").cast("long").alias("total"))
+                      F.col("total").cast("long").alias("total"), F.col("entries").cast("long").alias("entries"))
+
+
+def block_size() -> Column:
+    """The width of a group's blocks: as much weight as an entry has on average."""
+    return F.greatest(F.lit(1), F.ceil(F.col("total") / F.col("entries"))).cast("long")
 
 
 def draw(probes: DataFrame, table: DataFrame, group: list[str], u: str = "_u", value: str = "value",
@@ -89,9 +96,8 @@ def draw(probes: DataFrame, table: DataFrame, group: list[str], u: str = "_u", v
     ceil(total / entries) weight; entries are listed under every block they
     overlap and a probe looks up the single block holding r, then keeps the
     entry with lo <= r < hi.  Expected matches per probe stay below two."""
-    groups = table.groupBy(*group).agg(F.max("total").alias("_t"), F.count(F.lit(1)).alias("_e"))
-    groups = groups.withColumn("_blk", F.greatest(F.lit(1), F.ceil(F.col("_t") / F.col("_e"))).cast("long"))
-    entries = (table.join(groups.select(*group, "_blk"), group)
+    groups = table.groupBy(*group).agg(F.max("total").alias("_t"), F.max(block_size()).alias("_blk"))
+    entries = (table.withColumn("_blk", block_size())
                .withColumn("_k", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_blk")).cast("long"),
                                                       F.floor((F.col("hi") - 1) / F.col("_blk")).cast("long"))))
                .select(*group, "_k", "lo", "hi", F.col(value).alias("_val")))
@@ -101,7 +107,7 @@ def draw(probes: DataFrame, table: DataFrame, group: list[str], u: str = "_u", v
     p = p.withColumn("_r", F.floor(F.col(u) * F.col("_t")).cast("long")) \
          .withColumn("_k", F.floor(F.col("_r") / F.col("_blk")).cast("long"))
     m = p.join(entries, [*group, "_k"], "inner").filter((F.col("lo") <= F.col("_r")) & (F.col("_r") < F.col("hi")))
-    drop = ["_t", "_e", "_blk", "_k", "lo", "hi"] + ([] if keep_r else ["_r"])
+    drop = ["_t", "_blk", "_k", "lo", "hi"] + ([] if keep_r else ["_r"])
     return m.drop(*drop).withColumnRenamed("_val", out)
 
 

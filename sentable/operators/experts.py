@@ -20,19 +20,21 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentable.functions.fmt import format_value, is_missing, is_numeric_type, quoted
 from sentable.functions.hashing import uniform
-from sentable.operators.dist import intervals
+from sentable.operators.dist import block_size, intervals
 from sentable.operators.joins import MAX_BYTES, small_side
 
 SEP = "\u0001"          # joins anchor and previous context values
 NAN_TEXT = "nan"        # text of a missing number (Plain-mode rows)
 FILL_TEXT = "?"         # text of a missing category (after fill_na)
+NO_LEVEL = "\u0002"     # the context of a level that a column does not have
 WEIGHT_TOTAL = float(2 ** 48)    # bound of a group's total weight in tempered draws
 GROUP = ["order_id", "col", "level", "ctx"]
+SALTS = 64              # parts of a group that are joined apart
 NEXT_LEVEL = 3          # level 3 + d: context = the column d + 1 places later in order (used to complete rows)
 
 
@@ -170,10 +172,14 @@ def weighted(counts: DataFrame, temperature: float) -> DataFrame:
         top = counts.groupBy(*GROUP).agg(F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b")))
                                          .alias("value"))
         return counts.join(top, [*GROUP, "value"], "left_semi")
-    top = counts.groupBy(*GROUP).agg(F.max("n").alias("_top"), F.count(F.lit(1)).alias("_e"))
+    # a group may hold every value of a column, so it is joined in SALTS parts
+    counts = counts.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
+    part = counts.groupBy(*GROUP, "_salt").agg(F.max("n").alias("_n"), F.count(F.lit(1)).alias("_m"))
+    whole = Window.partitionBy(*GROUP)
+    top = part.select(*GROUP, "_salt", F.max("_n").over(whole).alias("_top"), F.sum("_m").over(whole).alias("_e"))
     share = F.pow(F.col("n") / F.col("_top"), F.lit(1.0 / temperature))
     w = F.greatest(F.lit(1), F.round(share * F.floor(F.lit(WEIGHT_TOTAL) / F.col("_e")))).cast("long")
-    return counts.join(top, GROUP).withColumn("n", w).drop("_top", "_e")
+    return counts.join(top, [*GROUP, "_salt"]).withColumn("n", w).drop("_top", "_e", "_salt")
 
 
 @dataclass
@@ -192,15 +198,14 @@ def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows
     column's side is broadcast is decided from exact per-column row counts and
     bytes (one small aggregate); larger sides use a shuffle join."""
     from sentable.sources.io import materialize
-    iv = materialize(intervals(weighted(model.counts, temperature), GROUP), "intervals", ["col"])
-    groups = iv.groupBy(*GROUP).agg(F.max("total").alias("_t"), F.count(F.lit(1)).alias("_e"))
-    groups = materialize(groups.withColumn("_blk", F.greatest(F.lit(1), F.ceil(F.col("_t") / F.col("_e"))).cast("long"))
-                         .drop("_e"), "groups", ["col"])
-    entries = (iv.join(groups.select(*GROUP, "_blk"), GROUP)
-               .withColumn("_k", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_blk")).cast("long"),
-                                                      F.floor((F.col("hi") - 1) / F.col("_blk")).cast("long"))))
-               .select(*GROUP, "_k", "lo", "hi", F.col("value").alias("_val")))
-    entries = materialize(entries, "entries", ["col"])
+    # one table holds the entries under their blocks and, with each, its group's total and block size
+    iv = intervals(weighted(model.counts, temperature), GROUP).withColumn("_blk", block_size())
+    first = F.floor(F.col("lo") / F.col("_blk")).cast("long")
+    iv = iv.withColumn("_k", F.explode(F.sequence(first, F.floor((F.col("hi") - 1) / F.col("_blk")).cast("long"))))
+    iv = materialize(iv.select(*GROUP, "_k", "lo", "hi", F.col("value").alias("_val"), F.col("total").alias("_t"), "_blk"),
+                     "entries", ["col"])
+    groups = materialize(iv.groupBy(*GROUP).agg(F.max("_t").alias("_t"), F.max("_blk").alias("_blk")), "groups", ["col"])
+    entries = iv.drop("_t", "_blk")
     size = F.octet_length("_val") + F.octet_length("ctx") + 64
     ne = {r["col"]: (r["n"], r["b"]) for r in entries.groupBy("col").agg(
         F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).collect()}
@@ -326,17 +331,17 @@ def evaluate(model: ExpertModel, val: DataFrame, key: str = "row_key", oid: int
     context seen in training (else level 0); mean per column, then the mean
     over columns (row '__mean__').  V = level-0 distinct values + 1.
 
-    A level that a column does not have gets a context of its own for each row,
-    not null: it matches nothing, and rows spread evenly over the join's tasks."""
+    Equal cells are counted before any join, so a frequent value or context is
+    one row of it however many rows have it."""
     from sentable.sources.io import materialize
     o = model.orders[oid]
     text = {c: cell_text(val, c) for c in o}
     items = []
     for j, c in enumerate(o):
         items.append(F.struct(F.lit(c).alias("col"), text[c].alias("value"),
-                              *[_ctx(model, o, j, L, text).alias(f"c{L}") if L <= min(j, 2) else
-                                F.concat(F.lit("\u0002"), F.col(key).cast("string")).alias(f"c{L}") for L in range(3)]))
-    cells = val.select(key, F.inline(F.array(*items)))
+                              *[(_ctx(model, o, j, L, text) if L <= min(j, 2) else F.lit(NO_LEVEL)).alias(f"c{L}")
+                                for L in range(3)]))
+    cells = val.select(F.inline(F.array(*items))).groupBy("col", "value", "c0", "c1", "c2").agg(F.count(F.lit(1)).alias("w"))
     cnt = materialize(model.counts.filter(F.col("order_id") == oid), "eval-counts")     # read for every level
     tot = cnt.groupBy("col", "level", "ctx").agg(F.sum("n").alias("tot"))
     vocab = cnt.filter(F.col("level") == 0).groupBy("col").agg((F.count(F.lit(1)) + 1).alias("V"))
@@ -352,7 +357,7 @@ def evaluate(model: ExpertModel, val: DataFrame, key: str = "row_key", oid: int
                                       .otherwise(F.col("t0")), F.lit(0)))
     cells = cells.join(cnt.drop("order_id"), ["col", "level", "ctx", "value"], "left").join(F.broadcast(vocab), "col")
     nll = -F.log((F.coalesce(F.col("n"), F.lit(0)) + 1) / (F.col("tot") + F.col("V")))
-    per = cells.groupBy("col").agg(F.avg(nll).alias("loss"))
+    per = cells.groupBy("col").agg((F.sum(nll * F.col("w")) / F.sum("w")).alias("loss"))
     allm = per.agg(F.avg("loss").alias("loss")).select(F.lit("__mean__").alias("col"), "loss")
     return per.unionByName(allm).select(F.col("col").alias("column"), F.round("loss", 6).alias("loss"))
 

@@ -364,7 +364,8 @@ def _sql_synth_encoded():
     kinds = dict(A.kinds, p_brand="int", p_type="int")
     train = f"SELECT * FROM ({sql_split(_sql_encoded_a())}) WHERE split = 'train'"
     ctes = model_ctes(train, A.cols, kinds, [A.cols], BINS, edge_src=train)
-    chain = f"SELECT sid, {', '.join(A.cols)} FROM {chain_sql(KEYS_N, A.cols, 0, kinds, BINS, SEED)}"
+    keys = f"SELECT row_key AS sid FROM ({train})"
+    chain = f"SELECT sid, {', '.join(A.cols)} FROM {chain_sql(keys, A.cols, 0, kinds, BINS, SEED)}"
     j = " ".join(f"JOIN (SELECT value AS v_{c}, CAST(id AS DOUBLE) AS id_{c} FROM enc WHERE \"column\" = '{c}') "
                  f"ON {sql_to_numeric(c)} = id_{c}" for c in ENC)
     return (f"WITH enc AS ({_FIT_A}), {ctes} SELECT sid, v_p_brand AS p_brand, TRY_CAST(p_size AS BIGINT) AS p_size, "
@@ -373,9 +374,8 @@ def _sql_synth_encoded():
 
 @query("synthesize_encoded", _sql_synth_encoded())
 def _synthesize_encoded(spark, sf):
-    """GEN-12/13 on ``part``: label-encoded, decoded after the parse, with a
-    number of rows that is not the table's."""
-    return S.synthesize(load(spark, sf, "A"), _contract(A), n=N_NEW, seed=SEED, bins=BINS, encode_categories=True)
+    """GEN-12/13 on ``part``: label-encoded, decoded after the parse; as many rows as the training split."""
+    return S.synthesize(load(spark, sf, "A"), _contract(A), seed=SEED, bins=BINS, encode_categories=True)
 
 
 D = FIXTURES["D"]
@@ -396,8 +396,9 @@ def _sql_synth_d():
     from sentable.plans.q_text import _sql_in_domain
     train = f"SELECT * FROM ({_SPLIT_D}) WHERE split = 'train'"
     ctes = model_ctes(train, D.cols, D.kinds, [D.cols], BINS, edge_src=train)
+    keys = f"SELECT row_key AS sid FROM ({train})"
     lines = ("SELECT sid AS row_key, concat(" + ", ".join(f"'{c} is ' || {c} || '<EOC>'" for c in D.cols)
-             + f") AS line FROM {chain_sql(KEYS_N, D.cols, 0, D.kinds, BINS, SEED)}")
+             + f") AS line FROM {chain_sql(keys, D.cols, 0, D.kinds, BINS, SEED)}")
     ok = _sql_in_domain(strict_select(lines, D.cols, ["row_key"]), "D", D.ords)
     out = ", ".join(f"TRY_CAST({c} AS DOUBLE) AS {c}" if D.kinds[c] == "double" else c for c in D.cols)
     return f"WITH {ctes} SELECT row_key AS sid, {out} FROM ({ok})"
@@ -405,8 +406,8 @@ def _sql_synth_d():
 
 @query("synthesize_lineitem", _sql_synth_d())
 def _synthesize_lineitem(spark, sf):
-    """GEN-13 on ``lineitem``, whose rows have no declared key."""
-    return S.synthesize(load(spark, sf, "D"), _contract(D), n=N_NEW, seed=SEED, bins=BINS)
+    """GEN-13 on ``lineitem``, whose rows have no declared key; as many rows as the training split."""
+    return S.synthesize(load(spark, sf, "D"), _contract(D), seed=SEED, bins=BINS)
 
 
 @query("parse_decoded", f"SELECT row_key, p_brand, CAST(CAST(p_size AS DOUBLE) AS VARCHAR) AS p_size, "

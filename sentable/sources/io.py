@@ -54,7 +54,7 @@ def materialize(df: DataFrame, what: str, partition_by: list[str] | None = None)
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     _delete_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _delete_at_exit(spark: SparkSession, path: str) -> None:
