@@ -4,15 +4,17 @@ Tokens: the runs of characters other than white space, A-Z lower-cased, then one
 Training documents are those whose crc32(doc_id as text) mod 7 is not 2.
 
 1. Tokens are counted over the whole corpus: combined in each task, summed by key.
-2. The ``CLASSES - 1`` most frequent training tokens are the model's classes, class 0 is any
-   other.  Their trigrams are counted over all training documents.
+2. Every token has one of ``CLASSES`` classes: the end and the most frequent training words have one
+   each, any other word shares one of ``ENDINGS`` classes with words of like ending and length, which tell
+   languages, inflections, numbers and names apart.  Class trigrams are counted over all training documents.
 3. The model predicts a class from the two before: context vectors r pass through matrices
-   C1 and C2, the sum meets target vectors t: s(w) = (r_a C1 + r_b C2) t_w + bias_w.  Tasks
-   train it in numpy on their shard of the trigram counts with noise from the unigram
-   counts; after a round the driver averages their parameters.
+   C1 and C2, the sum meets target vectors t: s(w) = (r_a C1 + r_b C2) t_w + bias_w.  Each of ``SHARDS``
+   shards of the trigram counts, named by a hash of the trigram and put in order, trains it in numpy with
+   noise from the unigram counts; after a round the driver averages the shards' parameters and step
+   sizes.  So the model does not depend on tasks, cores or runs.
 4. Batched matrix products give log sum exp s over all classes for every context, so
-   that log P(w | a, b) is normalised.  A token of class 0 has in addition the probability
-   (c + 1) / (N0 + V0 + 1) among the N0 training tokens and V0 kinds of that class.
+   that log P(class | a, b) is normalised.  A word of a shared class k has in addition the probability
+   (c + 1) / (N_k + V_k + 1) among the N_k training tokens and V_k kinds of its class.
 
 Each text needs the counts of its tokens.  Tokens with at least 1 of 2**``HOT_BITS`` of all
 occurrences (so there are at most 2**HOT_BITS, each of at most ``HOT_BYTES`` bytes) are broadcast.
@@ -24,6 +26,8 @@ in the fold.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import copy
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -31,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentable.llm.common import cut, fold, numbered, table, text_or_empty
+from sentable.llm.common import cut, fold, numbered, table, text_or_empty, tidy
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"
-CLASSES, DIM = 512, 16
-ROUNDS, SHARDS, BATCH, NOISE, RATE = 4, 32, 1024, 64, 0.1
+CLASSES, ENDINGS, DIM = 512, 256, 16
+ROUNDS, SHARDS, BATCH, NOISE, RATE = 4, 32, 1024, 64, 0.2
 HOT_BITS, HOT_BYTES = 20, 64
 FLUSH = 200_000
 SLICE = 1_000
@@ -73,8 +77,23 @@ def _count(batches):
     yield flush()
 
 
-def _class_ids(toks: list[bytes], classes: dict[bytes, int]) -> np.ndarray:
-    return np.array([classes.get(t, 0) for t in toks], np.int64)
+class Classes(dict):
+    """The class of each token: the first ENDINGS are shared, the others are single tokens'."""
+
+    def __missing__(self, t: bytes) -> int:
+        return ending(t)
+
+
+def ending(t: bytes) -> int:
+    """The class that a word shares: by its last two letters, whether it has signs or digits, and its length."""
+    word = t.strip(b".,;:!?\"'()[]")
+    signs = len(word) != len(t)
+    kind = b"#" if word[-1:].isdigit() else word[-2:]
+    return zlib.crc32(kind + (b"1" if signs else b"0") + (b"s" if len(word) < 5 else b"l")) % ENDINGS
+
+
+def _class_ids(toks: list[bytes], classes: Classes) -> np.ndarray:
+    return np.array([classes[t] for t in toks], np.int64)
 
 
 def _contexts(ids: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +132,17 @@ def _trigrams(classes_b):
     return run
 
 
+def _class_sizes(classes_b):
+    """(class, tokens, kinds), combined by batch."""
+    def run(batches):
+        for b in batches:
+            k = _class_ids(b.column("token").to_pylist(), classes_b.value)
+            used, at = np.unique(k, return_inverse=True)
+            n = np.bincount(at, b.column("c").to_numpy(), len(used)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n), pa.array(np.bincount(at, minlength=len(used)))], ["k", "n", "v"])
+    return run
+
+
 class Model:
     """Parameters of the log-bilinear model."""
 
@@ -125,21 +155,22 @@ class Model:
         self.t = rng.normal(0, 0.1, (n, dim))
         self.c1, self.c2 = np.eye(dim) * 0.5, np.eye(dim)
         self.bias = np.log(self.noise)
+        self.seen = [np.full(p.shape, 1e-6) for p in self.parameters()]
 
     def parameters(self) -> list[np.ndarray]:
         return [getattr(self, k) for k in self.NAMES]
 
     def train(self, keys: np.ndarray, counts: np.ndarray, seed: int, noise: int = NOISE, rate: float = RATE) -> None:
         """One pass over weighted trigrams.  Each batch shares ``noise`` draws from the unigram
-        distribution; a trigram is told from noise with log odds s(w) - log(noise * q(w))."""
+        distribution; a trigram is told from noise with log odds s(w) - log(noise * q(w)).
+        Weights are counts over the mean batch's, so that a frequent trigram moves more."""
         n, rng = len(self.noise), np.random.default_rng(seed)
         order = rng.permutation(len(keys))
-        seen = [np.full(p.shape, 1e-6) for p in self.parameters()]
+        scale = float(counts.sum()) / max(1.0, len(keys) / BATCH)
         log_q = np.log(noise * self.noise)
         cdf = np.cumsum(self.noise)
         for k in range(0, len(keys), BATCH):
-            key, weight = keys[order[k:k + BATCH]], counts[order[k:k + BATCH]].astype(np.float64)
-            weight /= weight.sum()
+            key, weight = keys[order[k:k + BATCH]], counts[order[k:k + BATCH]] / scale
             a, b, w = key // (n * n), key // n % n, key % n
             z = np.minimum(np.searchsorted(cdf, rng.random(noise)), n - 1)
             h = self.r[a] @ self.c1 + self.r[b] @ self.c2
@@ -156,7 +187,7 @@ class Model:
             np.add.at(grads[3], z, g_z.T @ h)
             np.add.at(grads[4], w, g_w)
             np.add.at(grads[4], z, g_z.sum(axis=0))
-            for p, g, s in zip(self.parameters(), grads, seen):
+            for p, g, s in zip(self.parameters(), grads, self.seen):
                 s += g * g
                 p -= rate * g / np.sqrt(s)
 
@@ -175,37 +206,38 @@ def fit(trigrams: DataFrame, unigram: np.ndarray) -> Model:
     the average of the round before, weighted by the shards' tokens."""
     sc = trigrams.sparkSession.sparkContext
     model = Model(unigram)
-    shards = cut(trigrams.repartition(SHARDS, "key"), "lm-shards")
+    shards = cut(trigrams.select(F.pmod(F.xxhash64("key"), F.lit(SHARDS)).cast("int").alias("shard"), "key", "n"), "lm-shards")
     for number in range(ROUNDS):
         start = sc.broadcast(model)
 
-        def run(batches):
-            parts = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches]  # noqa: B023
-            if parts:
-                keys, counts = (np.concatenate(x) for x in zip(*parts))
-                own = start.value  # noqa: B023
-                own.train(keys, counts, seed=number)  # noqa: B023
-                blob = np.concatenate([p.ravel() for p in own.parameters()]).astype(np.float32).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([int(counts.sum())]), pa.array([blob], pa.binary())], ["n", "blob"])
+        def run(rows: pa.Table) -> pa.Table:
+            keys, counts = rows["key"].to_numpy(), rows["n"].to_numpy()
+            order = np.argsort(keys)                     # rows come as tasks ended; the shard is always the same
+            own, shard = start.value, int(rows["shard"][0].as_py())  # noqa: B023
+            own = copy.deepcopy(own)                     # a worker may train several shards
+            own.train(keys[order], counts[order], seed=number * SHARDS + shard)  # noqa: B023
+            blob = np.concatenate([p.ravel() for p in [*own.parameters(), *own.seen]]).astype(np.float32).tobytes()
+            return pa.table({"shard": [shard], "n": [int(counts.sum())], "blob": pa.array([blob], pa.binary())})
 
-        trained = shards.mapInArrow(run, "n long, blob binary").collect()
+        trained = sorted(shards.groupBy("shard").applyInArrow(run, "shard long, n long, blob binary").collect())
         if not trained:
             break
         weights = np.array([r["n"] for r in trained], np.float64)
         mean = np.average([np.frombuffer(r["blob"], np.float32) for r in trained], axis=0, weights=weights)
-        for p in model.parameters():
+        for p in [*model.parameters(), *model.seen]:
             p[...] = mean[:p.size].reshape(p.shape)
             mean = mean[p.size:]
     return model
 
 
-def _score(hot_b, tables_b, classes_b):
+def _score(hot_b, tables_b, classes_b, within_b):
     """A row a text with what the broadcast counts and the model give, and a row for each other token of it."""
-    names = ["rid", "token", "n", "id", "held_out", "n_tokens", "n_known", "n_other", "base", "model"]
+    names = ["rid", "token", "n", "id", "held_out", "n_tokens", "n_known", "base", "model"]
 
     def run(batches):
         hot, classes = hot_b.value, classes_b.value
         g1, g2, bias, log_z = tables_b.value
+        within = within_b.value          # by class: log10(N + V + 1) of the shared ones
         for b in _batches(batches):
             rids = b.column("rid").to_pylist()
             texts = [tokens(t) for t in b.column("text").to_pylist()]
@@ -218,10 +250,9 @@ def _score(hot_b, tables_b, classes_b):
             count = np.array([hot.get(t, -1) for ts in texts for t in ts], np.int64)    # -1: not broadcast
             log_c = np.log10(np.maximum(count, 0) + 1)
             base = np.add.reduceat(log_c, starts)
-            other = ids == 0
-            model += np.add.reduceat(np.where(other, log_c, 0.0), starts)
+            other = ids < ENDINGS
+            model += np.add.reduceat(np.where(other, log_c, 0.0) - within[ids], starts)
             n_known = np.add.reduceat((count > 0).astype(np.int64), starts)
-            n_other = np.add.reduceat(other.astype(np.int64), starts)
             rows = [(rid, t, n) for rid, ts in zip(rids, texts) for t, n in Counter(
                 t for t in ts if t not in hot).items()]
             rid2, token, n = zip(*rows) if rows else ((), (), ())
@@ -234,7 +265,7 @@ def _score(hot_b, tables_b, classes_b):
                 pa.concat_arrays([b.column("id"), pa.nulls(len(rows), b.column("id").type)]),
                 pa.array([*b.column("held_out").to_pylist(), *none], pa.bool_()),
                 *[pa.array([*x.tolist(), *none], kind) for x, kind in (
-                    (np.array([len(t) for t in texts]), pa.int64()), (n_known, pa.int64()), (n_other, pa.int64()),
+                    (np.array([len(t) for t in texts]), pa.int64()), (n_known, pa.int64()),
                     (base, pa.float64()), (model, pa.float64()))]], names)
     return run
 
@@ -253,29 +284,33 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     is_hot = (F.col("c_all") >= max(1.0, n_all / 2 ** HOT_BITS)) & (F.octet_length("token") <= HOT_BYTES)
     hot = counts.where(is_hot).select("token", "c").toArrow().to_pydict()
     hot = dict(zip(hot["token"], hot["c"]))
-    top = sorted((t for t in hot if hot[t] > 0 and t != END), key=lambda t: (-hot[t], t))[:CLASSES - 2]
-    classes = {t: k + 1 for k, t in enumerate([END, *top])}
-    known = np.array([hot.get(t, 0) for t in classes], np.float64)
-    n0, v0 = n - int(known.sum()), v - int((known > 0).sum())
-    unigram = np.concatenate([[max(n0, 1)], np.maximum(known, 1), np.full(CLASSES - 1 - len(classes), 1e-9)])
-    hot_b, classes_b = sc.broadcast(hot), sc.broadcast(classes)
+    top = sorted((t for t in hot if hot[t] > 0 and t != END), key=lambda t: (-hot[t], t))[:CLASSES - ENDINGS - 1]
+    classes = Classes({t: ENDINGS + k for k, t in enumerate([END, *top])})
+    # tokens and kinds of each class, counted where the tokens are: at most CLASSES rows come back
+    sizes = counts.where("c > 0").mapInArrow(_class_sizes(sc.broadcast(classes)), "k long, n long, v long").groupBy("k").agg(
+        F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in sizes:
+        size[r["k"]], kinds[r["k"]] = r["n"], r["v"]
+    unigram = np.maximum(size, 0.5)
+    within = np.where(np.arange(CLASSES) < ENDINGS, np.log10(size + kinds + 1), 0.0)
+    hot_b, classes_b, within_b = sc.broadcast(hot), sc.broadcast(classes), sc.broadcast(within)
     trigrams = (texts.where("NOT held_out").select("text").mapInArrow(_trigrams(classes_b), "key long, n long")
                 .groupBy("key").agg(F.sum("n").alias("n")))
     tables_b = sc.broadcast(fit(trigrams, unigram).tables())
-    rows = texts.mapInArrow(_score(hot_b, tables_b, classes_b), f"rid long, token binary, n long, id {kind}, held_out "
-                            "boolean, n_tokens long, n_known long, n_other long, base double, model double")
+    rows = texts.mapInArrow(tidy(_score(hot_b, tables_b, classes_b, within_b)), f"rid long, token binary, n long, id {kind}, "
+                            "held_out boolean, n_tokens long, n_known long, base double, model double")
     rare = counts.where(~is_hot & (F.col("c") > 0)).select("token", "c")
     rows = rows.join(rare, "token", "left")
     of_rare = F.coalesce(F.sum(F.col("n") * F.log10(F.col("c") + 1)), F.lit(0.0))
     known_rare = F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))
     sums = rows.groupBy("rid").agg(
         F.max("id").alias("id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + known_rare).alias("n_known"), F.sum("n_other").alias("n_other"),
-        (F.sum("base") + of_rare).alias("base"), (F.sum("model") + of_rare).alias("model"))
+        (F.sum("n_known") + known_rare).alias("n_known"), (F.sum("base") + of_rare).alias("base"), (F.sum("model") + of_rare).alias("model"))
     return sums.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
-        (F.col("model") - F.col("n_other") * float(np.log10(n0 + v0 + 1))).alias("score"))
+        F.col("model").alias("score"))
 
 
 def query(spark, sf_dir):
