@@ -6,13 +6,16 @@ seed still hits if words there were substituted.  Hashes of benchmark seeds
 the documents.  A hit names an alignment of item and document; around it the
 words are compared.  A document is contaminated by an item if some window of
 ``SPAN`` aligned words (or the whole item, if shorter) has at least ``SHARE`` of
-them equal.
+them equal.  ``MASKS`` hit each such window: of the masks of five words that begin with two
+neighbours they are a smallest greedy choice that does so for all places that the unequal words
+of 10 to 20 may have (a test goes through them).  An item of under ``WHOLE`` words is found verbatim only, by a
+hash of all of it; of under ``LEAST`` words it is no evidence and never found.
 
 Documents are hashed in blocks of ``BLOCK`` words that overlap by the longest
 mask, so a row's size is bounded however long a text is.  Only documents with hits
 are read again.  Words are lower-cased runs of letters and digits.  Null texts
-and items have no words; an item shorter than the shortest mask is never found.
-Repeated rows are reported each; equal items under their smallest id.
+and items have no words.  Repeated rows are reported each; equal items under their smallest id.  Empty
+tables of documents or items give an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from sentable.functions.rows import barrier, keep_if
 from sentable.llm.common import cut, numbered, scanned, small_side, table, without_rows
 from sentable.llm.licenses import words_of
 
-MASKS = ["1101010011", "1110010101", "1100110011"]      # all start with 11
+MASKS = ["11111", "111011", "110100011"]      # all start with 11
+WHOLE, LEAST = 10, 4
 SPAN, SHARE = 20, 0.8
 BLOCK = 1024
 
@@ -51,14 +55,24 @@ def seed_array(masks: list[str]) -> Column:
                      for k, m in enumerate(masks)])
 
 
+def short_masks() -> list[str]:
+    """A mask of the whole of each item that is too short for windows."""
+    return ["1" * n for n in range(LEAST, WHOLE)]
+
+
 def benchmark_seeds(benchmark: DataFrame, masks: list[str], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(items, seeds): distinct word sequences under their smallest id, and their seeds."""
+    """(items, seeds): distinct word sequences under their smallest id, and their seeds: those of ``masks``, and
+    of a short item the one of all its words."""
     items = (benchmark.select(F.col(f"`{id_col}`").alias("item_id"), words_of(text_col).alias("item"))
-             .where(F.size("item") >= min(map(len, masks)))
+             .where(F.size("item") >= LEAST)
              .groupBy("item").agg(F.min("item_id").alias("item_id")))
     items = cut(items.select(F.monotonically_increasing_id().alias("item_no"), "item_id", "item"), "benchmark-items")
-    s = places(items, "item", F.size("item"), masks, F.col("item_no")).select(
-        "item_no", F.col("at").alias("item_at"), pair().alias("pair"), F.explode(seed_array(masks)).alias("seed"))
+    every = masks + short_masks()
+    s = places(items.withColumn("words", F.size("item")), "item", F.size("item"), every, F.col("item_no"), F.col("words"))
+    long = F.slice(seed_array(every), 1, len(masks))
+    whole = F.array(F.get(seed_array(every), F.col("words") - LEAST + len(masks)))
+    seeds = F.when(F.col("words") >= WHOLE, long).when(F.col("at") == 0, whole)
+    s = s.select("item_no", F.col("at").alias("item_at"), pair().alias("pair"), F.explode(seeds).alias("seed"))
     return items, cut(s.where("seed IS NOT NULL"), "benchmark-seeds")
 
 
@@ -68,8 +82,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
     """(rid, doc_id, item_id, first_word, n_words, n_equal): for each contaminated document and item
     the best alignment's stretch of matching windows, in words of the document, and its equal words."""
     docs, masks = scanned(docs), masks or MASKS
-    longest = max(map(len, masks))
     items, known = benchmark_seeds(benchmark, masks, item_col, item_text)
+    masks = masks + short_masks()
+    longest = max(map(len, masks))
     numbered_docs = numbered(docs, id_col, text_col)
     words = numbered_docs.select("rid", words_of(text_col).alias("words"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(BLOCK))
@@ -88,7 +103,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: list[str] | None
     near = near.join(small_side(hits), "rid").join(_broadcast_items(items), "item_no")
     size = F.size("item")
     width = F.least(F.lit(span), size)
-    need = F.ceil(width * share - 1e-9)
+    need = F.when(size < WHOLE, size).otherwise(F.ceil(width * share - 1e-9))
     equal = F.transform("item", lambda w, k: F.when(F.get("words", F.col("shift") + k) == w, 1).otherwise(0))
     near = barrier(near.select("rid", "doc_id", "item_id", "shift", size.alias("size"), width.alias("width"),
                                need.alias("need"), equal.alias("equal")))
