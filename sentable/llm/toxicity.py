@@ -20,6 +20,7 @@ the model is the base rate.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ MIN_DOCS = 5           # training documents that must hold a feature
 FOLDS, HELD_OUT = 3, 1
 CF_WEIGHT, L1, STEPS = 1.0, 3e-5, 600
 CUT = 0.7
+PREFIXES = (4, 5)
 
 # Sets of group terms that may be swapped for each other.
 IDENTITY = [
@@ -55,21 +57,28 @@ def words(text: str | None) -> set[bytes]:
 
 def word_features(w: bytes) -> list[str]:
     s = w.decode("utf-8", "replace")
-    return ["w:" + s] + ["p:" + s[:n] for n in (4, 5) if len(s) >= n]
+    return ["w:" + s] + ["p:" + s[:n] for n in PREFIXES if len(s) >= n]
 
 
 def features(ws: set[bytes]) -> set[str]:
     return {f for w in ws for f in word_features(w)}
 
 
-def swaps(ws: set[bytes]) -> list[set[bytes]]:
-    """The counterfactuals of a text: each of its group terms swapped for every other of its set."""
-    out = []
+def swaps(ws: set[bytes]) -> list[tuple[list[str], list[str]]]:
+    """The counterfactuals of a text: each of its group terms swapped for every other of its set, as the
+    features that the text loses by that and those that it gains."""
+    out, count = [], None
     for terms in IDENTITY:
         terms = [t.encode() for t in terms]
         for t in terms:
-            if t in ws:
-                out += [(ws - {t}) | {u} for u in terms if u not in ws]
+            if t not in ws:
+                continue
+            count = count or Counter(f for w in ws for f in word_features(w))
+            old = [f for f in word_features(t) if count[f] == 1]          # no other word has them
+            for u in terms:
+                if u not in ws:
+                    new = [f for f in word_features(u) if not count[f]]
+                    out.append((sorted(set(old) - set(word_features(u))), sorted(new)))
     return out
 
 
@@ -86,17 +95,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str,
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, features, swapped): a text's features and those of its counterfactuals."""
+    """(toxic, features, swapped): a text's features and how those of its counterfactuals differ."""
     for b in batches:
         toxic, feats, swapped = [], [], []
         for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
             ws = words(text)
             toxic.append(y)
             feats.append(sorted(features(ws)))
-            swapped.append([sorted(features(c)) for c in swaps(ws)])
+            swapped.append([list(c) for c in swaps(ws)])
         yield pa.RecordBatch.from_arrays(
             [pa.array(toxic, pa.int32()), pa.array(feats, pa.list_(pa.string())),
-             pa.array(swapped, pa.list_(pa.list_(pa.string())))], ["toxic", "features", "swapped"])
+             pa.array(swapped, pa.list_(pa.list_(pa.list_(pa.string()))))], ["toxic", "features", "swapped"])
 
 
 def choose(rows: DataFrame, n_features: int, min_docs: int) -> list[str]:
@@ -118,11 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: in
         min_docs: int = MIN_DOCS, cf_weight: float = CF_WEIGHT, id_col: str = "doc_id",
         text_col: str = "text") -> dict[str, float]:
     """Weights by feature; the bias is under the empty name.  What reaches the
-    driver: ``n_features`` names, and for ``sample`` rows the numbers of their chosen features."""
+    driver: ``n_features`` names, and for ``sample`` rows the numbers of their chosen features and of those
+    in which their counterfactuals differ."""
     spark = docs.sparkSession
     ship(spark)
     rows = cut(training_rows(docs, labels, sample, id_col, text_col).mapInArrow(
-        tidy(_extract), "toxic int, features array<string>, swapped array<array<string>>"), "toxicity-rows")
+        tidy(_extract), "toxic int, features array<string>, swapped array<array<array<string>>>"), "toxicity-rows")
     names = choose(rows, n_features, min_docs)
     number = {f: i for i, f in enumerate(names)}
     known = spark.sparkContext.broadcast(number)
@@ -131,14 +141,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: in
         num = known.value
         for b in batches:
             ids = [[num[f] for f in fs if f in num] for fs in b.column("features").to_pylist()]
-            alt = [[[num[f] for f in fs if f in num] for fs in c] for c in b.column("swapped").to_pylist()]
+            alt = [[[[num[f] for f in fs if f in num] for fs in c] for c in cs] for cs in b.column("swapped").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(ids, pa.list_(pa.int32())), pa.array(
-                alt, pa.list_(pa.list_(pa.int32())))], ["toxic", "ids", "alt"])
+                alt, pa.list_(pa.list_(pa.list_(pa.int32()))))], ["toxic", "ids", "alt"])
 
-    data = rows.mapInArrow(to_numbers, "toxic int, ids array<int>, alt array<array<int>>").toArrow()
+    data = rows.mapInArrow(to_numbers, "toxic int, ids array<int>, alt array<array<array<int>>>").toArrow()
     y = data["toxic"].to_numpy().astype(np.float64)
     ids = data["ids"].to_pylist()
-    pairs = [(x, c) for x, cs in zip(ids, data["alt"].to_pylist()) for c in cs]
+    pairs = [(lost, gained) for cs in data["alt"].to_pylist() for lost, gained in cs]
     return dict(zip(["", *names], train(y, ids, pairs, len(names), cf_weight)))
 
 

@@ -33,8 +33,13 @@ def test_swaps_lower_the_weight_of_group_terms(spark):
 
 
 def test_counterfactuals():
-    assert X.swaps({b"a", b"frau"}) == [{b"a", b"mann"}]
+    assert X.swaps({b"a", b"frau"}) == [(["p:frau", "w:frau"], ["p:mann", "w:mann"])]
     assert X.swaps({b"a"}) == []
+    for ws in ({b"women", b"womens", b"men", b"girlish", b"boys", b"muslim"}, {b"black", b"blacks", b"frauen", b"gay"}):
+        texts = [(ws - {t}) | {u} for ts in X.IDENTITY for t in (x.encode() for x in ts) if t in ws
+                 for u in (x.encode() for x in ts) if u not in ws]
+        want = [(sorted(X.features(ws) - X.features(c)), sorted(X.features(c) - X.features(ws))) for c in texts]
+        assert X.swaps(ws) == want
 
 
 def test_held_out_accuracy(spark):
