@@ -39,10 +39,11 @@ from sentable.llm.common import cut, fold, numbered, table, text_or_empty, tidy
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"
-CLASSES, ENDINGS, DIM = 512, 256, 16
-ROUNDS, SHARDS, BATCH, NOISE, RATE = 4, 32, 1024, 64, 0.2
+CLASSES, ENDINGS, DIM = 384, 192, 16
+ROUNDS, SHARDS, BATCH, NOISE, RATE = 3, 32, 1024, 48, 0.3
 HOT_BITS, HOT_BYTES = 20, 64
 FLUSH = 200_000
+REMEMBERED = 200_000      # words whose shared class a worker remembers
 SLICE = 1_000
 
 
@@ -81,7 +82,10 @@ class Classes(dict):
     """The class of each token: the first ENDINGS are shared, the others are single tokens'."""
 
     def __missing__(self, t: bytes) -> int:
-        return ending(t)
+        k = ending(t)
+        if len(self) < REMEMBERED and len(t) <= HOT_BYTES:
+            self[t] = k
+        return k
 
 
 def ending(t: bytes) -> int:
@@ -125,7 +129,7 @@ def _trigrams(classes_b):
             new, m = np.unique((a * n + c) * n + ids, return_counts=True)
             keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, m]), len(keys)).astype(np.int64)
-            if len(keys) > 5 * FLUSH:
+            if len(keys) > 10 * FLUSH:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
                 keys, counts = keys[:0], counts[:0]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
