@@ -69,6 +69,20 @@ def _read_version(spark, sf):
     return read_split(spark, base, "orders", "val", version=v).select("row_key", *B.cols, "idx")
 
 
+@query("snapshot_versions", f"SELECT 'first' AS reader, split, count(*)::BIGINT AS n FROM ({_SPLIT_B}) GROUP BY split UNION ALL "
+                            f"SELECT 'second', split, count(*)::BIGINT FROM ({_SPLIT_B}) WHERE o_orderstatus = 'F' GROUP BY split")
+def _snapshot_versions(spark, sf):
+    """SNK-1 / SRC-2: a reader of the latest version keeps it while the next one is written and published."""
+    rows = split(load(spark, sf, "B"), SEED, F.col("row_key"))
+    base = scratch_path(spark, "snap")
+    write_snapshot(rows, base, "orders", CREATED)
+    first = read_split(spark, base, "orders", split=None)
+    write_snapshot(rows.where("o_orderstatus = 'F'"), base, "orders", "2026-01-06 10:00:00")
+    second = read_split(spark, base, "orders", split=None)
+    count = lambda df, name: df.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("reader"), "split", "n")
+    return count(first, "first").unionByName(count(second, "second"))
+
+
 RECIPE_COLS = ["key", "name", "brand", "kind", "size", "price"]
 
 

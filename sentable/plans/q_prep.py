@@ -224,3 +224,14 @@ POSITIONS = [0, 1, 7, 100, 1000, 5000, 14999, 10 ** 9]
                         f"WHERE idx IN ({', '.join(map(str, POSITIONS))})")
 def _rows_by_index(spark, sf):
     return rows_by_index(shuffle_index(load(spark, sf, "B"), SEED, F.col("row_key")), POSITIONS)
+
+
+@query("rows_by_layout", f"SELECT * EXCLUDE (_n) FROM ({sql_indexed(sql_load('B'), SEED, 'shuffle')}) "
+                         f"WHERE idx IN ({', '.join(map(str, POSITIONS))})")
+def _rows_by_layout(spark, sf):
+    """JN-7 on a kept index: the table is indexed and laid out once, a fetch opens the blocks it needs."""
+    from sentable.sources.io import scratch_path
+    from sentable.sources.layout import rows_at, write_layout
+    path = scratch_path(spark, "layout")
+    write_layout(shuffle_index(load(spark, sf, "B"), SEED, F.col("row_key")), path, block_rows=1_000)
+    return rows_at(spark, path, POSITIONS, block_rows=1_000)

@@ -1,7 +1,7 @@
 """Sources and sinks (SRC-1/2/4/6, SNK-1/3/4/5).
 
-A snapshot is one table partitioned by ``version`` and ``split``:
-``<base>/<name>/version=<v>/split=<s>/``.  Reading a split is a partition
+A snapshot is a folder of its own, ``<base>/<name>/version=<v>/split=<s>/``, and an entry in the table's
+log of versions (``versions``) that makes it the latest.  Reading a split is a partition
 filter, so Spark prunes the other directories; ``all`` is the read without
 a split filter.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sentable.session import ensure_checkpoint_dir
+from sentable.sources import versions
 
 # Cell texts pandas' read_csv turns into missing values.
 NA_MARKERS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -72,34 +73,31 @@ def version_name(creation_time: str) -> str:
 
 def write_snapshot(df: DataFrame, base: str, name: str, creation_time: str, split_col: str = "split",
                    fmt: str = "parquet") -> None:
-    """SNK-1: the split table under a dated version (must not exist) and
-    under ``latest`` (replaced)."""
-    root = f"{base.rstrip('/')}/{name}"
-    dated = f"{root}/version={version_name(creation_time)}"
-
-    def save(table: DataFrame, path: str, mode: str) -> None:
-        w = table.write.format(fmt).partitionBy(split_col)
-        (w.options(**CSV) if fmt == "csv" else w).mode(mode).save(path)
-
-    save(df, dated, "errorifexists")
-    # the second copy is made from the first, so the split runs once
-    r = df.sparkSession.read.format(fmt).schema(df.schema)
-    save((r.options(**CSV) if fmt == "csv" else r).load(dated), f"{root}/version=latest", "overwrite")
+    """SNK-1: the split table under a dated version (must not exist), which is
+    the latest one as soon as it is whole.  Nothing that a reader may hold is overwritten."""
+    root, version = f"{base.rstrip('/')}/{name}", version_name(creation_time)
+    w = df.write.format(fmt).partitionBy(split_col)
+    (w.options(**CSV) if fmt == "csv" else w).mode("errorifexists").save(f"{root}/version={version}")
+    versions.publish(df.sparkSession, root, version)
 
 
 def read_split(spark: SparkSession, base: str, name: str, split: str | None = "train", version: str = "latest",
                schema: StructType | None = None, fmt: str = "parquet") -> DataFrame:
-    """SRC-1: one split (or all with ``split=None``) of one version."""
+    """SRC-1: one split (or all with ``split=None``) of one version.  ``latest`` is resolved here, once:
+    the table that is returned stays that version's when others are published."""
+    root = f"{base.rstrip('/')}/{name}"
+    if version == "latest":
+        version = versions.latest(spark, root)
+        if version is None:
+            raise FileNotFoundError(f"{root} has no published version")
     r = spark.read.format(fmt)
     if schema is not None and fmt == "csv":
         r = r.schema(schema)
     if fmt == "csv":
         r = r.options(**CSV).option("inferSchema", schema is None)
-    df = r.option("basePath", f"{base.rstrip('/')}/{name}").load(f"{base.rstrip('/')}/{name}")
-    df = df.filter(F.col("version").cast("string") == version)
+    df = r.load(f"{root}/version={version}")
     if split is not None:
         df = df.filter(F.col("split") == split)
-    df = df.drop("version")
     if fmt == "csv":
         df = na_markers_to_null(df)
     return df
