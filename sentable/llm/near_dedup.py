@@ -69,13 +69,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=256)
 def poisson_cdf(mean: float) -> np.ndarray:
     """P(count <= n) for n from 0 until it is 1."""
-    out, term, total, n = [], np.exp(-mean), 0.0, 0
-    while n < mean + 10 * mean ** 0.5 + 20:
-        total += term
-        out.append(total)
-        n += 1
-        term *= mean / n
-    return np.array(out)
+    n = np.arange(int(mean + 10 * mean ** 0.5 + 21))
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(n[1:]))])
+    return np.cumsum(np.exp(n * np.log(mean) - mean - log_factorial))       # in logarithms: exp(-mean) may be 0
 
 
 class Words(dict):

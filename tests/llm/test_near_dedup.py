@@ -135,3 +135,12 @@ def test_components_of_chains(spark):
 
 def test_empty(spark, tmp_path):
     assert N.NearDuplicates(stored(spark, tmp_path, [])).classes().collect() == []
+
+
+def test_counts_of_darts_have_their_law_at_any_mean():
+    for mean in (0.03, 1.0, 40.0, 700.0, 5_000.0, 200_000.0):
+        cdf = N.poisson_cdf(mean)
+        p = np.diff(cdf, prepend=0.0)
+        n = np.arange(len(p))
+        assert abs(cdf[-1] - 1) < 1e-6 and abs((n * p).sum() / mean - 1) < 1e-5
+        assert abs((p * (n - mean) ** 2).sum() / mean - 1) < 1e-4
