@@ -45,7 +45,9 @@ def epoch_batches(df: DataFrame, seed, key: Column, epoch: int, batch_size: int,
     else:
         x = df.select("*", key.alias("_key"))
         if not isinstance(x.schema["_key"].dataType, StringType):
-            x = x.withColumn("_key", F.lpad(F.col("_key").cast("decimal(38,0)") + F.lit("1" + "0" * 20).cast("decimal(38,0)"), 38, "0"))
+            # fixed width: 20 digits before the point and 12 after it
+            moved = F.col("_key").cast("decimal(32,12)") + F.lit("1" + "0" * 20).cast("decimal(33,12)")
+            x = x.withColumn("_key", F.lpad(moved.cast("string"), 34, "0"))
         x = rank_within(x.withColumn("_g", F.lit(0)), ["_g"], "_key", "idx").drop("_g", "_key")
         x = x.withColumn("_n", F.lit(df.count()))
     x = x.withColumn("batch_id", F.floor(F.col("idx") / batch_size).cast("long"))

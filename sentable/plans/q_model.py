@@ -147,6 +147,43 @@ def _eval_loss(spark, sf):
     return spark.read.parquet(path)
 
 
+def _sql_backoff():
+    from sentable.operators.backoff import LEVELS, NO_ONES
+    from sentable.plans.sqlmodel import level_ctx, text_sql
+    train, val = _split_part("train"), _split_part("val")
+    texts = ", ".join(f"{text_sql(c, B.kinds[c])} AS t_{c}" for c in B.cols)
+    parts = []
+    for j, c in enumerate(B.cols):
+        cs = ", ".join((level_ctx(B.cols, j, L, lambda cc: f"t_{cc}", B.kinds, BINS) if L <= min(j, 2) else "NULL::VARCHAR") + f" AS c{L}"
+                       for L in range(LEVELS))
+        parts.append(f"SELECT '{c}' AS col, t_{c} AS value, {cs} FROM (SELECT v.*, ee.* FROM (SELECT {texts} FROM ({val})) v, e ee) e")
+    joins = ""
+    p = "CASE WHEN g0.t IS NULL THEN 1.0 WHEN n0.n IS NULL THEN d0.d ELSE (1.0 - d0.d) * (n0.n + 1) / (g0.t + g0.k)::DOUBLE END"
+    for L in range(LEVELS):
+        joins += (f" LEFT JOIN grp g{L} ON g{L}.col = x.col AND g{L}.level = {L} AND g{L}.ctx = x.c{L}"
+                  f" LEFT JOIN cnt n{L} ON n{L}.col = x.col AND n{L}.level = {L} AND n{L}.ctx = x.c{L} AND n{L}.value = x.value"
+                  f" LEFT JOIN disc d{L} ON d{L}.col = x.col AND d{L}.level = {L}")
+        p = p if L == 0 else (
+             f"CASE WHEN g{L}.t IS NOT NULL THEN (greatest(coalesce(n{L}.n, 0) - d{L}.d, 0.0) + d{L}.d * g{L}.k * ({p})) "
+             f"/ g{L}.t::DOUBLE ELSE {p} END")
+    return (f"WITH {model_ctes(train, B.cols, B.kinds, [B.cols], BINS, edge_src=train)}, "
+            f"disc AS (SELECT col, level, CASE WHEN level = 0 THEN (n1 + 1) / (t + 2.0)::DOUBLE WHEN n1 = 0 THEN {NO_ONES!r}::DOUBLE ELSE n1 / (n1 + 2 * n2)::DOUBLE END AS d FROM "
+            f"(SELECT col, level, count(*) FILTER (n = 1) AS n1, count(*) FILTER (n = 2) AS n2, sum(n) AS t FROM cnt GROUP BY ALL)), "
+            f"grp AS (SELECT col, level, ctx, sum(n) AS t, count(*) AS k FROM cnt GROUP BY ALL), "
+            f"per AS (SELECT x.col, avg(-ln({p})) AS loss FROM ({' UNION ALL '.join(parts)}) x{joins} GROUP BY x.col) "
+            f"SELECT col AS \"column\", round(loss, 6) AS loss FROM per UNION ALL SELECT '__mean__', round(avg(loss), 6) FROM per")
+
+
+@query("eval_backoff", _sql_backoff())
+def _eval_backoff(spark, sf):
+    """GEN-9: the validation loss with interpolated back-off over all levels."""
+    from sentable.operators import backoff
+    from sentable.sources.io import materialize
+    s = materialize(split(load(spark, sf, "B"), SEED, F.col("row_key")), "split")
+    model = X.fit(s.filter("split = 'train'").select(*B.cols), B.cols, cond=COND, bins=BINS)
+    return backoff.evaluate(model, s.filter("split = 'val'").select(*B.cols))
+
+
 @query("merge_models", _COUNTS_B)
 def _merge_models(spark, sf):
     """GEN-11: fit(train) merged with fit(val ∪ test) under shared edges

@@ -133,11 +133,11 @@ def _parse_samples(spark, sf):
     """TXT-16 + SNK-4 on damaged text of ``orders``: clean, strict parse,
     domain check, then the clean table is written as CSV with a header
     (nothing is written if no row survived) and read back."""
-    from sentable.sources.io import scratch_path, write_clean
+    from sentable.sources.io import CSV, scratch_path, write_clean
     real = load(spark, sf, "B")
     out = parse_samples(noisy_lines(real, "B"), real, B.cols, B.ords)
     path = scratch_path(spark, "clean")
     if not write_clean(out, path):
         return out.limit(0)
     schema = ", ".join(f"{c} string" for c in out.columns)
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**CSV).csv(path)      # as it was written

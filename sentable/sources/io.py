@@ -54,13 +54,13 @@ def materialize(df: DataFrame, what: str, partition_by: list[str] | None = None)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    _delete_at_exit(df.sparkSession, path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    """Intermediate tables go when the driver's session ends; until then lazy
-    results may still read them."""
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """A written scratch table goes when the driver's session ends; until then lazy
+    results may still read it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 

@@ -91,3 +91,11 @@ def test_merged_bins_are_the_bins_of_a_fit(spark, small_dir, alias):
         assert rows_of(coarser(fine, b)) == rows_of(want)
     with pytest.raises(ValueError):
         coarser(fine, 3)
+
+
+def test_evaluation_batches_keep_the_order_of_fractional_and_negative_keys(spark):
+    from sentable.operators.split import epoch_batches
+    keys = [1.4, 1.2, -0.5, -1.25, 0.0, 1e-9, 12.0, 100.75, 3.0]
+    df = spark.createDataFrame([(k,) for k in keys], "k double")
+    got = epoch_batches(df, 1, F.col("k"), 0, 4, shuffle=False).orderBy("idx").collect()
+    assert [r.k for r in got] == sorted(keys) and [r.batch_id for r in got] == [0] * 4 + [1] * 4 + [2]
