@@ -88,6 +88,16 @@ class Classes(dict):
         return k
 
 
+class Packed(dict):
+    """Count and class of each broadcast token as one number; -1 - class of any other."""
+
+    def __missing__(self, t: bytes) -> int:
+        k = -1 - ending(t)
+        if len(t) <= HOT_BYTES and len(self) < 2 * REMEMBERED:
+            self[t] = k
+        return k
+
+
 def ending(t: bytes) -> int:
     """The class that a word shares: by its last two letters, whether it has signs or digits, and its length."""
     word = t.strip(b".,;:!?\"'()[]")
@@ -234,12 +244,12 @@ def fit(trigrams: DataFrame, unigram: np.ndarray) -> Model:
     return model
 
 
-def _score(hot_b, tables_b, classes_b, within_b):
+def _score(hot_b, tables_b, end: int, within_b):
     """A row a text with what the broadcast counts and the model give, and a row for each other token of it."""
     names = ["rid", "token", "n", "id", "held_out", "n_tokens", "n_known", "base", "model"]
 
     def run(batches):
-        hot, classes = hot_b.value, classes_b.value
+        hot = hot_b.value
         g1, g2, bias, log_z = tables_b.value
         within = within_b.value          # by class: log10(N + V + 1) of the shared ones
         for b in _batches(batches):
@@ -247,19 +257,22 @@ def _score(hot_b, tables_b, classes_b, within_b):
             texts = [tokens(t) for t in b.column("text").to_pylist()]
             if not texts:
                 continue
-            ids, starts = _flat(texts, classes)
-            two, one = _contexts(ids, starts, classes[END])
+            sizes = np.array([len(t) for t in texts])
+            flat = [t for ts in texts for t in ts]
+            known, starts = np.array([hot[t] for t in flat], np.int64), np.cumsum(sizes) - sizes
+            rare = known < 0
+            ids, count = np.where(rare, -1 - known, known % CLASSES), np.where(rare, -1, known // CLASSES)
+            two, one = _contexts(ids, starts, end)
             lp = (g1[two, ids] + g2[one, ids] + bias[ids] - log_z[two, one]).astype(np.float64) / np.log(10)
             model = np.add.reduceat(lp, starts)
-            count = np.array([hot.get(t, -1) for ts in texts for t in ts], np.int64)    # -1: not broadcast
             log_c = np.log10(np.maximum(count, 0) + 1)
             base = np.add.reduceat(log_c, starts)
             other = ids < ENDINGS
             model += np.add.reduceat(np.where(other, log_c, 0.0) - within[ids], starts)
             n_known = np.add.reduceat((count > 0).astype(np.int64), starts)
-            rows = [(rid, t, n) for rid, ts in zip(rids, texts) for t, n in Counter(
-                t for t in ts if t not in hot).items()]
-            rid2, token, n = zip(*rows) if rows else ((), (), ())
+            of_text = np.repeat(np.arange(len(texts)), sizes)
+            rows = Counter((of_text[i], flat[i]) for i in np.flatnonzero(rare).tolist())
+            rid2, token, n = [rids[k] for k, _ in rows], [t for _, t in rows], list(rows.values())
             docs = len(texts)
             none = [None] * len(rows)
             # a text's own row has a token with a space, which no token has, so it joins nothing
@@ -298,11 +311,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         size[r["k"]], kinds[r["k"]] = r["n"], r["v"]
     unigram = np.maximum(size, 0.5)
     within = np.where(np.arange(CLASSES) < ENDINGS, np.log10(size + kinds + 1), 0.0)
-    hot_b, classes_b, within_b = sc.broadcast(hot), sc.broadcast(classes), sc.broadcast(within)
+    hot_b = sc.broadcast(Packed({t: c * CLASSES + classes.get(t, ending(t)) for t, c in hot.items()}))
+    classes_b, within_b = sc.broadcast(classes), sc.broadcast(within)
     trigrams = (texts.where("NOT held_out").select("text").mapInArrow(_trigrams(classes_b), "key long, n long")
                 .groupBy("key").agg(F.sum("n").alias("n")))
     tables_b = sc.broadcast(fit(trigrams, unigram).tables())
-    rows = texts.mapInArrow(tidy(_score(hot_b, tables_b, classes_b, within_b)), f"rid long, token binary, n long, id {kind}, "
+    rows = texts.mapInArrow(tidy(_score(hot_b, tables_b, classes[END], within_b)), f"rid long, token binary, n long, id {kind}, "
                             "held_out boolean, n_tokens long, n_known long, base double, model double")
     rare = counts.where(~is_hot & (F.col("c") > 0)).select("token", "c")
     rows = rows.join(rare, "token", "left")
