@@ -140,17 +140,26 @@ def draw_symbols(m: PairModel, keys: DataFrame, seed, parents: list[tuple[str, s
 
 
 def numbers(m: PairModel, x: DataFrame, seed, key: str = "sid", cols: list[str] | None = None) -> DataFrame:
-    """Bins of the numeric columns become numbers by the inverse CDF; -1 becomes null."""
+    """Bins of the numeric columns become numbers by the inverse CDF; -1 becomes null.
+
+    A bin may hold thousands of nodes, so a row looks up only those of the block that its rank is in."""
     wanted = [c for c in (cols or m.cols) if c in m.edges]
     if not wanted:
         return x
     names = x.columns
-    bins = small_side(_written(Q.bin_table(m.nodes, m.edges), "quantile-bins"), BROADCAST)
+    nodes = _written(Q.bin_nodes(m.nodes, m.edges), "quantile-bins")
     for c in wanted:
-        b = bins.where(F.col("col") == c).select(F.col("bin").alias(c), "rows", "nodes")
-        u = uniform(seed, F.lit(f"inside:{c}"), F.col(key))
-        x = x.join(b, c, "left").withColumn(c, Q.draw_inside(u, F.col("rows"), F.col("nodes"), c in m.integral)).drop("rows", "nodes")
-    return x.select(*[quoted(c) for c in names])
+        own = nodes.where(F.col("col") == c).select(F.col("bin").alias("_b"), F.col("rows").alias("_rows"), F.col("size").alias("_size"),
+                                                    F.col("block").alias("_k"), F.col("node").alias("_node"))
+        sizes = small_side(own.select("_b", "_rows", "_size").distinct(), BROADCAST)
+        x = x.select("*", F.col(quoted(c)).alias("_b"), uniform(seed, F.lit(f"inside:{c}"), F.col(key)).alias("_u")).join(sizes, "_b", "left")
+        x = x.withColumn("_r", F.floor(F.col("_u") * F.col("_rows")).cast("long"))
+        x = x.withColumn("_k", F.floor(F.col("_r") / F.col("_size")).cast("long"))
+        x = x.join(small_side(own.select("_b", "_k", "_node"), BROADCAST), ["_b", "_k"], "left")
+        upto, r = F.col("_node.upto"), F.col("_r")
+        x = x.where(F.col("_node").isNull() | ((upto - F.col("_node.n") <= r) & (r < upto)))
+        x = x.select(*[(Q.draw_inside(r, F.col("_node"), c in m.integral) if d == c else F.col(quoted(d))).alias(d) for d in names])
+    return x
 
 
 def sample(m: PairModel, keys: DataFrame, seed, root: str | None = None, key: str = "sid", temperature: float = 1.0,

@@ -107,21 +107,23 @@ def bin_of(x: Column, inner: list[float]) -> Column:
     return b.otherwise(F.lit(str(len(inner))))
 
 
-def bin_table(nodes: DataFrame, inner: dict[str, list[float]]) -> DataFrame:
-    """(col, bin, rows, nodes): each bin's nodes in order, with the rows up to each one's end."""
+def bin_nodes(nodes: DataFrame, inner: dict[str, list[float]]) -> DataFrame:
+    """(col, bin, rows, size, block, node): each bin's nodes in order, with the rows up to each one's end,
+    under every block of ``size`` rows that they meet.  Blocks hold as many rows as a node does on average, so a
+    row of the bin meets fewer than two nodes in its block."""
     cuts = F.create_map(*[F.lit(y) for c, e in inner.items() for y in (c, ",".join(map(repr, e)))])[F.col("col")]
     b = F.size(F.filter(F.transform(F.split(cuts, ","), lambda e: e.try_cast("double")), lambda e: e <= F.col("lo")))
-    w = Window.partitionBy("col", "bin").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
     n = nodes.select("col", "lo", "hi", "n", b.cast("string").alias("bin"))
-    n = n.withColumn("upto", F.sum("n").over(w))
-    return n.groupBy("col", "bin").agg(F.sum("n").alias("rows"), F.array_sort(
-        F.collect_list(F.struct("upto", "lo", "hi", "n"))).alias("nodes"))
+    whole = Window.partitionBy("col", "bin")
+    n = n.select("*", F.sum("n").over(whole.orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+                 F.sum("n").over(whole).alias("rows"), F.ceil(F.avg("n").over(whole)).cast("long").alias("size"))
+    first, last = F.floor((F.col("upto") - F.col("n")) / F.col("size")), F.floor((F.col("upto") - 1) / F.col("size"))
+    return n.select("col", "bin", "rows", "size", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("block"),
+                    F.struct("upto", "lo", "hi", "n").alias("node"))
 
 
-def draw_inside(u: Column, rows: Column, nodes: Column, integral: bool) -> Column:
-    """The value at share ``u`` of a bin's rows: a node by its count, and in it a place by linear interpolation."""
-    r = F.floor(u * rows).cast("long")
-    node = F.get(F.filter(nodes, lambda n: n["upto"] > r), 0)
+def draw_inside(r: Column, node: Column, integral: bool) -> Column:
+    """The value of row ``r`` of a bin, which is one of ``node``'s: a place in it by linear interpolation."""
     t = (r - node["upto"] + node["n"]) / node["n"]
     if integral:
         return node["lo"] + F.floor((node["hi"] - node["lo"] + 1.0) * t)

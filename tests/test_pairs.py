@@ -225,3 +225,32 @@ def test_one_column_and_empty_tables(spark, small_dir, cols):
     assert P.tree(m) == [(cols[0], None)] and P.sample(m, keyed(spark, 20), 1).count() == 20
     none = P.fit(df.limit(0), cols)
     assert none.singles.count() == 0 and P.sample(none, keyed(spark, 0), 1).count() == 0
+
+
+def test_numbers_look_up_the_nodes_of_one_block(spark):
+    """A row meets a few nodes of its bin, by a join, and gets the value of the one its rank is in."""
+    rng = random.Random(12)
+    xs = [rng.choice([rng.uniform(0, 1e6), rng.gauss(5e5, 10), 7.0]) for _ in range(30_000)]
+    m = P.fit(spark.createDataFrame([(x,) for x in xs], "n double"), bins=4)
+    table = Q.bin_nodes(m.nodes, m.edges)
+    listed, nodes = table.count(), m.nodes.count()
+    assert nodes > 500 and listed < 2 * nodes + 4
+    drawn = spark.range(3000).select(F.col("id").cast("string").alias("sid"), F.element_at(
+        F.array(*[F.lit(b) for b in ("0", "1", "2", "3", "-1", "9")]), (F.col("id") % 6 + 1).cast("int")).alias("n"))
+    x = P.numbers(m, drawn, 5)
+    assert "nodes" not in x._jdf.queryExecution().optimizedPlan().toString()      # no row carries all nodes of its bin
+    cells = defaultdict(list)
+    for r in m.nodes.collect():
+        cells[sum(e <= r.lo for e in m.edges["n"])].append((r.lo, r.hi, r.n))
+    u = {r.sid: r.u for r in drawn.select("sid", P.uniform(5, F.lit("inside:n"), F.col("sid")).alias("u")).collect()}
+    got = {r.sid: r.n for r in x.collect()}
+    assert len(got) == 3000
+    for r in drawn.collect():
+        want, at = None, sorted(cells.get(int(r.n), []))
+        rank = math.floor(u[r.sid] * sum(k for _, _, k in at))
+        for lo, hi, k in at:
+            if rank < k:
+                want = lo + (hi - lo) * (rank / k)
+                break
+            rank -= k
+        assert got[r.sid] == want
