@@ -123,19 +123,34 @@ def fit(df: DataFrame, cols: list[str] | None = None, cond: str | None = None, b
     else:
         orders = generation_orders(cols, cond, seed, k)
     model = ExpertModel(list(cols), orders, edges if edges is not None else numeric_edges(df, cols), bins, None, cond)
-    text = {c: cell_text(df, c) for c in cols}
-    items = []
+    tables = context_tables(orders, pairs)
+    place = {c: i for i, c in enumerate(cols)}
+    # texts and context values are worked out once a row, and a table that several orders share is counted once
+    x = df.select(*[cell_text(df, c).alias(f"t{i}") for i, c in enumerate(cols)])
+    x = x.select(*[f"t{i}" for i in range(len(cols))],
+                 *[ctx_value(model.numeric, bins, c, F.col(f"t{i}")).alias(f"x{i}") for i, c in enumerate(cols)])
+    items = [F.struct(F.lit(i).alias("_i"), F.concat_ws(SEP, *[F.col(f"x{place[g]}") for g in given]).alias("ctx"),
+                      F.col(f"t{place[c]}").alias("value")) for i, (c, given) in enumerate(tables)]
+    places = F.array(*[F.array(*[F.struct(F.lit(oid).cast("long").alias("order_id"), F.lit(c).alias("col"),
+                                          F.lit(level).cast("long").alias("level")) for oid, level in where])
+                       for (c, _), where in tables.items()])
+    counted = x.select(F.inline(F.array(*items))).groupBy("_i", "ctx", "value").agg(F.count(F.lit(1)).alias("n"))
+    model.counts = counted.select("ctx", "value", "n", F.inline(F.get(places, F.col("_i")))).select(*GROUP, "value", "n")
+    return model
+
+
+def context_tables(orders: list[list[str]], pairs=()) -> dict[tuple[str, tuple[str, ...]], list[tuple[int, int]]]:
+    """The different tables of a fit, (column, columns of its context), and the (order, level)s that each one serves."""
+    out: dict = {}
     for oid, o in enumerate(orders):
         for j, c in enumerate(o):
-            levels = list(range(0, min(j, 2) + 1)) + [NEXT_LEVEL + d for d, g in enumerate(o[j + 1:])
-                                                      if d == 0 or (c, g) in pairs]
-            for level in levels:
-                items.append(F.struct(F.lit(oid).cast("long").alias("order_id"), F.lit(c).alias("col"),
-                                      F.lit(level).cast("long").alias("level"),
-                                      _ctx(model, o, j, level, text).alias("ctx"), text[c].alias("value")))
-    model.counts = (df.select(F.inline(F.array(*items)))
-                      .groupBy(*GROUP, "value").agg(F.count(F.lit(1)).alias("n")))
-    return model
+            given = {0: (), 1: (o[j - 1],), 2: (o[0], o[j - 1])}
+            for level in range(0, min(j, 2) + 1):
+                out.setdefault((c, given[level]), []).append((oid, level))
+            for d, g in enumerate(o[j + 1:]):
+                if d == 0 or (c, g) in pairs:
+                    out.setdefault((c, (g,)), []).append((oid, NEXT_LEVEL + d))
+    return out
 
 
 def needed_pairs(df: DataFrame, cols: list[str]) -> list[tuple[str, str]]:
@@ -189,17 +204,32 @@ class DrawTables:
     broadcast_groups: dict[str, bool]
     broadcast_entries: dict[str, bool]
     level0: dict = field(default_factory=dict)   # (order_id, col) -> (total, blk)
+    place: dict = field(default_factory=dict)    # (order_id, col, level) -> the (order_id, level) that stands for it
 
 
-def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows: int = 100_000) -> DrawTables:
+def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows: int = 100_000,
+                completion: bool = True) -> DrawTables:
     """Interval tables for the draw, written once as Parquet to the shared
     checkpoint folder (a reliable lineage cut).  Entries are partitioned by
     column, so each column's draw reads only its own directory.  Whether a
     column's side is broadcast is decided from exact per-column row counts and
-    bytes (one small aggregate); larger sides use a shuffle join."""
+    bytes (one small aggregate); larger sides use a shuffle join.
+
+    Orders that draw a column given the same columns share the table of the first of them.  Without
+    ``completion``, tables given a later column are left out: only completing a row looks there."""
     from sentable.sources.io import materialize
+    counts = model.counts if completion else model.counts.filter(F.col("level") < NEXT_LEVEL)
+    place = {}
+    if len(model.orders) > 1:
+        for (c, _), where in context_tables(model.orders).items():
+            where = [w for w in where if completion or w[1] < NEXT_LEVEL]
+            place.update({(oid, c, level): where[0] for oid, level in where})
+        twice = [F.struct(F.lit(oid).cast("long").alias("order_id"), F.lit(c).alias("col"), F.lit(level).cast("long").alias("level"))
+                 for (oid, c, level), first in place.items() if (oid, level) != first]
+        if twice:
+            counts = counts.filter(~F.struct("order_id", "col", "level").isin(*twice))
     # one table holds the entries under their blocks and, with each, its group's total and block size
-    iv = intervals(weighted(model.counts, temperature), GROUP).withColumn("_blk", block_size())
+    iv = intervals(weighted(counts, temperature), GROUP).withColumn("_blk", block_size())
     first = F.floor(F.col("lo") / F.col("_blk")).cast("long")
     iv = iv.withColumn("_k", F.explode(F.sequence(first, F.floor((F.col("hi") - 1) / F.col("_blk")).cast("long"))))
     iv = materialize(iv.select(*GROUP, "_k", "lo", "hi", F.col("value").alias("_val"), F.col("total").alias("_t"), "_blk"),
@@ -223,46 +253,48 @@ def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows
         if r["_t0"] is not None:
             lvl0[(r["order_id"], r["col"])] = (r["_t0"], r["_b0"])
     fits = lambda sizes, c: all(x <= most for x, most in zip(sizes.get(c, (0, 0)), (max_broadcast_rows, MAX_BYTES)))
-    return DrawTables(groups, entries, {c: fits(ng, c) for c in model.cols}, {c: fits(ne, c) for c in model.cols}, lvl0)
+    return DrawTables(groups, entries, {c: fits(ng, c) for c in model.cols}, {c: fits(ne, c) for c in model.cols}, lvl0, place)
 
 
 def _side(df: DataFrame, b: bool) -> DataFrame:
     return F.broadcast(df) if b else df
 
 
-def draw_column(x: DataFrame, tables: DrawTables, oid: int | Column, col: str, ctx_by_level: dict[int, Column],
+def draw_column(x: DataFrame, tables: DrawTables, oid: int, col: str, ctx_by_level: dict[int, Column],
                 u: Column, out: str) -> DataFrame:
     """Draw ``col`` for every row of ``x`` at the highest level whose context
     was seen in training (back-off: one left lookup per level on the small
     group table), then one block join for the interval.  Few DataFrame
     operations per column keep plan analysis cheap on long chains."""
     levels = sorted(ctx_by_level, reverse=True)
-    oidc = oid if isinstance(oid, Column) else F.lit(oid).cast("long")
+    at = {L: tables.place.get((oid, col, L), (oid, L)) for L in levels}
     base = x.columns
-    x = x.select("*", oidc.alias("_oid"), u.alias("_u"), *[ctx_by_level[L].alias(f"_c{L}") for L in levels])
+    x = x.select("*", u.alias("_u"), *[ctx_by_level[L].alias(f"_c{L}") for L in levels])
     g = tables.groups.filter(F.col("col") == col)
     for L in levels:
-        if L == 0 and isinstance(oid, int):
-            t0, b0 = tables.level0.get((oid, col), (None, None))
+        if L == 0:
+            t0, b0 = tables.level0.get((at[L][0], col), (None, None))
             x = x.withColumns({"_t0": F.lit(t0).cast("long"), "_b0": F.lit(b0).cast("long")})
             continue
-        gl = g.filter(F.col("level") == L).select(F.col("order_id").alias("_oid"), F.col("ctx").alias(f"_c{L}"),
-                                                  F.col("_t").alias(f"_t{L}"), F.col("_blk").alias(f"_b{L}"))
-        x = x.join(_side(gl, tables.broadcast_groups[col]), ["_oid", f"_c{L}"], "left")
+        gl = g.filter((F.col("order_id") == at[L][0]) & (F.col("level") == at[L][1])).select(
+            F.col("ctx").alias(f"_c{L}"), F.col("_t").alias(f"_t{L}"), F.col("_blk").alias(f"_b{L}"))
+        x = x.join(_side(gl, tables.broadcast_groups[col]), f"_c{L}", "left")
 
-    def pick(prefix, fallback):
-        e = fallback
+    def pick(value, kind):
+        e = F.lit(None).cast(kind)
         for L in sorted(levels):          # lowest first, so higher levels win
-            e = F.when(F.col(f"_t{L}").isNotNull(), F.col(f"{prefix}{L}") if prefix else F.lit(L).cast("long")).otherwise(e)
+            e = F.when(F.col(f"_t{L}").isNotNull(), value(L)).otherwise(e)
         return e
-    t = pick("_t", F.lit(None).cast("long"))
-    blk = pick("_b", F.lit(None).cast("long"))
+    t, blk = (pick(lambda L, p=p: F.col(f"{p}{L}"), "long") for p in ("_t", "_b"))
     r = F.floor(F.col("_u") * t).cast("long")
-    x = x.select(*base, "_oid", pick("", F.lit(None).cast("long")).alias("_lvl"),
-                 pick("_c", F.lit(None).cast("string")).alias("_ctx"), r.alias("_r"),
+    x = x.select(*base, pick(lambda L: F.lit(at[L][0]), "long").alias("_oid"), pick(lambda L: F.lit(at[L][1]), "long").alias("_lvl"),
+                 pick(lambda L: F.col(f"_c{L}"), "string").alias("_ctx"), r.alias("_r"),
                  F.floor(r / blk).cast("long").alias("_k"))
-    e = tables.entries.filter(F.col("col") == col).select(
-        F.col("order_id").alias("_oid"), F.col("level").alias("_lvl"), F.col("ctx").alias("_ctx"), "_k", "lo", "hi", "_val")
+    e = tables.entries.filter(F.col("col") == col)
+    if len({at[L] for L in levels}) < len(tables.place):
+        e = e.filter(F.struct("order_id", "level").isin(*[F.struct(F.lit(o).cast("long").alias("order_id"), F.lit(L).cast("long").alias("level"))
+                                                          for o, L in sorted(set(at.values()))]))
+    e = e.select(F.col("order_id").alias("_oid"), F.col("level").alias("_lvl"), F.col("ctx").alias("_ctx"), "_k", "lo", "hi", "_val")
     m = x.join(_side(e, tables.broadcast_entries[col]), ["_oid", "_lvl", "_ctx", "_k"], "left")
     m = m.filter(F.col("lo").isNull() | ((F.col("lo") <= F.col("_r")) & (F.col("_r") < F.col("hi"))))
     return m.select(*base, F.col("_val").alias(out))
@@ -277,7 +309,7 @@ def sample(model: ExpertModel, keys: DataFrame, seed, key: str = "sid", temperat
     are drawn in the model's order.  With several orders (random mode),
     ``order_of`` picks each row's order id and one sub-plan per order is
     unioned.  Lineage is cut with a reliable checkpoint every few columns."""
-    tables = tables or draw_tables(model, temperature)
+    tables = tables or draw_tables(model, temperature, completion=False)
     given = given or {}
     if order_of is not None and len(model.orders) > 1:
         # every order's sub-plan filters the same keys: derive them once

@@ -78,3 +78,39 @@ def test_prompts_keep_given_values(spark, small_dir):
     got = {r.sid: r for r in X.sample_from_prompts(m, p, 3).collect()}
     assert got["s1"].c_mktsegment == "BUILDING" and got["s1"].c_nationkey is not None
     assert got["s2"].c_nationkey == "999" and got["s2"].c_acctbal is not None  # unseen context backs off
+
+
+def test_orders_with_the_same_context_share_a_table(spark):
+    """Counts of every order are those of plain counting; draws look at one table of each (column, context)."""
+    from collections import Counter
+    rows = [("p" if i % 3 else None, "q" * (i % 4), "rs"[i % 2], str(i % 5)) for i in range(60)]
+    cols = ["a", "b", "c", "d"]
+    m = X.fit(spark.createDataFrame(rows, cols), cols, cond="d", order="random", pairs=[("d", c) for c in cols[:3]])
+    want, tables = Counter(), set()
+    for oid, o in enumerate(m.orders):
+        for j, c in enumerate(o):
+            given = [[], o[j - 1:j], [o[0], o[j - 1]]][:min(j, 2) + 1]
+            tables |= {(c, tuple(g)) for g in given}
+            later = {X.NEXT_LEVEL + d: [g] for d, g in enumerate(o[j + 1:]) if d == 0 or c == "d"}
+            for r in rows:
+                cell = {k: v if v is not None else X.FILL_TEXT for k, v in zip(cols, r)}
+                for level, g in [*enumerate(given), *later.items()]:
+                    want[oid, c, level, X.SEP.join(cell[k] for k in g), cell[c]] += 1
+    assert {tuple(r)[:5]: r.n for r in m.counts.collect()} == want
+    t = X.draw_tables(m, completion=False)
+    assert len(t.groups.select("order_id", "col", "level").distinct().collect()) == len(tables)
+    keys = spark.range(200).select(F.col("id").cast("string").alias("sid"))
+    got = X.sample(m, keys, 3, order_of=F.pmod(F.col("sid").cast("int"), F.lit(4)))
+    apart = X.sample(m, keys, 3, order_of=F.pmod(F.col("sid").cast("int"), F.lit(4)), tables=X.draw_tables(m))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apart.collect())) and got.count() == 200
+
+
+def test_rows_of_a_task_are_bounded(spark, tmp_path):
+    """A file of one split is cut by its rows, so what a task of the fit holds does not grow with the table."""
+    from sentable.sources.io import spread
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cut = spread(df, 2, rows_per_task=100)
+    sizes = [r["count"] for r in cut.groupBy(F.spark_partition_id()).count().collect()]
+    assert cut.rdd.getNumPartitions() == 10 and max(sizes) <= 110 and sum(sizes) == 1000
+    assert spread(df, 2).rdd.getNumPartitions() == 2
