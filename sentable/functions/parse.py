@@ -45,7 +45,11 @@ def strict_field(line: Column, c: str, terminated: bool = False, value_spaces: b
     ``value_spaces`` takes names and values with spaces."""
     if " " in c and not value_spaces:
         return F.lit(None).cast("string")
-    return F.get(F.regexp_extract_all(line, F.lit(sentence_pattern(c, terminated, value_spaces)), 2), 0)
+    pattern = F.lit(sentence_pattern(c, terminated, value_spaces))
+    if value_spaces:
+        return F.get(F.regexp_extract_all(line, pattern, 2), 0)
+    # the search ends with the first sentence (three words, so what follows its last space is the value)
+    return F.substring_index(F.regexp_substr(line, pattern), " ", -1)
 
 
 def with_strict_fields(df: DataFrame, line: str, cols: list[str], keep: list[str], terminated: bool = False,

@@ -18,6 +18,7 @@ level whose context exists, backing off to lower levels otherwise.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,16 +78,18 @@ def ctx_value(model_numeric: dict, bins: int, c: str, text: Column) -> Column:
 
 
 def _ctx(model, order, j, level, get: dict[str, Column]) -> Column:
+    """The context of the j-th column at a level, from the texts of the others."""
+    return _given(order, j, level, {c: ctx_value(model.numeric, model.bins, c, v) for c, v in get.items()})
+
+
+def _given(order, j, level, value: dict[str, Column]) -> Column:
+    """The same from their context values."""
     if level == 0:
         return F.lit("")
     if level >= NEXT_LEVEL:
-        later = order[j + 1 + level - NEXT_LEVEL]
-        return ctx_value(model.numeric, model.bins, later, get[later])
-    prev = ctx_value(model.numeric, model.bins, order[j - 1], get[order[j - 1]])
-    if level == 1:
-        return prev
-    anc = ctx_value(model.numeric, model.bins, order[0], get[order[0]])
-    return F.concat(anc, F.lit(SEP), prev)
+        return value[order[j + 1 + level - NEXT_LEVEL]]
+    prev = value[order[j - 1]]
+    return prev if level == 1 else F.concat(value[order[0]], F.lit(SEP), prev)
 
 
 # --------------------------------------------------------------------- fit
@@ -261,11 +264,12 @@ def _side(df: DataFrame, b: bool) -> DataFrame:
 
 
 def draw_column(x: DataFrame, tables: DrawTables, oid: int, col: str, ctx_by_level: dict[int, Column],
-                u: Column, out: str) -> DataFrame:
+                u: Column, out: str, ctx_of: tuple[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Draw ``col`` for every row of ``x`` at the highest level whose context
     was seen in training (back-off: one left lookup per level on the small
     group table), then one block join for the interval.  Few DataFrame
-    operations per column keep plan analysis cheap on long chains."""
+    operations per column keep plan analysis cheap on long chains.  ``ctx_of`` names a further
+    column, a function of the drawn text, which is worked out in the table of entries and not for each row."""
     levels = sorted(ctx_by_level, reverse=True)
     at = {L: tables.place.get((oid, col, L), (oid, L)) for L in levels}
     base = x.columns
@@ -294,10 +298,11 @@ def draw_column(x: DataFrame, tables: DrawTables, oid: int, col: str, ctx_by_lev
     if len({at[L] for L in levels}) < len(tables.place):
         e = e.filter(F.struct("order_id", "level").isin(*[F.struct(F.lit(o).cast("long").alias("order_id"), F.lit(L).cast("long").alias("level"))
                                                           for o, L in sorted(set(at.values()))]))
-    e = e.select(F.col("order_id").alias("_oid"), F.col("level").alias("_lvl"), F.col("ctx").alias("_ctx"), "_k", "lo", "hi", "_val")
+    e = e.select(F.col("order_id").alias("_oid"), F.col("level").alias("_lvl"), F.col("ctx").alias("_ctx"), "_k", "lo", "hi", "_val",
+                 *([ctx_of[1](F.col("_val")).alias(ctx_of[0])] if ctx_of else []))
     m = x.join(_side(e, tables.broadcast_entries[col]), ["_oid", "_lvl", "_ctx", "_k"], "left")
     m = m.filter(F.col("lo").isNull() | ((F.col("lo") <= F.col("_r")) & (F.col("_r") < F.col("hi"))))
-    return m.select(*base, F.col("_val").alias(out))
+    return m.select(*base, F.col("_val").alias(out), *([ctx_of[0]] if ctx_of else []))
 
 
 def sample(model: ExpertModel, keys: DataFrame, seed, key: str = "sid", temperature: float = 1.0,
@@ -319,15 +324,18 @@ def sample(model: ExpertModel, keys: DataFrame, seed, key: str = "sid", temperat
     parts = []
     for oid, o in enumerate(model.orders):
         x = keys if order_of is None or len(model.orders) == 1 else keys.filter(order_of == oid)
+        bin_of = {c: (f"_x{k}", lambda v, c=c: ctx_value(model.numeric, model.bins, c, v)) for k, c in enumerate(o) if c in model.numeric}
         for c, v in given.items():
             x = x.withColumn(c, v)
+            if c in bin_of:
+                x = x.withColumn(bin_of[c][0], bin_of[c][1](F.col(quoted(c))))
         for j, c in enumerate(o):
             if c in given:
                 continue
-            get = {cc: F.col(cc) for cc in o[:j]}
-            levels = {L: _ctx(model, o, j, L, get) for L in range(0, min(j, 2) + 1)}
+            value = {cc: F.col(quoted(bin_of[cc][0] if cc in bin_of else cc)) for cc in o[:j]}
+            levels = {L: _given(o, j, L, value) for L in range(0, min(j, 2) + 1)}
             u = uniform(seed, F.lit(f"draw:{attempt}:{oid}:{c}"), F.col(key))
-            x = draw_column(x, tables, oid, c, levels, u, c)
+            x = draw_column(x, tables, oid, c, levels, u, c, bin_of.get(c))
             if checkpoint_every and (j + 1) % checkpoint_every == 0 and j + 1 < len(o):
                 from sentable.sources.io import materialize
                 x = materialize(x, "sample-part")
