@@ -375,16 +375,19 @@ def evaluate(model: ExpertModel, val: DataFrame, key: str = "row_key", oid: int
     one row of it however many rows have it."""
     from sentable.sources.io import materialize
     o = model.orders[oid]
-    text = {c: cell_text(val, c) for c in o}
+    text = val.select(*[cell_text(val, c).alias(f"t{j}") for j, c in enumerate(o)])
+    text = text.select("*", *[ctx_value(model.numeric, model.bins, c, F.col(f"t{j}")).alias(f"x{j}") for j, c in enumerate(o)])
+    value = {c: F.col(f"x{j}") for j, c in enumerate(o)}
     items = []
     for j, c in enumerate(o):
-        items.append(F.struct(F.lit(c).alias("col"), text[c].alias("value"),
-                              *[(_ctx(model, o, j, L, text) if L <= min(j, 2) else F.lit(NO_LEVEL)).alias(f"c{L}")
+        items.append(F.struct(F.lit(c).alias("col"), F.col(f"t{j}").alias("value"),
+                              *[(_given(o, j, L, value) if L <= min(j, 2) else F.lit(NO_LEVEL)).alias(f"c{L}")
                                 for L in range(3)]))
-    cells = val.select(F.inline(F.array(*items))).groupBy("col", "value", "c0", "c1", "c2").agg(F.count(F.lit(1)).alias("w"))
-    cnt = materialize(model.counts.filter(F.col("order_id") == oid), "eval-counts")     # read for every level
-    tot = cnt.groupBy("col", "level", "ctx").agg(F.sum("n").alias("tot"))
-    vocab = cnt.filter(F.col("level") == 0).groupBy("col").agg((F.count(F.lit(1)) + 1).alias("V"))
+    cells = text.select(F.inline(F.array(*items))).groupBy("col", "value", "c0", "c1", "c2").agg(F.count(F.lit(1)).alias("w"))
+    # only levels that an evaluation reads; the totals are read for every level, the counts once more
+    cnt = materialize(model.counts.filter((F.col("order_id") == oid) & (F.col("level") < NEXT_LEVEL)), "eval-counts")
+    tot = materialize(cnt.groupBy("col", "level", "ctx").agg(F.sum("n").alias("tot"), F.count(F.lit(1)).alias("k")), "eval-totals")
+    vocab = tot.filter(F.col("level") == 0).select("col", (F.col("k") + 1).alias("V"))
     for L in range(3):
         t = tot.filter(F.col("level") == L).select("col", F.col("ctx").alias(f"c{L}"), F.col("tot").alias(f"t{L}"))
         # level 0 has one row per column; deeper levels (a few bins or values a context)

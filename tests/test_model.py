@@ -114,3 +114,16 @@ def test_rows_of_a_task_are_bounded(spark, tmp_path):
     sizes = [r["count"] for r in cut.groupBy(F.spark_partition_id()).count().collect()]
     assert cut.rdd.getNumPartitions() == 10 and max(sizes) <= 110 and sum(sizes) == 1000
     assert spread(df, 2).rdd.getNumPartitions() == 2
+
+
+def test_evaluation_reads_only_its_levels_and_totals_once(spark, monkeypatch):
+    from sentable.sources import io
+    rows = [("pq"[i % 2], "abc"[i % 3], float(i % 4)) for i in range(48)]
+    df = spark.createDataFrame(rows, "g string, h string, v double")
+    m = X.fit(df, ["g", "h", "v"], bins=2)
+    written, plain = {}, io.materialize
+    monkeypatch.setattr(io, "materialize", lambda d, what, *a: written.setdefault(what, plain(d, what, *a)))
+    got = {r["column"]: r["loss"] for r in X.evaluate(m, df).collect()}
+    assert {r.level for r in written["eval-counts"].select("level").distinct().collect()} == {0, 1, 2}
+    assert written["eval-totals"].count() == written["eval-counts"].select("col", "level", "ctx").distinct().count()
+    assert got["g"] == round(-math.log(25 / 51), 6) and got["h"] == round(-math.log(9 / 28), 6)
