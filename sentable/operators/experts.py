@@ -231,6 +231,8 @@ def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows
                  for (oid, c, level), first in place.items() if (oid, level) != first]
         if twice:
             counts = counts.filter(~F.struct("order_id", "col", "level").isin(*twice))
+    if temperature != 1:
+        counts = materialize(counts, "untempered")     # read twice by the weights: the fit runs once
     # one table holds the entries under their blocks and, with each, its group's total and block size
     iv = intervals(weighted(counts, temperature), GROUP).withColumn("_blk", block_size())
     first = F.floor(F.col("lo") / F.col("_blk")).cast("long")

@@ -127,3 +127,12 @@ def test_evaluation_reads_only_its_levels_and_totals_once(spark, monkeypatch):
     assert {r.level for r in written["eval-counts"].select("level").distinct().collect()} == {0, 1, 2}
     assert written["eval-totals"].count() == written["eval-counts"].select("col", "level", "ctx").distinct().count()
     assert got["g"] == round(-math.log(25 / 51), 6) and got["h"] == round(-math.log(9 / 28), 6)
+
+
+def test_tempered_weights_scan_the_rows_once(spark):
+    df = spark.createDataFrame([("pq"[i % 2], "abc"[i % 3]) for i in range(48)], "g string, h string")
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame(df.rdd.map(lambda r: (seen.add(1), r)[1]), df.schema)
+    m = X.fit(rows, ["g", "h"], edges={})
+    t = X.draw_tables(m, 0.5)
+    assert seen.value == 48 and t.entries.count() >= 5
