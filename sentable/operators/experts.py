@@ -48,6 +48,8 @@ class ExpertModel:
     counts: DataFrame
     cond: str | None = None
     meta: dict = field(default_factory=dict)
+    # of a fit: its counts, and the same for the (order_id, col, level)s alone that a condition picks
+    lazy: tuple[DataFrame, Callable[[Callable[[int, str, int], bool]], DataFrame]] | None = None
 
     def attrs(self) -> dict:
         return {"cols": self.cols, "orders": self.orders, "bins": self.bins, "cond": self.cond,
@@ -132,13 +134,22 @@ def fit(df: DataFrame, cols: list[str] | None = None, cond: str | None = None, b
     x = df.select(*[cell_text(df, c).alias(f"t{i}") for i, c in enumerate(cols)])
     x = x.select(*[f"t{i}" for i in range(len(cols))],
                  *[ctx_value(model.numeric, bins, c, F.col(f"t{i}")).alias(f"x{i}") for i, c in enumerate(cols)])
-    items = [F.struct(F.lit(i).alias("_i"), F.concat_ws(SEP, *[F.col(f"x{place[g]}") for g in given]).alias("ctx"),
-                      F.col(f"t{place[c]}").alias("value")) for i, (c, given) in enumerate(tables)]
-    places = F.array(*[F.array(*[F.struct(F.lit(oid).cast("long").alias("order_id"), F.lit(c).alias("col"),
-                                          F.lit(level).cast("long").alias("level")) for oid, level in where])
-                       for (c, _), where in tables.items()])
-    counted = x.select(F.inline(F.array(*items))).groupBy("_i", "ctx", "value").agg(F.count(F.lit(1)).alias("n"))
-    model.counts = counted.select("ctx", "value", "n", F.inline(F.get(places, F.col("_i")))).select(*GROUP, "value", "n")
+
+    def count(wanted: Callable[[int, str, int], bool]) -> DataFrame:
+        kept = {(c, given): picked for (c, given), where in tables.items()
+                if (picked := [(oid, level) for oid, level in where if wanted(oid, c, level)])}
+        if not kept:
+            return model.counts.limit(0)
+        items = [F.struct(F.lit(i).alias("_i"), F.concat_ws(SEP, *[F.col(f"x{place[g]}") for g in given]).alias("ctx"),
+                          F.col(f"t{place[c]}").alias("value")) for i, (c, given) in enumerate(kept)]
+        places = F.array(*[F.array(*[F.struct(F.lit(oid).cast("long").alias("order_id"), F.lit(c).alias("col"),
+                                              F.lit(level).cast("long").alias("level")) for oid, level in where])
+                           for (c, _), where in kept.items()])
+        counted = x.select(F.inline(F.array(*items))).groupBy("_i", "ctx", "value").agg(F.count(F.lit(1)).alias("n"))
+        return counted.select("ctx", "value", "n", F.inline(F.get(places, F.col("_i")))).select(*GROUP, "value", "n")
+
+    model.counts = count(lambda *_: True)
+    model.lazy = (model.counts, count)
     return model
 
 
@@ -211,7 +222,7 @@ class DrawTables:
 
 
 def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows: int = 100_000,
-                completion: bool = True) -> DrawTables:
+                completion: bool = True, drawn: list[str] | None = None) -> DrawTables:
     """Interval tables for the draw, written once as Parquet to the shared
     checkpoint folder (a reliable lineage cut).  Entries are partitioned by
     column, so each column's draw reads only its own directory.  Whether a
@@ -219,20 +230,30 @@ def draw_tables(model: ExpertModel, temperature: float = 1.0, max_broadcast_rows
     bytes (one small aggregate); larger sides use a shuffle join.
 
     Orders that draw a column given the same columns share the table of the first of them.  Without
-    ``completion``, tables given a later column are left out: only completing a row looks there."""
+    ``completion``, tables given a later column are left out: only completing a row looks there.
+    ``drawn`` names the columns that are drawn, if not all are.  What is left out is not counted either, as far as the
+    model's counts are still those of a fit; they are written once, for the weights and the sizes of groups read them."""
     from sentable.sources.io import materialize
-    counts = model.counts if completion else model.counts.filter(F.col("level") < NEXT_LEVEL)
+    drawn = model.cols if drawn is None else drawn
     place = {}
     if len(model.orders) > 1:
         for (c, _), where in context_tables(model.orders).items():
             where = [w for w in where if completion or w[1] < NEXT_LEVEL]
             place.update({(oid, c, level): where[0] for oid, level in where})
+
+    def wanted(oid, c, level):
+        return c in drawn and (completion or level < NEXT_LEVEL) and place.get((oid, c, level), (oid, level)) == (oid, level)
+    if model.lazy and model.lazy[0] is model.counts:
+        counts = model.lazy[1](wanted)
+    else:
+        counts = model.counts if completion else model.counts.filter(F.col("level") < NEXT_LEVEL)
+        if set(drawn) != set(model.cols):
+            counts = counts.filter(F.col("col").isin(list(drawn)))
         twice = [F.struct(F.lit(oid).cast("long").alias("order_id"), F.lit(c).alias("col"), F.lit(level).cast("long").alias("level"))
                  for (oid, c, level), first in place.items() if (oid, level) != first]
         if twice:
             counts = counts.filter(~F.struct("order_id", "col", "level").isin(*twice))
-    if temperature != 1:
-        counts = materialize(counts, "untempered")     # read twice by the weights: the fit runs once
+    counts = materialize(counts, "counts")
     # one table holds the entries under their blocks and, with each, its group's total and block size
     iv = intervals(weighted(counts, temperature), GROUP).withColumn("_blk", block_size())
     first = F.floor(F.col("lo") / F.col("_blk")).cast("long")
@@ -293,16 +314,27 @@ def draw_column(x: DataFrame, tables: DrawTables, oid: int, col: str, ctx_by_lev
         return e
     t, blk = (pick(lambda L, p=p: F.col(f"{p}{L}"), "long") for p in ("_t", "_b"))
     r = F.floor(F.col("_u") * t).cast("long")
-    x = x.select(*base, pick(lambda L: F.lit(at[L][0]), "long").alias("_oid"), pick(lambda L: F.lit(at[L][1]), "long").alias("_lvl"),
-                 pick(lambda L: F.col(f"_c{L}"), "string").alias("_ctx"), r.alias("_r"),
-                 F.floor(r / blk).cast("long").alias("_k"))
+    # what all rows share (one order, or one level with its one context) is a filter of the entries and no key.  The block
+    # comes first: a sort by it rarely has to compare the other keys, which few values share
+    oids = sorted({o for o, _ in at.values()})
+    keys = {"_k": F.floor(r / blk).cast("long")}
+    if levels != [0]:
+        keys |= {"_ctx": pick(lambda L: F.col(f"_c{L}"), "string"), "_lvl": pick(lambda L: F.lit(at[L][1]), "long")}
+    if len(oids) > 1:
+        keys["_oid"] = pick(lambda L: F.lit(at[L][0]), "long")
+    x = x.select(*base, r.alias("_r"), *[v.alias(k) for k, v in keys.items()])
     e = tables.entries.filter(F.col("col") == col)
+    if len(oids) == 1:
+        e = e.filter(F.col("order_id") == oids[0])
+    if levels == [0]:
+        e = e.filter(F.col("level") == at[0][1])
     if len({at[L] for L in levels}) < len(tables.place):
         e = e.filter(F.struct("order_id", "level").isin(*[F.struct(F.lit(o).cast("long").alias("order_id"), F.lit(L).cast("long").alias("level"))
                                                           for o, L in sorted(set(at.values()))]))
-    e = e.select(F.col("order_id").alias("_oid"), F.col("level").alias("_lvl"), F.col("ctx").alias("_ctx"), "_k", "lo", "hi", "_val",
+    names = {"_k": "_k", "_ctx": "ctx", "_lvl": "level", "_oid": "order_id"}
+    e = e.select(*[F.col(names[k]).alias(k) for k in keys], "lo", "hi", "_val",
                  *([ctx_of[1](F.col("_val")).alias(ctx_of[0])] if ctx_of else []))
-    m = x.join(_side(e, tables.broadcast_entries[col]), ["_oid", "_lvl", "_ctx", "_k"], "left")
+    m = x.join(_side(e, tables.broadcast_entries[col]), list(keys), "left")
     m = m.filter(F.col("lo").isNull() | ((F.col("lo") <= F.col("_r")) & (F.col("_r") < F.col("hi"))))
     return m.select(*base, F.col("_val").alias(out), *([ctx_of[0]] if ctx_of else []))
 
@@ -316,8 +348,8 @@ def sample(model: ExpertModel, keys: DataFrame, seed, key: str = "sid", temperat
     are drawn in the model's order.  With several orders (random mode),
     ``order_of`` picks each row's order id and one sub-plan per order is
     unioned.  Lineage is cut with a reliable checkpoint every few columns."""
-    tables = tables or draw_tables(model, temperature, completion=False)
     given = given or {}
+    tables = tables or draw_tables(model, temperature, completion=False, drawn=[c for c in model.cols if c not in given])
     if order_of is not None and len(model.orders) > 1:
         # every order's sub-plan filters the same keys: derive them once
         from sentable.sources.io import materialize

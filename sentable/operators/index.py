@@ -6,7 +6,7 @@ are interchangeable) collapse before the shuffle however hot they are.  The
 distinct rows are then numbered inside hash buckets (first ``digits`` hex
 characters, uniform by construction), bucket sizes are turned into offsets on
 a table of at most 16**digits rows (the only broadcast, so its size is bounded
-by the parameter, not by the data), and copies are expanded back.  A group of
+by the parameter, not by the data; it is written once to the checkpoint folder), and copies are expanded back.  A group of
 more than ``chunk`` copies is expanded in chunks spread over tasks, so no task
 emits an unbounded share of the rows.
 
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 def with_exact_index(df: DataFrame, order_hash: Column, idx: str = "idx", digits: int = 4,
                      chunk: int = 1 << 20, with_count: str | None = None) -> DataFrame:
+    from sentable.sources.io import materialize
     cols = df.columns
     bucket = F.conv(F.substring(F.col("_h"), 1, digits), 16, 10).cast("int")
     g = (df.withColumn("_h", order_hash)
@@ -35,17 +36,19 @@ def with_exact_index(df: DataFrame, order_hash: Column, idx: str = "idx", digits
              .agg(F.count(F.lit(1)).alias("_bm"))
     # <= 16**digits rows: one small task, then broadcast.
     w_all = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    offs = offs.select("_b", (F.sum("_bm").over(w_all) - F.col("_bm")).alias("_o"),
-                       F.sum("_bm").over(Window.partitionBy()).alias("_n"))
-    g = g.join(F.broadcast(offs), "_b").withColumn("_start", F.col("_o") + F.col("_s"))
-    small = g.filter(F.col("_m") <= chunk).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
-    big = (g.filter(F.col("_m") > chunk)
-             .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / chunk).cast("long"))))
-             .repartition("_h", "_c")
-             .withColumn("_j", F.explode(F.sequence(F.col("_c") * chunk,
-                                                    F.least((F.col("_c") + 1) * chunk, F.col("_m")) - 1))))
-    out = small.drop().unionByName(big.drop("_c"))
-    extra = [F.col("_n").alias(with_count)] if with_count else []
+    offs = materialize(offs.select("_b", "_bm", (F.sum("_bm").over(w_all) - F.col("_bm")).alias("_o")), "index-offsets")
+    size = offs.agg(F.sum("_bm").alias("n"), F.max("_bm").alias("most")).first()
+    g = g.join(F.broadcast(offs.select("_b", "_o")), "_b").withColumn("_start", F.col("_o") + F.col("_s"))
+    out = (g.filter(F.col("_m") <= chunk) if (size["most"] or 0) > chunk else g) \
+        .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    if (size["most"] or 0) > chunk:         # no group is larger than its bucket: else no rows are expanded apart
+        big = (g.filter(F.col("_m") > chunk)
+                 .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / chunk).cast("long"))))
+                 .repartition("_h", "_c")
+                 .withColumn("_j", F.explode(F.sequence(F.col("_c") * chunk,
+                                                        F.least((F.col("_c") + 1) * chunk, F.col("_m")) - 1))))
+        out = out.unionByName(big.drop("_c"))
+    extra = [F.lit(size["n"]).cast("long").alias(with_count)] if with_count else []
     return out.select(*cols, (F.col("_start") + F.col("_j")).cast("long").alias(idx), *extra)
 
 

@@ -23,9 +23,12 @@ def start_categorical(keys: DataFrame, dist: DataFrame, col: str, seed, key: str
 
 
 def continuous_list(df: DataFrame, col: str, seed, key: str) -> DataFrame:
-    """AGG-2: every value of a float column (nulls kept) with an exact index."""
+    """AGG-2: every value of a float column (nulls kept) with an exact index, written once to the
+    checkpoint folder (its length is read apart from it)."""
     from sentable.operators.split import shuffle_index
-    return shuffle_index(df.select(key, F.col(col).alias("value")), seed, F.col(key), tag="list", with_count="n_list")
+    from sentable.sources.io import materialize
+    return materialize(shuffle_index(df.select(key, F.col(col).alias("value")), seed, F.col(key), tag="list", with_count="n_list"),
+                       "list")
 
 
 def start_continuous(keys: DataFrame, values: DataFrame, col: str, seed, key: str = "sid", places: int = 5) -> DataFrame:

@@ -43,3 +43,23 @@ def test_rank_within_shared_prefix_many_buckets(spark):
         for i, k in enumerate(sorted(k for gg, k in rows if gg == g)):
             want[(g, k)] = i
     assert got == want
+
+
+def test_rows_are_expanded_apart_only_where_a_bucket_is_large(spark):
+    df = spark.createDataFrame([("hot",)] * 40 + [(f"u{i}",) for i in range(30)], "k string")
+    plain, hot = (with_exact_index(df, hash_hex(1, "t", F.col("k")), chunk=c, with_count="n") for c in (40, 39))
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan(plain) and "Union" in plan(hot)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, hot.collect()))
+    assert {r.n for r in plain.collect()} == {70}
+    assert with_exact_index(df.limit(0), hash_hex(1, "t", F.col("k")), with_count="n").collect() == []
+
+
+def test_a_value_list_is_indexed_once(spark):
+    from sentable.operators.starts import continuous_list, start_continuous
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(50)).map(lambda i: (seen.add(1), (str(i), i / 4))[1]),
+                               "k string, x double")
+    keys = spark.range(20).select(F.col("id").cast("string").alias("sid"))
+    got = start_continuous(keys, continuous_list(df, "x", 42, "k"), "x", 42).collect()
+    assert seen.value == 2 * 50 and len(got) == 20      # the sizes of buckets, then the rows

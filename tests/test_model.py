@@ -136,3 +136,21 @@ def test_tempered_weights_scan_the_rows_once(spark):
     m = X.fit(rows, ["g", "h"], edges={})
     t = X.draw_tables(m, 0.5)
     assert seen.value == 48 and t.entries.count() >= 5
+
+
+def test_only_tables_of_drawn_columns_are_counted_and_once(spark, monkeypatch):
+    from sentable.sources import io
+    df = spark.createDataFrame([("pq"[i % 2], "abc"[i % 3], str(i % 4)) for i in range(48)], "g string, h string, v string")
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame(df.rdd.map(lambda r: (seen.add(1), r)[1]), df.schema)
+    written, plain = {}, io.materialize
+    monkeypatch.setattr(io, "materialize", lambda d, what, *a: written.setdefault(what, plain(d, what, *a)))
+    m = X.fit(rows, ["g", "h", "v"], cond="v", order="conditional", edges={})
+    keys = spark.range(100).select(F.col("id").cast("string").alias("sid"), F.lit("2").alias("_st"))
+    got = X.sample(m, keys, 5, given={"v": F.col("_st")})
+    assert seen.value == 48
+    kept = written["counts"].select("col", "level").distinct().collect()
+    assert {tuple(r) for r in kept} == {("g", 0), ("g", 1), ("h", 0), ("h", 1), ("h", 2)}
+    monkeypatch.undo()
+    whole = X.sample(m, keys, 5, given={"v": F.col("_st")}, tables=X.draw_tables(m))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() == 100
