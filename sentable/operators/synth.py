@@ -86,11 +86,12 @@ def synthesize(real: DataFrame, contract: Contract, n: int | None = None, seed=4
 
 def exact_copies(rows: DataFrame, real: DataFrame, cols: list[str]) -> DataFrame:
     """Share of ``rows`` that are copies of a row of ``real`` on ``cols`` (as text):
-    (n_rows, n_copies, share).  Both sides are cut to a hash of the row first."""
-    digest = lambda df: df.select(row_key(list(formatted(df, cols, None, upcast=False).values())).alias("h"))
-    have = digest(rows).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    known = digest(real).groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-    both = have.join(known, "h", "left")
+    (n_rows, n_copies, share).  Both sides are cut to a hash of the row, and equal hashes of both are counted by one
+    aggregation without a join."""
+    digest = lambda df: F.unhex(row_key(list(formatted(df, cols, None, upcast=False).values()))).alias("h")
+    both = rows.select(digest(rows), F.lit(1).cast("long").alias("n"), F.lit(False).alias("known")) \
+        .unionByName(real.select(digest(real), F.lit(0).cast("long").alias("n"), F.lit(True).alias("known")))
+    both = both.groupBy("h").agg(F.sum("n").alias("n"), F.max("known").alias("known"))
     return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-                    F.coalesce(F.sum(F.when(F.col("m").isNotNull(), F.col("n"))), F.lit(0)).alias("n_copies")) \
+                    F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("n_copies")) \
                .withColumn("share", F.round(F.col("n_copies") / F.greatest("n_rows", F.lit(1)), 9))

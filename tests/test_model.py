@@ -154,3 +154,13 @@ def test_only_tables_of_drawn_columns_are_counted_and_once(spark, monkeypatch):
     monkeypatch.undo()
     whole = X.sample(m, keys, 5, given={"v": F.col("_st")}, tables=X.draw_tables(m))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() == 100
+
+
+def test_exact_copies_needs_no_join(spark):
+    from sentable.operators.synth import exact_copies
+    real = spark.createDataFrame([("a", 1), ("a", 1), ("b", None)], "s string, x int")
+    rows = spark.createDataFrame([("a", "1")] * 3 + [("b", None)] * 2 + [("b", "1"), (None, "1")], "s string, x string")
+    got = exact_copies(rows, real, ["s", "x"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(got.first()) == (7, 5, round(5 / 7, 9))
+    assert tuple(exact_copies(rows.limit(0), real, ["s", "x"]).first()) == (0, 0, 0.0)
